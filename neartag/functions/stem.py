@@ -12,6 +12,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Suffix tables of the published algorithm (steps 2, 3 and 4).
 STEP2 = {
@@ -112,7 +113,7 @@ def stem(word: str) -> str:
     return _tidy(_strip(_swap(_swap(word, STEP2), STEP3)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stem_batch(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda row: [stem(t) for t in row])
 

@@ -60,24 +60,27 @@ def score_docs(selected: DataFrame, index: Index, params: ScoreParams = ScorePar
                shard_rows: int = SHARD_ROWS) -> DataFrame:
     """key, id, micro: summed score of every document that holds a query term.
 
-    Statistics cover all corpora; ``corpus`` only restricts the documents.
+    Statistics cover all corpora; ``corpus`` only restricts the documents.  Without it a
+    column corpus tells documents with equal ids apart.
     """
     weighted = with_weight(selected, index, params).select(key, "term", "df", "weight")
+    document = ["id"] if corpus is not None else ["corpus", "id"]
     return (join_postings(weighted, index, corpus, shard_rows)
-            .select(key, "id", contribution(index, params).alias("micro"))
-            .groupBy(key, "id").agg(F.sum("micro").alias("micro")))
+            .select(key, *document, contribution(index, params).alias("micro"))
+            .groupBy(key, *document).agg(F.sum("micro").alias("micro")))
 
 
 def top_k(scores: DataFrame, k: int, key: str = "query_id") -> DataFrame:
-    """key, rank, id, score: the k best documents of each query, ties by id.
+    """key, rank, id, score: the k best documents of each query, ties by id and corpus.
 
     The rank filter also runs before the shuffle (window group limit), so a query sends
     k rows per task however many documents it matched.
     """
-    best_first = Window.partitionBy(key).orderBy(F.desc("micro"), "id")
+    document = ["id", "corpus"] if "corpus" in scores.columns else ["id"]
+    best_first = Window.partitionBy(key).orderBy(F.desc("micro"), *document)
     return (scores.withColumn("rank", F.row_number().over(best_first))
             .filter(F.col("rank") <= k)
-            .select(key, "rank", "id", from_micro(F.col("micro")).alias("score")))
+            .select(key, "rank", *document, from_micro(F.col("micro")).alias("score")))
 
 
 def drop_self(neighbors: DataFrame, k: int) -> DataFrame:
@@ -91,10 +94,13 @@ def drop_self(neighbors: DataFrame, k: int) -> DataFrame:
             .filter(F.col("rank") <= k).drop("self_rank"))
 
 
-def fetch_tags(neighbors: DataFrame, docs: DataFrame, corpus: str) -> DataFrame:
-    """Add the tags of each neighbour; only its id and tags are read from docs."""
-    tags = docs.filter(F.col("corpus") == corpus).select("id", "tags")
-    return neighbors.join(tags, "id").select("query_id", "rank", "id", "score", "tags")
+def fetch_tags(neighbors: DataFrame, docs: DataFrame, corpus: str | None = None) -> DataFrame:
+    """Add the tags of each neighbour; only its key and tags are read from docs."""
+    if corpus is None:
+        tagged = neighbors.join(docs.select("corpus", "id", "tags"), ["corpus", "id"])
+    else:
+        tagged = neighbors.join(docs.filter(F.col("corpus") == corpus).select("id", "tags"), "id")
+    return tagged.select(*neighbors.columns, "tags")
 
 
 def pack_neighbors(neighbors: DataFrame, queries: DataFrame) -> DataFrame:

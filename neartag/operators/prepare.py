@@ -86,9 +86,10 @@ def link_text(html: Column) -> Column:
 def html_tag_counts(df: DataFrame, html_col: str = "body") -> DataFrame:
     """How often each start tag is written, sorted by tag."""
     markup = F.regexp_replace(F.col(html_col), NOT_MARKUP, "$1$2")
-    tags = F.explode(F.regexp_extract_all(markup, F.lit(START_TAG), F.lit(1)))
-    return (df.select(F.lower(tags).alias("tag"))
-            .groupBy("tag").agg(F.count("*").alias("n"))
+    tags = F.regexp_extract_all(markup, F.lit(START_TAG), F.lit(1))
+    return (df.select(F.explode_outer(tags).alias("tag"))
+            .filter(F.col("tag").isNotNull())
+            .groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("n"))
             .orderBy("tag"))
 
 
@@ -113,9 +114,9 @@ def number_rows(df: DataFrame, key: str, buckets: int | None = None) -> DataFram
     # The error of the quantiles is n / accuracy, a small part of one range.
     cuts = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)],
                                       20 * buckets).alias("cuts"))
-    ranged = df.withColumn("_range", F.size(F.filter(
-        F.coalesce(cuts.scalar(), F.array().cast(T.ArrayType(df.schema[key].dataType))),
-        lambda cut: cut < F.col(key))))
+    ranged = (df.withColumn("_cuts", cuts.scalar())
+              .withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col(key))))
+              .drop("_cuts"))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     # At most one row per range, so neither the window nor the broadcast grows with the data.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -26,8 +26,13 @@ class Staging:
     A staged table cuts the lineage, survives lost executors, and is read by column.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.path = f"{checkpoint_dir(spark).rstrip('/')}/neartag-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark = spark
+        self.path = path or f"{checkpoint_dir(spark).rstrip('/')}/neartag-{uuid.uuid4().hex}"
+
+    def child(self, name: str) -> Staging:
+        """A folder of its own for a second run of the same job."""
+        return Staging(self.spark, f"{self.path}/{name}")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         target = f"{self.path}/{name}"
