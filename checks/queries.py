@@ -571,16 +571,10 @@ def ml_knn(spark, sf_dir):
     staging = Staging(spark)
     questions = derive.train(spark, sf_dir).withColumn(
         "corpus", F.when(F.col("id") % 10 == 0, "test").otherwise("train"))
-    index = search.stage_index(questions, staging, text_col="body")
-    train = derive.kept(questions)
-    train_near = search.find_neighbors(derive.as_queries(train), index, 10, exclude_self=True,
-                                       staging=staging.child("train"))
-    model = staging.write(learn.ml_knn_fit(
-        learn.label_matrix(train).select("id", "label"), train_near,
-        train.agg(F.count("*")).scalar()), "model")
-    asked = derive.as_queries(derive.held_out(questions))
-    near = search.find_neighbors(asked, index, 10, staging=staging.child("test"))
-    found = learn.ml_knn_predict(model, asked, near)
+    questions = staging.write(questions.withColumn("text", F.col("body")), "questions")
+    index = search.stage_index(questions, staging)
+    found = learning.ml_knn_tags(derive.kept(questions), derive.as_queries(derive.held_out(questions)),
+                                 index, staging=staging)
     return found.withColumn("probability", r6("probability"))
 
 

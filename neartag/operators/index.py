@@ -15,10 +15,12 @@ from neartag.operators.tokens import pack_terms, unpack_terms
 class Index:
     """The tables a search needs.
 
-    docs          corpus, id, tags, doc_len, content_key, terms  (array of term, tf)
+    docs          corpus, id, tags, doc_len, terms  (array of term, tf)
     term_stats    term, df, ttf, max_tf, min_len  (over all corpora)
     corpus_stats  one row: n_docs, sum_ttf, avgdl (over all corpora)
 
+    ``n_docs`` is set once the number of documents is known on the driver.
+
     A document is one row, so a single narrow pass over the texts makes the docs table;
     readers of tags or lengths do not touch the terms column.
     """
@@ -26,6 +28,7 @@ class Index:
     docs: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
+    n_docs: int | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -35,15 +38,10 @@ class Index:
 
 def build_docs(df: DataFrame, analyzer: str | Analyzer = "standard",
                text_col: str = "text") -> DataFrame:
-    """The docs table of an index; nothing is shuffled.
-
-    (corpus, id) is unique.  ``content_key`` is equal for documents with equal terms.
-    """
+    """The docs table of an index; (corpus, id) is unique.  Nothing is shuffled."""
     tokens = get_analyzer(analyzer)(F.col(text_col))
-    packed = pack_terms(df, tokens, ("corpus", "id", "tags"))
-    content = F.transform("terms", lambda t: F.concat_ws(":", t.tf.cast("string"), t.term))
-    return packed.select("corpus", "id", "tags", F.col("n_tokens").alias("doc_len"),
-                         F.sha2(F.array_join(content, " "), 256).alias("content_key"), "terms")
+    return (pack_terms(df, tokens, ("corpus", "id", "tags"))
+            .select("corpus", "id", "tags", F.col("n_tokens").alias("doc_len"), "terms"))
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
@@ -86,6 +84,15 @@ def build_index(df: DataFrame, text_col: str = "text",
     return Index(docs, build_term_stats(postings_of(docs)), build_corpus_stats(docs))
 
 
+def pin_totals(index: Index) -> Index:
+    """Read the one row of corpus totals and put it into later plans as literals."""
+    totals = index.corpus_stats.select("n_docs", "sum_ttf", "avgdl").first().asDict()
+    row = index.docs.sparkSession.sql(
+        "SELECT CAST(:n_docs AS BIGINT) AS n_docs, CAST(:sum_ttf AS BIGINT) AS sum_ttf, "
+        "CAST(:avgdl AS DOUBLE) AS avgdl", args=totals)
+    return replace(index, corpus_stats=row, n_docs=totals["n_docs"])
+
+
 def multi_field_stats(stats: DataFrame, fields: list[str]) -> DataFrame:
     """term, df, top_field from statistics keyed by (field, term).
 
@@ -101,16 +108,16 @@ def multi_field_stats(stats: DataFrame, fields: list[str]) -> DataFrame:
 def copy_surplus(docs: DataFrame, keep: int) -> DataFrame:
     """corpus, id of the documents that at least ``keep`` copies with smaller ids precede.
 
-    Copies get equal scores and ties go to the smaller id, so a search for ``keep``
-    results can never return a surplus copy, and leaving them out of the scored documents
-    (not out of the statistics) changes nothing.  The rank filter is applied before the
-    shuffle too, so a content that a third of all rows share sends only ``keep`` rows
-    per map task.
+    Documents with equal terms are copies.  They get equal scores and ties go to the
+    smaller id, so a search for ``keep`` results can never return a surplus copy, and
+    leaving them out of the scored documents (not out of the statistics) changes nothing.
+    The rank filter is applied before the shuffle too, so a content that a third of all
+    rows share sends only ``keep`` rows per map task.
     """
-    copies = Window.partitionBy("corpus", "content_key").orderBy("id")
-    kept = (docs.select("corpus", "id", "content_key")
-            .withColumn("copy", F.row_number().over(copies))
-            .filter(F.col("copy") <= keep))
+    entries = F.transform("terms", lambda t: F.concat_ws(":", t.tf.cast("string"), t.term))
+    keyed = docs.select("corpus", "id", F.sha2(F.array_join(entries, " "), 256).alias("content"))
+    copies = Window.partitionBy("corpus", "content").orderBy("id")
+    kept = keyed.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= keep)
     return docs.select("corpus", "id").join(kept, ["corpus", "id"], "left_anti")
 
 

@@ -30,15 +30,17 @@ def join_postings(terms: DataFrame, index: Index, corpus: str | None = None,
     the term's rows on the other side are repeated once per shard.  One task therefore
     never holds more than a shard of a term, however frequent it is.
     """
+    postings = index.postings if corpus is None else index.postings.filter(F.col("corpus") == corpus)
+    postings = postings.withColumnRenamed("tf", "doc_tf")
+    if index.n_docs is not None and index.n_docs <= shard_rows:
+        return terms.join(postings, "term")  # no term can exceed a shard
     n_docs = index.corpus_stats.select("n_docs").scalar()
     shards = _shards(F.col("df"), n_docs, shard_rows)
     split = (index.term_stats.select("term", shards.alias("shards"))
              .filter(F.col("shards") > 1))
-    postings = index.postings if corpus is None else index.postings.filter(F.col("corpus") == corpus)
     shard_of = F.coalesce(F.pmod(F.xxhash64("id"), F.col("shards")), F.lit(0)).cast("int")
     sharded = (postings.join(F.broadcast(split), "term", "left")
-               .withColumn("shard", shard_of).drop("shards")
-               .withColumnRenamed("tf", "doc_tf"))
+               .withColumn("shard", shard_of).drop("shards"))
     spread = terms.withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
     return spread.join(sharded, ["term", "shard"]).drop("shard")
 

@@ -9,8 +9,8 @@ from neartag.functions.scoring import ScoreParams
 from neartag.functions.text import Analyzer
 from neartag.operators import neighbors as nn
 from neartag.operators.index import (
-    Index, build_corpus_stats, build_docs, build_term_stats, collapse_copies, postings_of)
-from neartag.operators.terms import ANY_TERM, TermParams, query_terms, source_tf
+    Index, build_corpus_stats, build_docs, build_term_stats, collapse_copies, pin_totals, postings_of)
+from neartag.operators.terms import ANY_TERM, TermParams, query_terms
 from neartag.plans.staging import Staging
 
 # Postings per core that are scored outright; beyond it the search prunes.
@@ -24,8 +24,7 @@ def stage_index(df: DataFrame, staging: Staging, analyzer: str | Analyzer = "sta
     """``build_index`` with every table written once; texts are analysed once."""
     docs = staging.write(build_docs(df, analyzer, text_col), "docs")
     term_stats = staging.write(build_term_stats(postings_of(docs)), "term_stats")
-    corpus_stats = staging.write(build_corpus_stats(docs), "corpus_stats")
-    return Index(docs, term_stats, corpus_stats)
+    return pin_totals(Index(docs, term_stats, build_corpus_stats(docs)))
 
 
 def knn_join(queries: DataFrame, index: Index, k: int = 5, corpus: str = "train",

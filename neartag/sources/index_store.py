@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from neartag.functions.text import Analyzer
 from neartag.operators.index import (
-    Index, build_corpus_stats, build_docs, build_term_stats, postings_of)
+    Index, build_corpus_stats, build_docs, build_term_stats, pin_totals, postings_of)
 
-DOCS = ("corpus string, id long, tags string, doc_len long, content_key string, "
+DOCS = ("corpus string, id long, tags string, doc_len long, "
         "terms array<struct<term: string, tf: long>>")
 TERM_STATS = "term string, df long, ttf long, max_tf long, min_len long"
 CORPUS_STATS = "n_docs long, sum_ttf long, avgdl double"
@@ -18,8 +18,8 @@ def read_index(spark: SparkSession, path: str) -> Index:
     """The stored tables.  Docs are partitioned by corpus, so a corpus filter skips files."""
     def table(name: str, columns: str) -> DataFrame:
         return spark.read.schema(columns).parquet(f"{path}/{name}")
-    return Index(table("docs", DOCS), table("term_stats", TERM_STATS),
-                 table("corpus_stats", CORPUS_STATS))
+    return pin_totals(Index(table("docs", DOCS), table("term_stats", TERM_STATS),
+                            table("corpus_stats", CORPUS_STATS)))
 
 
 def write_index(df: DataFrame, path: str, analyzer: str | Analyzer = "standard",
