@@ -19,7 +19,7 @@ class Index:
     term_stats    term, df, ttf, max_tf, min_len  (over all corpora)
     corpus_stats  one row: n_docs, sum_ttf, avgdl (over all corpora)
 
-    ``n_docs`` is set once the number of documents is known on the driver.
+    ``n_docs`` and ``avgdl`` are set once the totals are known on the driver.
 
     A document is one row, so a single narrow pass over the texts makes the docs table;
     readers of tags or lengths do not touch the terms column.
@@ -29,6 +29,7 @@ class Index:
     term_stats: DataFrame
     corpus_stats: DataFrame
     n_docs: int | None = None
+    avgdl: float | None = None
 
     @property
     def postings(self) -> DataFrame:
@@ -90,7 +91,7 @@ def pin_totals(index: Index) -> Index:
     row = index.docs.sparkSession.sql(
         "SELECT CAST(:n_docs AS BIGINT) AS n_docs, CAST(:sum_ttf AS BIGINT) AS sum_ttf, "
         "CAST(:avgdl AS DOUBLE) AS avgdl", args=totals)
-    return replace(index, corpus_stats=row, n_docs=totals["n_docs"])
+    return replace(index, corpus_stats=row, n_docs=totals["n_docs"], avgdl=totals["avgdl"])
 
 
 def multi_field_stats(stats: DataFrame, fields: list[str]) -> DataFrame:

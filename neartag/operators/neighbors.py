@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from neartag.functions.scoring import (
     MICRO, ScoreParams, bm25_length_norm, from_micro, term_impact, term_weight, to_micro)
 from neartag.operators.index import Index
-from neartag.operators.tokens import unpack_terms
 
 # A term with more postings than this is split into shards.  The limit also grows with
 # the corpus (n_docs / MAX_SHARDS), so a term has at most MAX_SHARDS shards and the list of
@@ -57,6 +56,12 @@ def contribution(index: Index, params: ScoreParams) -> Column:
     return to_micro(F.col("weight") * term_impact(F.col("doc_tf"), F.col("doc_len"), avgdl, params))
 
 
+def matched_contribution(avgdl: float, params: ScoreParams) -> Column:
+    """Summed score of the ``matched`` terms of a row, in millionths."""
+    return F.aggregate("matched", F.lit(0).cast("bigint"), lambda total, m: total + to_micro(
+        m.weight * term_impact(m.doc_tf, F.col("doc_len"), F.lit(avgdl), params)))
+
+
 def score_docs(selected: DataFrame, index: Index, params: ScoreParams = ScoreParams(),
                corpus: str | None = None, key: str = "query_id",
                shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -115,17 +120,23 @@ def pack_neighbors(neighbors: DataFrame, queries: DataFrame) -> DataFrame:
         .alias("neighbors"))
 
 
-def lookup_terms(pairs: DataFrame, terms: DataFrame, index: Index, corpus: str | None = None,
-                 key: str = "query_id") -> DataFrame:
-    """Postings of given (key, id) pairs for the terms of the key.
+def match_terms(pairs: DataFrame, terms: DataFrame, index: Index, corpus: str | None = None,
+                key: str = "query_id") -> DataFrame:
+    """Look the terms of a key up in given documents: pairs with key and id.
 
-    Both joins are lookups: the work grows with the pairs, not with the product of a
-    term's queries and documents.
+    Adds doc_len and ``matched``, the fields of each term the document holds with its
+    doc_tf.  The work grows with the pairs, not with the product of a term's queries and
+    documents; a pair stays one row.
     """
+    fields = [c for c in terms.columns if c != key]
+    wanted = terms.groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("wanted"))
     docs = index.docs if corpus is None else index.docs.filter(F.col("corpus") == corpus)
-    found = docs.select("id", "doc_len", "terms").join(pairs, "id")
-    postings = unpack_terms(found, (key, "id", "doc_len")).withColumnRenamed("tf", "doc_tf")
-    return postings.join(terms, [key, "term"])
+    found = pairs.join(wanted, key).join(docs.select("id", "doc_len", "terms"), "id")
+    with_tf = F.transform("wanted", lambda w: F.struct(
+        *[w[f].alias(f) for f in fields],
+        F.get(F.filter("terms", lambda t: t.term == w.term), F.lit(0)).tf.alias("doc_tf")))
+    return found.select(*pairs.columns, "doc_len", F.filter(
+        with_tf, lambda m: m.doc_tf.isNotNull()).alias("matched"))
 
 
 def explain_scores(selected: DataFrame, index: Index, pairs: DataFrame,
@@ -137,7 +148,8 @@ def explain_scores(selected: DataFrame, index: Index, pairs: DataFrame,
         "query_id", "term", "boost", "df", "idf", "weight")
     norm = bm25_length_norm(F.col("doc_len"), avgdl, params)
     tf_norm = F.col("doc_tf") * (params.k1 + 1.0) / (F.col("doc_tf") + norm)
-    return lookup_terms(pairs.select("query_id", "id"), terms, index, corpus).select(
+    matched = match_terms(pairs.select("query_id", "id"), terms, index, corpus)
+    return matched.select("query_id", "id", "doc_len", F.inline("matched")).select(
         "query_id", "id", "term", "boost", "idf", "df", n_docs.alias("n_docs"),
         F.col("doc_tf").alias("tf"), F.lit(params.k1).alias("k1"), F.lit(params.b).alias("b"),
         avgdl.alias("avgdl"), "doc_len", tf_norm.alias("tf_norm"),

@@ -10,7 +10,7 @@ from neartag.functions.text import Analyzer
 from neartag.operators import neighbors as nn
 from neartag.operators.index import (
     Index, build_corpus_stats, build_docs, build_term_stats, collapse_copies, pin_totals, postings_of)
-from neartag.operators.terms import ANY_TERM, TermParams, query_terms
+from neartag.operators.terms import ANY_TERM, TermParams, query_terms, select_terms, source_tf
 from neartag.plans.staging import Staging
 
 # Postings per core that are scored outright; beyond it the search prunes.
@@ -75,14 +75,16 @@ def search_bags(terms: DataFrame, index: Index, k: int, corpus: str, score: Scor
         summed(lead, scored(terms.filter("NOT lead AND NOT optional"))), "partial_scores")
     optional = terms.filter("optional")
     reach = optional.groupBy("bag_id").agg(F.sum("bound").alias("reach"))
-    survivors = (partial.join(reach, "bag_id", "left")
+    survivors = staging.write((partial.join(reach, "bag_id", "left")
                  .join(nn.threshold(partial, k), "bag_id", "left")
                  .filter(F.col("micro") + F.coalesce("reach", F.lit(0)) >= F.coalesce("floor", F.lit(0)))
-                 .select("bag_id", "id", "micro"))
-    survivors = staging.write(survivors, "survivors")
-    rest = nn.lookup_terms(survivors.select("bag_id", "id"), optional.select("bag_id", "term", "weight"),
-                           index, corpus, "bag_id").select("bag_id", "id", gain)
-    return nn.top_k(summed(survivors, rest), k, "bag_id")
+                 .select("bag_id", "id", "micro")), "survivors")
+    # A bag without optional terms has nothing to look up; its scores are final.
+    rest = nn.match_terms(survivors, optional.select("bag_id", "term", "weight"), index, corpus, "bag_id")
+    completed = rest.select("bag_id", "id", (
+        F.col("micro") + nn.matched_contribution(index.avgdl, score)).alias("micro"))
+    final = survivors.join(optional.select("bag_id").distinct(), "bag_id", "left_anti")
+    return nn.top_k(completed.unionByName(final), k, "bag_id")
 
 
 def find_neighbors(queries: DataFrame, index: Index, k: int = 5, corpus: str = "train",
@@ -98,7 +100,11 @@ def find_neighbors(queries: DataFrame, index: Index, k: int = 5, corpus: str = "
     """
     staging = staging or Staging(queries.sparkSession)
     wanted = k + exclude_self
-    selected = query_terms(queries, index.term_stats, index.corpus_stats, terms, analyzer)
+    if index.n_docs is None:
+        index = pin_totals(index)
+    # The counts are read twice, for frequent and for other terms, but made once.
+    counts = staging.write(source_tf(queries, terms, analyzer), "query_tf")
+    selected = select_terms(counts, index.term_stats, index.corpus_stats, terms)
     bags = staging.write(nn.term_bags(selected, index, score), "bags")
     distinct = staging.write(nn.bag_terms(bags), "bag_terms")
     if strategy == "auto":
