@@ -131,10 +131,14 @@ def match_terms(pairs: DataFrame, terms: DataFrame, index: Index, corpus: str |
     fields = [c for c in terms.columns if c != key]
     wanted = terms.groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("wanted"))
     docs = index.docs if corpus is None else index.docs.filter(F.col("corpus") == corpus)
-    found = pairs.join(wanted, key).join(docs.select("id", "doc_len", "terms"), "id")
+    # Taken apart before the join, once per document and not once per pair.
+    listed = docs.select("id", "doc_len", F.col("terms.term").alias("words"),
+                         F.col("terms.tf").alias("counts"))
+    found = pairs.join(wanted, key).join(listed, "id")
+    # The position is 0 for a term the document lacks, which gives no count.
     with_tf = F.transform("wanted", lambda w: F.struct(
         *[w[f].alias(f) for f in fields],
-        F.get(F.filter("terms", lambda t: t.term == w.term), F.lit(0)).tf.alias("doc_tf")))
+        F.get("counts", (F.array_position("words", w.term) - 1).cast("int")).alias("doc_tf")))
     return found.select(*pairs.columns, "doc_len", F.filter(
         with_tf, lambda m: m.doc_tf.isNotNull()).alias("matched"))
 

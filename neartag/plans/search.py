@@ -15,8 +15,9 @@ from neartag.plans.staging import Staging
 
 # Postings per core that are scored outright; beyond it the search prunes.
 DIRECT_ROWS_PER_CORE = 20_000_000
-# Postings per bag from which the score floor is taken.
-LEAD_BUDGET = 10_000
+# Postings per bag from which the score floor is taken.  A larger budget raises the floor
+# but scores more documents of terms that might have been optional.
+LEAD_BUDGET = 500
 
 
 def stage_index(df: DataFrame, staging: Staging, analyzer: str | Analyzer = "standard",
