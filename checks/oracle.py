@@ -203,6 +203,12 @@ ORACLE: dict[str, str] = {
     "neighbor_lines_round_trip": f"WITH {neighbors()} SELECT query_id, rank, id, tags FROM nb",
     "predictions_round_trip": f"WITH {TRAIN} SELECT id, tags FROM train",
     "score_lines_round_trip": f"WITH {TAG_SCORES} SELECT id, tag, score FROM scores",
+    "example_lines_round_trip": f"""WITH {TRAIN}, cand AS (SELECT id, unnest({parsed('tags')}) AS tag FROM train),
+        wb AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({analysed('title')}) AS term FROM train) GROUP BY ALL),
+        feat AS (SELECT id, string_agg(' _' || replace(term, ':', '_COLON_') || ':' || n, '' ORDER BY term) AS f FROM wb GROUP BY id)
+        SELECT CASE WHEN c.id % 10 = 0 THEN '1' ELSE '-1' END || ' ' || c.id || '^' || c.tag || '|' || c.tag || ' ' || coalesce(f, '') AS value
+        FROM cand c LEFT JOIN feat ON feat.id = c.id""",
+    "stored_index_search": f"WITH {neighbors()} SELECT * FROM nb",
     "take_first": f"WITH {TRAIN} SELECT id, title, tags FROM train ORDER BY id LIMIT 100",
     "project_text": f"WITH {TRAIN} SELECT id, lower(title) || '!' AS text, tags FROM train",
     "concat_fields": f"WITH {TRAIN} SELECT id, {ALL_FIELDS} AS text FROM train",

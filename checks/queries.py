@@ -22,7 +22,7 @@ from neartag.operators import neighbors as nn
 from neartag.operators.terms import ANY_TERM, TermParams
 from neartag.plans import learning, search
 from neartag.plans.staging import Staging
-from neartag.sources import files
+from neartag.sources import files, index_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,6 +123,25 @@ def score_lines_round_trip(spark, sf_dir):
     return files.read_scores(spark, path)
 
 
+@query
+def example_lines_round_trip(spark, sf_dir):
+    path = Staging(spark).path + "/examples"
+    questions = derive.train(spark, sf_dir)
+    labelled = predict.label_candidates(predict.tag_pairs(questions), derive.held_out(questions))
+    files.write_examples(predict.make_examples(labelled, tokens.word_bag(questions, ["title"])), path)
+    return spark.read.text(path)
+
+
+@query
+def stored_index_search(spark, sf_dir):
+    """Two corpora written one after the other, read back and searched."""
+    path = Staging(spark).path + "/index"
+    index_store.write_index(derive.train(spark, sf_dir), path, text_col="body")
+    index_store.write_index(derive.test(spark, sf_dir), path, text_col="body")
+    queries = derive.as_queries(derive.test(spark, sf_dir))
+    return search.find_neighbors(queries, index_store.read_index(spark, path))
+
+
 @query
 def take_first(spark, sf_dir):
     return prepare.take_first(derive.train(spark, sf_dir), 100).select("id", "title", "tags")

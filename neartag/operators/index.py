@@ -115,8 +115,7 @@ def copy_surplus(docs: DataFrame, keep: int) -> DataFrame:
     The rank filter is applied before the shuffle too, so a content that a third of all
     rows share sends only ``keep`` rows per map task.
     """
-    entries = F.transform("terms", lambda t: F.concat_ws(":", t.tf.cast("string"), t.term))
-    keyed = docs.select("corpus", "id", F.sha2(F.array_join(entries, " "), 256).alias("content"))
+    keyed = docs.select("corpus", "id", F.sha2(F.to_json("terms"), 256).alias("content"))
     copies = Window.partitionBy("corpus", "content").orderBy("id")
     kept = keyed.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= keep)
     return docs.select("corpus", "id").join(kept, ["corpus", "id"], "left_anti")

@@ -178,9 +178,7 @@ def term_bags(selected: DataFrame, index: Index, params: ScoreParams = ScorePara
     bags = (with_weight(selected, index, params)
             .withColumn("bound", score_bound(index, params))
             .groupBy("query_id").agg(F.array_sort(F.collect_list(fields)).alias("terms")))
-    # A term's df is fixed, so term and weight identify a bag.
-    identity = F.transform("terms", lambda t: F.concat_ws(":", t.term, t.weight.cast("string")))
-    return bags.select("query_id", F.sha2(F.array_join(identity, " "), 256).alias("bag_id"), "terms")
+    return bags.select("query_id", F.sha2(F.to_json("terms"), 256).alias("bag_id"), "terms")
 
 
 def bag_terms(bags: DataFrame) -> DataFrame:

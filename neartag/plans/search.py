@@ -23,7 +23,7 @@ LEAD_BUDGET = 500
 def stage_index(df: DataFrame, staging: Staging, analyzer: str | Analyzer = "standard",
                 text_col: str = "text") -> Index:
     """``build_index`` with every table written once; texts are analysed once."""
-    docs = staging.write(build_docs(df, analyzer, text_col), "docs")
+    docs = staging.write(build_docs(df, analyzer, text_col), "docs", partition_by="corpus")
     term_stats = staging.write(build_term_stats(postings_of(docs)), "term_stats")
     return pin_totals(Index(docs, term_stats, build_corpus_stats(docs)))
 

@@ -34,7 +34,9 @@ class Staging:
         """A folder of its own for a second run of the same job."""
         return Staging(self.spark, f"{self.path}/{name}")
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        """``partition_by`` names a column of few values whose filters should skip files."""
         target = f"{self.path}/{name}"
-        df.write.parquet(target)
-        return df.sparkSession.read.schema(df.schema).parquet(target)
+        writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+        writer.parquet(target)
+        return df.sparkSession.read.schema(df.schema).parquet(target).select(df.columns)
