@@ -170,23 +170,28 @@ def score_bound(index: Index, params: ScoreParams) -> Column:
 
 
 def term_bags(selected: DataFrame, index: Index, params: ScoreParams = ScoreParams()) -> DataFrame:
-    """query_id, bag_id, terms: queries with the same weighted terms share a bag.
-
-    Copies of a text, however many, are then searched once.
-    """
+    """query_id, content, terms: the weighted terms of each query and a key of them."""
     fields = F.struct("term", "df", "weight", "bound")
     bags = (with_weight(selected, index, params)
             .withColumn("bound", score_bound(index, params))
             .groupBy("query_id").agg(F.array_sort(F.collect_list(fields)).alias("terms")))
-    return bags.select("query_id", F.sha2(F.to_json("terms"), 256).alias("bag_id"), "terms")
+    return bags.select("query_id", F.sha2(F.to_json("terms"), 256).alias("content"), "terms")
+
+
+def share_bags(bags: DataFrame) -> DataFrame:
+    """query_id, bag_id: queries with equal content share the smallest query_id of them.
+
+    Copies of a text, however many, are then searched once, and the pairs that the search
+    shuffles carry a short key.  The grouping is combined before its shuffle.
+    """
+    first = bags.groupBy("content").agg(F.min("query_id").alias("bag_id"))
+    return bags.select("query_id", "content").join(first, "content").select("query_id", "bag_id")
 
 
-def bag_terms(bags: DataFrame) -> DataFrame:
-    """bag_id, term, df, weight, bound: one row per distinct bag and term."""
-    return (bags.select("bag_id", F.explode("terms").alias("t"))
-            .groupBy("bag_id", "t.term").agg(
-                F.first("t.df").alias("df"), F.first("t.weight").alias("weight"),
-                F.first("t.bound").alias("bound")))
+def bag_terms(bags: DataFrame, shared: DataFrame) -> DataFrame:
+    """bag_id, term, df, weight, bound: the terms of each distinct bag."""
+    firsts = shared.filter(F.col("query_id") == F.col("bag_id"))
+    return bags.join(firsts, "query_id").select("bag_id", F.inline("terms"))
 
 
 def mark_lead(terms: DataFrame, budget: int) -> DataFrame:

@@ -107,7 +107,8 @@ def find_neighbors(queries: DataFrame, index: Index, k: int = 5, corpus: str = "
     counts = staging.write(source_tf(queries, terms, analyzer), "query_tf")
     selected = select_terms(counts, index.term_stats, index.corpus_stats, terms)
     bags = staging.write(nn.term_bags(selected, index, score), "bags")
-    distinct = staging.write(nn.bag_terms(bags), "bag_terms")
+    shared = nn.share_bags(bags)
+    distinct = staging.write(nn.bag_terms(bags, shared), "bag_terms")
     if strategy == "auto":
         rows = distinct.agg(F.sum("df")).first()[0] or 0
         limit = DIRECT_ROWS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism
@@ -122,7 +123,7 @@ def find_neighbors(queries: DataFrame, index: Index, k: int = 5, corpus: str = "
                             staging, lead_budget)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    found = bags.select("query_id", "bag_id").join(found, "bag_id").drop("bag_id")
+    found = shared.join(found, "bag_id").drop("bag_id")
     if exclude_self:
         found = nn.drop_self(found, k)
     return nn.fetch_tags(found, index.docs, corpus)
