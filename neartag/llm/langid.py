@@ -22,12 +22,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from neartag.llm.common import id_and_text
-
 DOCS_PER_LANGUAGE = 64
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 6
-MARGIN = 0.01  # the runner-up must be larger by this share
+MARGIN = 0.005  # the runner-up must be larger by this share
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -91,17 +89,21 @@ def compressors(model: tuple[tuple[str, bytes], ...], level: int) -> Compressors
     return Compressors(model, level)
 
 
-def predict(docs: DataFrame, model: dict[str, bytes], level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
-    """doc_id, text, lang_pred, score (0 to 1), rejected of every row; only the text is judged."""
-    kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+def predict(docs: DataFrame, model: dict[str, bytes], level: int = LEVEL, margin: float = MARGIN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, the columns to keep, lang_pred, score (0 to 1), rejected of every row.
+
+    Only the text is judged.
+    """
     fixed = tuple(sorted(model.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = compressors(fixed, level)
         for batch in batches:
             judged = [own.judge(t.as_py() or "") for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text"], pa.array([x[0] for x in judged], pa.string()), pa.array([x[1] for x in judged], pa.float64()),
-                 pa.array([x[0] == UNKNOWN or x[2] < margin for x in judged], pa.bool_())], schema=kind)
+            made = {"lang_pred": pa.array([x[0] for x in judged], pa.string()), "score": pa.array([x[1] for x in judged], pa.float64()),
+                    "rejected": pa.array([x[0] == UNKNOWN or x[2] < margin for x in judged], pa.bool_())}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made.values()], [*batch.schema.names, *made])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, text string, lang_pred string, score double, rejected boolean")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{given}, lang_pred string, score double, rejected boolean")

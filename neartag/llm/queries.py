@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neartag.llm import bpe, langid, lines, rans, simhash
+from neartag.llm import bpe, decontaminate, langid, lines, quality, rans, shards, simhash, topk, warc
 from neartag.llm.common import remainder
 from neartag.plans.staging import Staging
 
@@ -23,6 +23,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20, staging=Staging(spark))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
 
@@ -44,6 +48,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), benchmark_items(spark, sf_dir))
+
+
+def benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items hold question and answer in one text."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"), F.lit(None).cast("string").alias("answer"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -51,12 +64,28 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return made.select(
+        "page_id", "response_id", "target", "payload_digest", "title", F.size("links").cast("bigint").alias("n_links"), "conversion_id",
+        "text_digest", F.sha2("conversion", 256).alias("conversion_sha256"), "metadata_id", F.sha2("metadata", 256).alias("metadata_sha256"), "error")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = quality.fit_documents(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard_documents(table(spark, sf_dir, "documents"), 24, Staging(spark))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_bpe": op2_bpe,
-    "op3_token_files": op3_token_files,
-    "op4_line_dedup": op4_line_dedup,
-    "op5_simhash": op5_simhash,
-    "op7_language": op7_language,
+    run.__name__: run for run in (
+        op1_topk, op2_bpe, op3_token_files, op4_line_dedup, op5_simhash, op6_decontaminate, op7_language, op8_warc, op9_quality, op10_shards)
 }
 
 ORACLE: dict[str, str] = {}
