@@ -79,7 +79,10 @@ def merge_symbols(ids: list[int], merges: dict[int, int], size: int) -> list[int
 
 def latin_pattern(split: str) -> re.Pattern:
     """The word pattern for text of ASCII and Latin letters only, for the faster engine."""
-    for name, letters in ((r"[\p{L}]", f"[{LATIN}]"), (r"[\p{N}]", "[0-9]"), (r"\s", SPACES), (r"\p{L}", LATIN), (r"\p{N}", "0-9")):
+    names = {
+        r"[^\s\p{L}\p{N}]": f"[^{SPACES}{LATIN}0-9]", r"[\p{L}]": f"[{LATIN}]", r"[\p{N}]": "[0-9]",
+        r"\p{L}": f"[{LATIN}]", r"\p{N}": "[0-9]", r"\s": f"[{SPACES}]", r"\S": f"[^{SPACES}]"}
+    for name, letters in names.items():
         split = split.replace(name, letters)
     return re.compile(split)
 
@@ -105,8 +108,8 @@ class Bpe:
         self.final = [self.ids[letters[b] + self.suffix] for b in range(256)]
         self.numbers = {i: str(i) for i in self.tokens}
         # Two levels: "Word," and "word" share the work on their letters.
-        self.words = Memo(self.encode_word, 500_000)
-        self.chunks = Memo(self.encode_chunk, 300_000)
+        self.words = Memo(self.encode_word, 250_000)
+        self.chunks = Memo(self.encode_chunk, 150_000)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
 
     @staticmethod
