@@ -22,16 +22,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from neartag.llm.bpe import OTHER, latin_pattern
 from neartag.llm.common import Memo, id_and_text
 from neartag.plans.staging import Staging
 
 PRECISION = 20  # frequencies add up to 2 ** PRECISION
 LOW = np.uint64(1 << 31)  # states stay in [2 ** 31, 2 ** 63)
-LANES = 1024
+LANES = 2048
 BLOCK_TOKENS = 1 << 18  # a block is closed after this many tokens
 CHECKPOINT_TOKENS = 1 << 17
 
@@ -125,49 +127,61 @@ def coder_of(table: bytes) -> Coder:
 # --- ids of documents ------------------------------------------------------------------
 
 class Tokens:
-    """Ids of texts by the tokenizers library, with a memory of space-separated pieces.
+    """Ids of texts by the tokenizers library, with a memory of words.
 
-    In a byte-level pattern no word runs across a space that a visible character follows,
-    so such pieces are encoded one by one, each once for as long as it is remembered.
+    Texts are cut into words by the pattern of byte-level vocabularies, and the library sees
+    each word once for as long as it is remembered.
     """
 
-    CUT = re.compile(r" (?=\S)")
+    # Fixed value: the word pattern of byte-level vocabularies.
+    WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = Memo(None, 300_000)
-
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not in memory, as bytes."""
-        known = self.known
-        found = {p: known.old[p] for p in pieces if p not in known and p in known.old}
-        new = [p for p in pieces if p not in known and p not in found]
-        for piece, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            found[piece] = np.array(encoded.ids, "<u4").tobytes()
-        return found
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        cuts: list[list[str] | None] = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                cuts.append(None)
-                continue
-            head, *rest = self.CUT.split(text)
-            cuts.append([head, *[" " + piece for piece in rest]])
-        fresh = self.learn(set().union(*[c for c in cuts if c is not None]))
-        known, out = self.known, []
-        for text, pieces in zip(texts, cuts):
-            if pieces is None:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                ids = b"".join([known[p] if p in known else fresh[p] for p in pieces])
-            out.append(ids + end)
-        for piece, ids in fresh.items():
-            known.keep(piece, ids)
-        return out
+        self.kind = np.dtype(id_kind(self.tokenizer.get_vocab_size()))
+        self.word = regex.compile(self.WORD.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.latin = latin_pattern(self.WORD)
+        self.words = Memo(self.encode_word, 400_000)
+        # The id of a line end, if that is one token and nothing else has it.
+        ends = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = ends[0] if len(ends) == 1 else None
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def encode_word(self, word: str) -> bytes:
+        return self.ids(word).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Encode many words in few calls: line ends between them are words of their own."""
+        visible = [w for w in words if not w.isspace()]
+        if self.line_end is None or not visible:
+            return
+        self.words.room(len(visible))
+        size = self.kind.itemsize
+        for low in range(0, len(visible), 100):
+            part = visible[low:low + 100]
+            ids = self.ids("\n".join(part))
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            if len(ends) == len(part):
+                data, at = ids.tobytes(), 0
+                for word, end in zip(part, ends.tolist()):
+                    self.words.keep(word, data[at * size:end * size])
+                    at = end + 1
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # A text with a special token is left to the library, as one word.
+        cuts = [[t] if any(s in t for s in self.special) else (self.latin if OTHER.search(t) is None else self.word).findall(t) for t in texts]
+        self.learn(self.words.unknown(set(chain.from_iterable(c for c in cuts if len(c) > 1))))
+        return [b"".join(map(self.words.__getitem__, cut)) for cut in cuts]
+
+
+def id_kind(vocabulary_size: int) -> str:
+    """The narrowest little-endian type of an id."""
+    return "<u2" if vocabulary_size <= 1 << 16 else "<u4"
 
 
 @lru_cache(maxsize=2)
@@ -178,31 +192,32 @@ def tokens_of(path: str) -> Tokens:
 def token_blocks(docs: DataFrame, path: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Uncoded blocks of consecutive documents in ascending doc_id order.
 
-    part, block, start (tokens of the part before the block), n_tokens, doc_ids, lengths,
-    ids (little-endian 32-bit).  The range partitioning also looks at a hash of the text, so
+    part, block, start (tokens of the part before the block), n_tokens, width (bytes of an
+    id), doc_ids, lengths, ids.  The range partitioning also looks at a hash of the text, so
     an id that many rows share is spread.
     """
-    end = np.array([end_id], "<u4").tobytes()
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()),
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()),
                         ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = tokens_of(path)
+        width = tokens.kind.itemsize
+        end = np.array([end_id], tokens.kind).tobytes()
         part, block, start = TaskContext.get().partitionId(), 0, 0
         doc_ids, pieces, held = [], [], 0
 
         def close() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{
-                "part": part, "block": block, "start": start, "n_tokens": held, "doc_ids": doc_ids,
-                "lengths": [len(p) // 4 for p in pieces], "ids": b"".join(pieces)}], schema)
+                "part": part, "block": block, "start": start, "n_tokens": held, "width": width, "doc_ids": doc_ids,
+                "lengths": [len(p) // width for p in pieces], "ids": b"".join(pieces)}], schema)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):  # bounds what is encoded at once
-                rows = batch.slice(low, 256)
-                for doc_id, ids in zip(rows["doc_id"].to_pylist(), tokens.encode([t or "" for t in rows["text"].to_pylist()], end)):
+            for low in range(0, batch.num_rows, 128):  # bounds what is encoded at once
+                rows = batch.slice(low, 128)
+                for doc_id, ids in zip(rows["doc_id"].to_pylist(), tokens.encode([t or "" for t in rows["text"].to_pylist()])):
                     doc_ids.append(doc_id)
-                    pieces.append(ids)
-                    held += len(ids) // 4
+                    pieces.append(ids + end)
+                    held += len(pieces[-1]) // width
                     if held >= block_tokens:
                         yield close()
                         doc_ids, pieces, block, start, held = [], [], block + 1, start + held, 0
@@ -211,22 +226,28 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, block_tokens: int = BL
 
     keyed = id_and_text(docs).withColumn("h", F.xxhash64("text"))
     ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
-    return ordered.mapInArrow(run, "part int, block int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, ids binary")
+    return ordered.mapInArrow(
+        run, "part int, block int, start long, n_tokens long, width int, doc_ids array<long>, lengths array<long>, ids binary")
+
+
+def plain_ids(ids: pa.Scalar, width: int) -> np.ndarray:
+    """The ids of a block as 32-bit numbers."""
+    return np.frombuffer(ids.as_buffer(), f"<u{width}").astype("<u4")
 
 
 def token_counts(blocks: DataFrame) -> DataFrame:
     """id, n over all blocks: counted in each task before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for ids in chain.from_iterable(batch["ids"] for batch in batches):
-            counts = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+        for ids, width in chain.from_iterable(zip(batch["ids"], batch["width"].to_pylist()) for batch in batches):
+            counts = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"))
             if len(counts) > len(total):
                 total = np.pad(total, (0, len(counts) - len(total)))
             total[:len(counts)] += counts
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    return blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # --- files -----------------------------------------------------------------------------
@@ -267,15 +288,15 @@ def write_tokens(docs: DataFrame, target: str, path: str, end_id: int = 0, lanes
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                data = row["ids"][0].as_buffer()
-                payload, marks = coder.encode(np.frombuffer(data, "<u4"), lanes, every)
-                made = [[lanes], [every], [marks], [payload], [zlib.crc32(data)]]
+                ids = plain_ids(row["ids"][0], row["width"][0].as_py())
+                payload, marks = coder.encode(ids, lanes, every)
+                made = [[lanes], [every], [marks], [payload], [zlib.crc32(ids)]]
                 yield pa.RecordBatch.from_arrays(
                     [row[c] for c in schema.names[:6]] + [pa.array(v, schema.field(c).type) for c, v in zip(schema.names[6:], made)],
                     schema=schema)
 
-    placed = blocks.join(offsets, "part").select(
-        "part", "block", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "doc_ids", "lengths", "ids")
+    placed = blocks.join(F.broadcast(offsets), "part").select(
+        "part", "block", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "doc_ids", "lengths", "ids", "width")
     placed.mapInArrow(run, "part int, block int, start long, n_tokens long, doc_ids array<long>, lengths array<long>, "
                            "lanes int, every int, marks binary, payload binary, crc32 long").write.parquet(f"{target}/blocks")
     staging.close()
