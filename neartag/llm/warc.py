@@ -38,10 +38,11 @@ DATE = "1970-01-01T00:00:00Z"  # for sources that carry no date
 # Elements that begin and end a line of text.
 BLOCKS = frozenset("""address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 head header hr html legend li main nav ol option p pre section table tbody td tfoot th thead title tr ul""".split())
+# Each alternative takes its first way and never goes back, so a page is read in linear time.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*)[^>]*>|<[!?][^>]*>", re.S | re.I)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-LINK = re.compile(r"<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-z][^\s/>]*+)[^>]*+>|<[!?][^>]*+>", re.S | re.I)
+TITLE, TITLE_END = re.compile(r"<title\b[^>]*+>", re.I), re.compile(r"</title", re.I)
+HREF = re.compile(r"\shref\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -53,15 +54,49 @@ def urn(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, name)}>"
 
 
-def plain_text(page: str) -> str:
-    """The text of a page: a line per block, white space folded, scripts and comments left out."""
+def open_at_end(head: str) -> bool:
+    """Whether a comment, script or the like has no end."""
+    last = None
+    for last in MARKUP.finditer(head):
+        pass
+    if last is None or last.end() < len(head):
+        return False
+    text = last[0]
+    return text.startswith("<!--") and not text.endswith("-->") or bool(last[1]) and not re.search(r"</" + last[1] + r"\s*>\Z", text, re.I)
+
+
+def read_page(page: str) -> tuple[str, str, list[str]]:
+    """Plain text, title and link targets of a page.
+
+    The text has a line per block; white space is folded, scripts and comments are left out.
+    """
+    links: list[str] = []
+
     def gap(found: re.Match) -> str:
-        return "\n" if found[3] and found[3].lower() in BLOCKS else ""
+        name = (found[3] or "").lower()
+        if name == "a" and not found[2]:
+            target = HREF.search(found[0])
+            if target:
+                links.append(html.unescape(target[1] or target[2] or target[3] or ""))
+        return "\n" if name in BLOCKS else ""
 
     # Line ends of the source are white space; only blocks begin a line.
-    bare = MARKUP.sub(gap, " ".join(page.split()))
-    lines = (" ".join(line.split()) for line in html.unescape(bare).split("\n"))
-    return "\n".join(line for line in lines if line)
+    folded = " ".join(page.split())
+    # Behind the last ">" no tag can end, so what is there is text, or an open comment or script.
+    last = folded.rfind(">") + 1
+    head, tail = folded[:last], folded[last:]
+    marked = MARKUP.sub(gap, head)
+    if tail.strip() and open_at_end(head):
+        tail = ""
+    lines = (" ".join(line.split()) for line in html.unescape(marked + tail).split("\n"))
+    begin = TITLE.search(head)
+    end = TITLE_END.search(head, begin.end()) if begin else None
+    title = " ".join(html.unescape(MARKUP.sub("", head[begin.end():end.start()])).split()) if end else ""
+    return "\n".join(line for line in lines if line), title, links
+
+
+def plain_text(page: str) -> str:
+    return read_page(page)[0]
 
 
 @dataclass
@@ -153,13 +188,10 @@ def derive(data: bytes) -> Derived:
     response_id = source.get("WARC-Record-ID") or urn(hashlib.sha1(data).hexdigest())
     target = source.get("WARC-Target-URI")
     kept = [(k, v) for k in ("WARC-Target-URI", "WARC-Date") if (v := source.get(k)) is not None]
-    text = plain_text(page)
+    text, title, references = read_page(page)
     body = text.encode("utf-8", "surrogatepass")
-    found = TITLE.search(page)
-    title = " ".join(html.unescape(MARKUP.sub("", found[1])).split()) if found else ""
     links = []
-    for one in LINK.findall(page):
-        reference = html.unescape(one[0] or one[1] or one[2])
+    for reference in references:
         try:
             links.append(urljoin(target or "", reference))
         except ValueError:
