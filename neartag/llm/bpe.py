@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from neartag.llm.common import Memo, id_and_text
+from neartag.llm.common import Memo, id_and_text, slices
 
 
 # Latin letters up to U+017F: in normal form, letters for every engine, in either case.
@@ -175,7 +175,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [bpe.encode(t or "") for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(map(len, ids), pa.int64()), pa.array(ids, schema.field("ids").type)], schema=schema)
@@ -187,7 +187,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text of rows with doc_id and ids; null ids give an empty text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array((bpe.decode(x or []) for x in batch["ids"].to_pylist()), pa.string())],
                 ["doc_id", "text"])
@@ -208,7 +208,7 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
+        for batch in slices(batches):
             counts, lists, of_ids, of_text = [], [], [], []
             for text in batch["text"]:
                 ids = bpe.encode(text.as_py() or "")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neartag.llm.common import id_and_text
+from neartag.llm.common import id_and_text, slices
 
 PASSAGE = 64
 SHINGLE = 5
@@ -201,7 +201,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 found = [(doc_id, item_id, overlap) for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"])
                          for item_id, overlap in own.leaks(words_of(text.as_py()), similarity, threshold)]
                 yield pa.RecordBatch.from_arrays(

@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from neartag.llm.common import slices
+
 DOCS_PER_LANGUAGE = 64
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 6
@@ -98,7 +100,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], level: int = LEVEL, margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = compressors(fixed, level)
-        for batch in batches:
+        for batch in slices(batches):
             judged = [own.judge(t.as_py() or "") for t in batch["text"]]
             made = {"lang_pred": pa.array([x[0] for x in judged], pa.string()), "score": pa.array([x[1] for x in judged], pa.float64()),
                     "rejected": pa.array([x[0] == UNKNOWN or x[2] < margin for x in judged], pa.bool_())}

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neartag.llm.common import batches_by_group
+from neartag.llm.common import batches_by_group, slices
 from neartag.plans.staging import Staging
 
 MIN_CHARS = 20  # code points of a key
@@ -60,7 +60,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     schema = pa.schema(FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             digests, rows, counts, positions = [], [], [], []
             for row, text in enumerate(batch["text"]):
                 n, found = line_hashes(text.as_py() or "", min_chars)
@@ -181,7 +181,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     joined = rows.join(bitmaps.select("doc_id", "version", "keep"), ["doc_id", "version"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, counts, dropped = [], [], []
             for text, keep in zip(batch["text"], batch["keep"]):
                 lines = (text.as_py() or "").split("\n")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neartag.llm.common import id_and_text
+from neartag.llm.common import id_and_text, slices
 
 FIT_ROWS = 20_000
 BINS = 32
@@ -66,7 +66,7 @@ def measures(text: str) -> list[float]:
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, x (array of double) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [measures(t.as_py() or "") for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -218,7 +218,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, learn_from: Column, fit_ro
 def score(docs: DataFrame, model: Additive) -> DataFrame:
     """doc_id, score (0 to 1), predicted of every row; only the text is judged."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([measures(t.as_py() or "") for t in batch["text"]], float).reshape(-1, len(FEATURES))
             scores = model.scores(x)
             yield pa.RecordBatch.from_arrays(

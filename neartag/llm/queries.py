@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neartag.llm import bpe, decontaminate, langid, lines, quality, rans, shards, simhash, topk, warc
-from neartag.llm.common import remainder
+from neartag.llm.common import remainder, small_batches
 from neartag.plans.staging import Staging
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neartag.llm.common import batches_by_group, id_and_text
+from neartag.llm.common import batches_by_group, id_and_text, slices
 from neartag.plans.staging import Staging
 
 SEED = 42
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, sketches: bool = False) -> D
     names = ["doc_id", "fp", "sketch"] if sketches else ["doc_id", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes = (shingle_hashes(t.as_py() or "", shingle) for t in batch["text"])
             made = [(fingerprint(h), sketch(h)) if sketches else (fingerprint(h),) for h in hashes]
             columns = [pa.array([m[0] for m in made], pa.int64())]

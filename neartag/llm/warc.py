@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from neartag.llm.common import slices
+
 VERSION = "WARC/1.0"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # name space of URLs (RFC 4122)
 DATE = "1970-01-01T00:00:00Z"  # for sources that carry no date
@@ -213,7 +215,7 @@ def derive(data: bytes) -> Derived:
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """page_id, record: response records of pages (page_id, url, html)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [response_of(i, u.as_py(), h.as_py(), date) for i, u, h in zip(batch["page_id"].to_pylist(), batch["url"], batch["html"])]
             yield pa.RecordBatch.from_arrays([batch["page_id"], pa.array(made, pa.binary())], ["page_id", "record"])
 
@@ -232,7 +234,7 @@ def derivatives(records: DataFrame, key: str = "page_id", columns: tuple[str, ..
     ``conversion`` and ``metadata`` are whole records; ``columns`` leaves out what is not needed.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for data in batch["record"]:
                 try:
