@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from checks.derive import ALL_FIELDS
-from neartag.functions.text import EMAIL_PATTERN, MAX_TOKEN_LENGTH, STOP_WORDS, URL_PATTERN
 
-STOP_LIST = ", ".join(f"'{w}'" for w in STOP_WORDS)
+# Written out here, so that a fault in the library's own lists and patterns shows.
+STOP_LIST = """'a', 'an', 'and', 'are', 'as', 'at', 'be', 'but', 'by', 'for', 'if', 'in', 'into', 'is', 'it', 'no', 'not', 'of', 'on',
+    'or', 'such', 'that', 'the', 'their', 'then', 'there', 'these', 'they', 'this', 'to', 'was', 'will', 'with'"""
+URL_PATTERN = r"(?:https?|ftp)://[^\s<>\"]*[\p{L}\p{N}/]|www\.[^\s<>\"]*[\p{L}\p{N}/]"
+EMAIL_PATTERN = r"[a-z0-9._%+\-]+@[a-z0-9\-]+(?:\.[a-z0-9\-]+)+"
 WORD = r"[\p{L}\p{N}]+"
 URL_EMAIL_WORD = f"{URL_PATTERN}|{EMAIL_PATTERN}|{WORD}"
 
@@ -34,7 +37,7 @@ BOTH = f"{TRAIN}, {TEST}, both_ AS (SELECT * FROM train UNION ALL SELECT * FROM
 
 def analysed(text: str, pattern: str = WORD) -> str:
     return (f"list_filter(regexp_extract_all(lower({text}), '{pattern}'), "
-            f"lambda t: t NOT IN ({STOP_LIST}) AND length(t) <= {MAX_TOKEN_LENGTH})")
+            f"lambda t: t NOT IN ({STOP_LIST}))")
 
 
 def indexed(source: str = "both_", text: str = "body", pattern: str = WORD, p: str = "") -> str:
@@ -48,14 +51,14 @@ def indexed(source: str = "both_", text: str = "body", pattern: str = WORD, p: s
         sum(doc_len)::DOUBLE / count(*) AS avgdl FROM {p}len)"""
 
 
-def selected(source: str = "test", text: str = "body", max_tokens: int = 5000, min_tf: int = 1,
+def selected(source: str = "test", text: str = "body", max_tokens: int | None = None, min_tf: int = 1,
              limit: str = "s.df >= 1", max_terms: int = 25, boost: str = "1.0",
              limits_from: str | None = None, p: str = "") -> str:
     """qtf and qt (query_id, term, tf, df, idf, micro, rank, boost)."""
     join_limits = f"JOIN {limits_from} lim ON lim.term = q.term" if limits_from else ""
     stats = f"LEFT JOIN {p}stats s ON s.term = q.term" if limits_from else f"JOIN {p}stats s ON s.term = q.term"
     return f"""{p}qtf AS (SELECT query_id, term, count(*) AS tf FROM (
-  SELECT id AS query_id, unnest(({analysed(text)})[1:{max_tokens}]) AS term FROM {source}) GROUP BY ALL),
+  SELECT id AS query_id, unnest(({analysed(text)}){'' if max_tokens is None else f'[1:{max_tokens}]'}) AS term FROM {source}) GROUP BY ALL),
 {p}qs AS (SELECT q.query_id, q.term, q.tf, coalesce(s.df, 0) AS df,
     ln(1.0::DOUBLE + (n_docs - coalesce(s.df, 0) + 0.5::DOUBLE) / (coalesce(s.df, 0) + 0.5::DOUBLE)) AS idf
   FROM {p}qtf q {stats} {join_limits}, {p}n WHERE q.tf >= {min_tf} AND {limit}),
@@ -201,10 +204,13 @@ ORACLE: dict[str, str] = {
     "test_csv_round_trip": f"WITH {TEST} SELECT id, title, body, tags FROM test",
     "questions_table_round_trip": f"WITH {TRAIN} SELECT id, title, body, code, links, tags FROM train",
     "neighbor_lines_round_trip": f"WITH {neighbors()} SELECT query_id, rank, id, tags FROM nb",
+    "quoted_neighbor_lines": f"""WITH {TRAIN} SELECT -id - 1 AS query_id, 1::INTEGER AS rank, id * -2 AS id,
+        '"' || replace(tags, ' ', '",""') || ',1,"x"' AS tags FROM train""",
     "predictions_round_trip": f"WITH {TRAIN} SELECT id, tags FROM train",
     "score_lines_round_trip": f"WITH {TAG_SCORES} SELECT id, tag, score FROM scores",
     "example_lines_round_trip": f"""WITH {TRAIN}, cand AS (SELECT id, unnest({parsed('tags')}) AS tag FROM train),
-        wb AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({analysed('title')}) AS term FROM train) GROUP BY ALL),
+        wb AS (SELECT id, term, count(*) AS n FROM (
+          SELECT id, unnest({analysed('title')}) AS term FROM train UNION ALL SELECT id, unnest({analysed('body')}) FROM train) GROUP BY ALL),
         feat AS (SELECT id, string_agg(' _' || replace(term, ':', '_COLON_') || ':' || n, '' ORDER BY term) AS f FROM wb GROUP BY id)
         SELECT CASE WHEN c.id % 10 = 0 THEN '1' ELSE '-1' END || ' ' || c.id || '^' || c.tag || '|' || c.tag || ' ' || coalesce(f, '') AS value
         FROM cand c LEFT JOIN feat ON feat.id = c.id""",
@@ -251,7 +257,7 @@ ORACLE: dict[str, str] = {
     "source_tf": f"""WITH {TRAIN} SELECT query_id, term, count(*) AS tf FROM (
         SELECT id AS query_id, unnest(({analysed('body')})[1:50]) AS term FROM train) GROUP BY ALL""",
     "noise_filter": f"""WITH {TRAIN} SELECT query_id, term, count(*) AS tf FROM (
-        SELECT id AS query_id, unnest(({analysed('body')})[1:50]) AS term FROM train)
+        SELECT id AS query_id, unnest({analysed('body')}) AS term FROM train)
         WHERE length(term) BETWEEN 4 AND 9 AND term NOT IN ('with', 'dans', 'para') GROUP BY ALL""",
     "min_term_freq": f"WITH {BOTH}, {indexed()}, {selected(min_tf=2)} SELECT query_id, term, tf, rank::INTEGER AS rank FROM qt",
     "doc_freq_limits": f"""WITH {BOTH}, {indexed()}, {selected(limit='s.df BETWEEN 5 AND 100')}
@@ -272,7 +278,7 @@ ORACLE: dict[str, str] = {
     "interesting_terms": f"""WITH {BOTH}, {indexed()}, {selected()}
         SELECT query_id, string_agg(term, ' ' ORDER BY rank) AS terms FROM qt GROUP BY query_id""",
     "terms_like_documents": f"""WITH {BOTH}, {indexed()},
-        {selected('train', max_tokens=1000000, min_tf=2, limit='s.df >= 5')}
+        {selected('train', min_tf=2, limit='s.df >= 5')}
         SELECT query_id, term, tf, df, micro::DOUBLE / 1000000 AS score, rank::INTEGER AS rank FROM qt""",
     "term_details": f"""WITH {BOTH}, {indexed()}, {selected()} SELECT query_id, term AS word, 'text' AS top_field,
         micro::DOUBLE / 1000000 AS score, round(idf, 6) AS idf, df, tf FROM qt""",
@@ -320,6 +326,10 @@ ORACLE: dict[str, str] = {
         FROM cand c LEFT JOIN truth t ON t.id = c.id AND t.tag = c.tag LEFT JOIN feat ON feat.id = c.id""",
     "predict_from_scores": f"""WITH {TAG_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tag) AS place FROM scores)
         SELECT id, coalesce(string_agg(tag, ' ' ORDER BY tag) FILTER (score > 0), max(tag) FILTER (place = 1)) AS tags FROM r GROUP BY id""",
+    "predict_from_odd_scores": f"""WITH {TAG_SCORES}, odd AS (SELECT id, tag, CASE WHEN id % 5 = 0 OR (id + length(tag)) % 3 = 0 THEN NULL ELSE score END AS score FROM scores),
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC NULLS LAST, tag) AS place FROM odd)
+        SELECT id, coalesce(string_agg(tag, ' ' ORDER BY tag) FILTER (score > 0), max(tag) FILTER (place = 1 AND score IS NOT NULL), '') AS tags FROM r GROUP BY id""",
+    "repeated_truth": f"""WITH {TRAIN} SELECT id, len(list_distinct({parsed('tags')})) AS tp, len({parsed('tags')}) AS n_expected, false AS missing FROM train""",
     "per_row_scores": f"""WITH {held_out(5)}, {union_tags(2, 'asked')}, {ROW_SCORES}
         SELECT id, tp, n_predicted, n_expected, round("precision", 6) AS "precision", round(recall, 6) AS recall, missing FROM prs""",
     "mean_product_score": f"""WITH {held_out(5)}, {union_tags(1, 'asked')}, {ROW_SCORES}
@@ -330,8 +340,8 @@ ORACLE: dict[str, str] = {
     "split_overlap": f"""WITH {SPLIT} SELECT count(*) AS n_test,
         count(*) FILTER (body IN (SELECT body FROM kept)) AS n_overlap FROM asked""",
     "sample_rows": f"WITH {TRAIN} SELECT id, title, tags FROM train ORDER BY id LIMIT 10000",
-    "bag_of_words": bag(["title", "body", "tags"], 500) + "SELECT id, feature, n FROM bow",
-    "binarized_bag": bag(["title"], 200) + "SELECT id, feature, 1::BIGINT AS n FROM bow",
+    "bag_of_words": bag(["title", "body", "tags"], 10000) + "SELECT id, feature, n FROM bow",
+    "binarized_bag": bag(["title", "body", "tags"], 10000) + "SELECT id, feature, 1::BIGINT AS n FROM bow",
     "label_matrix": f"""WITH {TRAIN}, p AS (SELECT id, unnest({parsed('lower(tags)')}) AS label FROM train),
         v AS (SELECT label, (row_number() OVER (ORDER BY count(*) DESC, label) - 1)::INTEGER AS label_id FROM p GROUP BY label)
         SELECT id, label_id, label FROM p JOIN v USING (label) WHERE label_id < 10000""",

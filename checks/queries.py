@@ -107,6 +107,16 @@ def neighbor_lines_round_trip(spark, sf_dir):
     return files.read_neighbors(spark, path)
 
 
+@query
+def quoted_neighbor_lines(spark, sf_dir):
+    """Negative ids, and tags that hold quotes and commas."""
+    path = Staging(spark).path + "/quoted"
+    rows = derive.train(spark, sf_dir).select((-F.col("id") - 1).alias("query_id"), F.lit(1).alias("rank"), (F.col("id") * -2).alias("id"),
+                                              F.concat(F.lit('"'), F.replace("tags", F.lit(" "), F.lit('",""')), F.lit(',1,"x"')).alias("tags"))
+    files.write_neighbors(nn.pack_neighbors(rows, rows), path)
+    return files.read_neighbors(spark, path)
+
+
 @query
 def predictions_round_trip(spark, sf_dir):
     path = Staging(spark).path + "/predictions"
@@ -128,7 +138,7 @@ def example_lines_round_trip(spark, sf_dir):
     path = Staging(spark).path + "/examples"
     questions = derive.train(spark, sf_dir)
     labelled = predict.label_candidates(predict.tag_pairs(questions), derive.held_out(questions))
-    files.write_examples(predict.make_examples(labelled, tokens.word_bag(questions, ["title"])), path)
+    files.write_examples(predict.make_examples(labelled, tokens.word_bag(questions)), path)
     return spark.read.text(path)
 
 
@@ -314,7 +324,7 @@ def source_tf(spark, sf_dir):
 @query
 def noise_filter(spark, sf_dir):
     queries = derive.as_queries(derive.train(spark, sf_dir))
-    params = TermParams(max_tokens=50, min_word_len=4, max_word_len=9, stop_words=("with", "dans", "para"))
+    params = TermParams(min_word_len=4, max_word_len=9, stop_words=("with", "dans", "para"))
     return terms.source_tf(queries, params)
 
 
@@ -535,6 +545,20 @@ def predict_from_scores(spark, sf_dir):
 
 # --- evaluation ---------------------------------------------------------------------------------
 
+@query
+def predict_from_odd_scores(spark, sf_dir):
+    """Scores that are not numbers or missing; some ids have no other."""
+    odd = F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).when((F.col("id") + F.length("tag")) % 3 == 0, F.lit(None)).otherwise(F.col("score"))
+    return predict.predict_from_scores(tag_scores(spark, sf_dir).withColumn("score", odd))
+
+
+@query
+def repeated_truth(spark, sf_dir):
+    """Every id is twice in the truth, with other tags the second time."""
+    rows = derive.train(spark, sf_dir).select("id", "tags")
+    return evaluate.per_row_scores(rows, rows.unionByName(rows.withColumn("tags", F.concat(F.lit("zz "), "tags")))).select("id", "tp", "n_expected", "missing")
+
+
 @query
 def per_row_scores(spark, sf_dir):
     questions, queries, found = held_out_neighbors(spark, sf_dir, 5, Staging(spark))
@@ -571,12 +595,12 @@ def sample_rows(spark, sf_dir):
 
 @query
 def bag_of_words(spark, sf_dir):
-    return learn.bag_of_words(derive.train(spark, sf_dir), size=500)
+    return learn.bag_of_words(derive.train(spark, sf_dir))
 
 
 @query
 def binarized_bag(spark, sf_dir):
-    return learn.binarize(learn.bag_of_words(derive.train(spark, sf_dir), ["title"], 200))
+    return learn.binarize(learn.bag_of_words(derive.train(spark, sf_dir)))
 
 
 @query
@@ -599,7 +623,7 @@ def ml_knn(spark, sf_dir):
 
 @query
 def cross_validate_ml_knn(spark, sf_dir):
-    questions = learn.sample_rows(derive.train(spark, sf_dir)).withColumn("text", F.col("body"))
+    questions = derive.train(spark, sf_dir).withColumn("text", F.col("body"))
     staging = Staging(spark)
     index = search.stage_index(questions, staging)
     rows = learning.cross_validate_ml_knn(

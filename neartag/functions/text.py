@@ -21,9 +21,6 @@ STOP_WORDS = (
     "their", "then", "there", "these", "they", "this", "to", "was", "will", "with",
 )
 
-# Fixed value: the longest token an analyzer keeps unless told otherwise.
-MAX_TOKEN_LENGTH = 255
-
 # Patterns work on lower-cased text.
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 URL_PATTERN = r"(?:https?|ftp)://[^\s<>\"]*[\p{L}\p{N}/]|www\.[^\s<>\"]*[\p{L}\p{N}/]"
@@ -40,8 +37,8 @@ def pattern_tokens(text: Column, pattern: str) -> Column:
 
 
 def drop_tokens(tokens: Column, stop_words: Iterable[str] = STOP_WORDS,
-                max_length: int = MAX_TOKEN_LENGTH) -> Column:
-    """Leave out stop words and tokens longer than ``max_length`` (0 = any length)."""
+                max_length: int = 0) -> Column:
+    """Leave out stop words and, on request, tokens longer than ``max_length``."""
     words = list(stop_words)
 
     def keep(token: Column) -> Column:
@@ -67,7 +64,7 @@ def url_email_porter(text: Column) -> Column:
 
 
 def make_url_email_porter(stop_words: Iterable[str] = STOP_WORDS,
-                          max_length: int = MAX_TOKEN_LENGTH) -> Analyzer:
+                          max_length: int = 0) -> Analyzer:
     """The stemming analyzer with the caller's stop words and length limit."""
     words = tuple(stop_words)
     return lambda text: stem_array(

@@ -48,6 +48,7 @@ def pack_bag(bag: DataFrame, key: str = "id") -> DataFrame:
 
 def make_examples(candidates: DataFrame, bag: DataFrame) -> DataFrame:
     """id, tag, label, features for every candidate tag."""
+    # Ids of a bag are unique once packed.
     return (candidates.join(pack_bag(bag), "id", "left")
             .select("id", "tag", "label", "features"))
 
@@ -74,13 +75,14 @@ def format_examples(examples: DataFrame) -> DataFrame:
 def predict_from_scores(scores: DataFrame, threshold: float = 0.0) -> DataFrame:
     """id, tags: the tags that score above the threshold, else the single best one.
 
-    NaN never wins; ties for the best go to the alphabetically first tag.  All parts are
-    aggregates with a map-side combine.
+    NaN and null never win; an id that has nothing else gets empty tags.  Ties for the best
+    go to the alphabetically first tag.  All parts are aggregates with a map-side combine.
     """
-    real = scores.filter(~F.isnan("score"))
-    best = F.min_by("tag", F.struct(-F.col("score"), F.col("tag")))
-    picked = real.groupBy("id").agg(
-        F.collect_set(F.when(F.col("score") > threshold, F.col("tag"))).alias("above"),
+    real = F.col("score").isNotNull() & ~F.isnan("score") & F.col("tag").isNotNull()
+    # min skips null, so rows without a real score do not compete.
+    best = F.min(F.when(real, F.struct((-F.col("score")).alias("score"), F.col("tag")))).getField("tag")
+    picked = scores.groupBy("id").agg(
+        F.collect_set(F.when(real & (F.col("score") > threshold), F.col("tag"))).alias("above"),
         best.alias("best"))
     return picked.select("id", F.when(F.size("above") > 0, join_tags(F.col("above")))
-                         .otherwise(F.col("best")).alias("tags"))
+                         .otherwise(F.coalesce("best", F.lit(""))).alias("tags"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from neartag.functions.html import split_page
+from neartag.plans.staging import Staging
 
 # Comments, and the text of scripts and styles, hold no tags of their own.
 NOT_MARKUP = (r"(?is)<!--.*?(?:-->|\z)"
@@ -18,9 +19,6 @@ NOT_MARKUP = (r"(?is)<!--.*?(?:-->|\z)"
 START_TAG = r"<([a-zA-Z][a-zA-Z0-9]*)"
 LINK_TEXT = r"(?is)<a\b[^>]*>([^<]*)</a>"
 
-# Up to this many rows a sorted limit is cheaper than numbering the rows.
-SMALL_LIMIT = 10_000
-
 
 def concat_fields(title: Column | str = "title", body: Column | str = "body",
                   code: Column | str = "code", links: Column | str = "links") -> Column:
@@ -102,30 +100,25 @@ def tag_counts(df: DataFrame, tags_col: str = "tags", keep_empty: bool = False)
     return tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy("n", "tag")
 
 
-def number_rows(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
-    """Add ``row_number``, the 0-based position in the order of a unique numeric key.
+def number_rows(df: DataFrame, key: str, staging: Staging | None = None) -> DataFrame:
+    """Add ``row_number``, the 0-based position in the order of any orderable key.
 
-    No global window: the key range is cut at its quantiles, rows are numbered within a
-    range, and the sizes of the earlier ranges are added.  A range holds about
-    ``n / buckets`` rows whatever the distribution of the key.
+    No global window: rows are range-partitioned by the key and written once in that order;
+    a row's number is its place in its range plus the sizes of the earlier ranges.  Rows with
+    equal keys are numbered one after the other.
     """
-    if buckets is None:
-        buckets = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # The error of the quantiles is n / accuracy, a small part of one range.
-    cuts = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)],
-                                      20 * buckets).alias("cuts"))
-    ranged = (df.withColumn("_cuts", cuts.scalar())
-              .withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut < F.col(key))))
-              .drop("_cuts"))
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    # At most one row per range, so neither the window nor the broadcast grows with the data.
+    staging = (staging or Staging(df.sparkSession)).child("numbered")
+    marked = (df.repartitionByRange(key).sortWithinPartitions(key)
+              .withColumn("_mark", F.monotonically_increasing_id()))
+    # The mark holds the number of the range above 33 bits that count its rows.
+    rows = staging.write(marked, "rows").withColumn("_range", F.shiftright("_mark", 33))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    # One row per range, so neither the window nor the broadcast grows with the rows of a range.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_range").orderBy(key)
-    return (ranged.withColumn("_i", F.row_number().over(within) - 1)
-            .join(F.broadcast(offsets), "_range")
-            .withColumn("row_number", (F.col("_before") + F.col("_i")).cast("bigint"))
-            .drop("_range", "_i", "_before"))
+    place = F.col("_mark").bitwiseAND(F.lit((1 << 33) - 1))
+    return (rows.join(F.broadcast(offsets), "_range")
+            .withColumn("row_number", F.col("_before") + place).drop("_range", "_mark", "_before"))
 
 
 def slice_rows(df: DataFrame, size: int = 10_000, order_by: str = "id") -> DataFrame:
@@ -139,6 +132,4 @@ def take_first(df: DataFrame, n: int, order_by: str = "id") -> DataFrame:
     """The first ``n`` rows in key order; 0 means all rows."""
     if n <= 0:
         return df
-    if n <= SMALL_LIMIT:
-        return df.orderBy(order_by).limit(n)
     return number_rows(df, order_by).filter(F.col("row_number") < n).drop("row_number")

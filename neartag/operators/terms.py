@@ -21,7 +21,7 @@ FREQUENT_SHARE = 100
 class TermParams:
     """Selection settings; 0 or None switches a limit off."""
 
-    max_tokens: int = 5000
+    max_tokens: int = 0
     min_term_freq: int = 2
     min_doc_freq: int = 5
     max_doc_freq: int | None = None

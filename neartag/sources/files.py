@@ -37,9 +37,9 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def format_neighbors(packed: DataFrame) -> DataFrame:
-    """value: ``id,doc,"tags",doc,"tags"`` per query, from ``pack_neighbors``."""
+    """value: ``id,doc,"tags",doc,"tags"`` per query, from ``pack_neighbors``; quotes are doubled."""
     hits = F.transform("neighbors", lambda n: F.concat(
-        F.lit(","), n.id.cast("string"), F.lit(',"'), n.tags, F.lit('"')))
+        F.lit(","), n.id.cast("string"), F.lit(',"'), F.replace(n.tags, F.lit('"'), F.lit('""')), F.lit('"')))
     return packed.select(F.concat(F.col("query_id").cast("string"), F.array_join(hits, "")).alias("value"))
 
 
@@ -51,13 +51,14 @@ def write_neighbors(packed: DataFrame, path: str, gzip: bool = True, mode: str =
 
 def parse_neighbors(lines: DataFrame) -> DataFrame:
     """query_id, rank, id, tags from neighbour lines (column value)."""
-    # A field is a quoted string or anything up to the next comma.
-    hits = F.regexp_extract_all("value", F.lit(r',(\d+),"([^"]*)"'), F.lit(0))
-    return (lines.select(F.regexp_extract("value", r"^(\d+)", 1).cast("bigint").alias("query_id"),
+    # Inside quotes, a doubled quote stands for one.
+    hits = F.regexp_extract_all("value", F.lit(r',(-?\d+),"((?:[^"]|"")*+)"'), F.lit(0))
+    quoted = F.regexp_extract("hit", r'^,-?\d+,"(.*)"$', 1)
+    return (lines.select(F.regexp_extract("value", r"^(-?\d+)", 1).cast("bigint").alias("query_id"),
                          F.posexplode(hits).alias("pos", "hit"))
             .select("query_id", (F.col("pos") + 1).alias("rank"),
-                    F.regexp_extract("hit", r"^,(\d+)", 1).cast("bigint").alias("id"),
-                    F.regexp_extract("hit", r'"([^"]*)"', 1).alias("tags")))
+                    F.regexp_extract("hit", r"^,(-?\d+)", 1).cast("bigint").alias("id"),
+                    F.replace(quoted, F.lit('""'), F.lit('"')).alias("tags")))
 
 
 def read_neighbors(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +69,7 @@ def read_neighbors(spark: SparkSession, path: str) -> DataFrame:
 def read_neighbor_queries(spark: SparkSession, path: str) -> DataFrame:
     """query_id of every line, with or without neighbours."""
     return spark.read.text(path).select(
-        F.regexp_extract("value", r"^(\d+)", 1).cast("bigint").alias("query_id"))
+        F.regexp_extract("value", r"^(-?\d+)", 1).cast("bigint").alias("query_id"))
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -6,10 +6,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """``folder/name.parquet``; a table with fewer splits than cores is spread out.
-
-    Large tables have many splits and are read as they are, without a shuffle.
-    """
-    df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``folder/name.parquet``; the splits are left to the reader's settings."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

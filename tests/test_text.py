@@ -107,19 +107,21 @@ def test_rows_are_numbered_whatever_the_keys(spark):
     # Three close keys, many negative ones and a far one: ranges are cut at quantiles.
     keys = list(range(-500, 500, 7)) + [10 ** 12, 10 ** 12 + 1, 10 ** 12 + 2]
     df = spark.createDataFrame([(k,) for k in reversed(keys)], "id long").repartition(5)
-    got = {r.id: r.row_number for r in prepare.number_rows(df, "id", 6).collect()}
+    got = {r.id: r.row_number for r in prepare.number_rows(df, "id").collect()}
     assert got == {k: i for i, k in enumerate(keys)}
     slices = {r.id: r.slice_id for r in prepare.slice_rows(df, 10).collect()}
     assert slices == {k: i // 10 for i, k in enumerate(keys)}
     assert prepare.slice_rows(df.filter("id > 10000000000000"), 10).count() == 0
 
 
-def test_take_first(spark, monkeypatch):
+def test_take_first(spark):
     df = spark.range(100).repartition(4)
     assert sorted(r.id for r in prepare.take_first(df, 7).collect()) == list(range(7))
     assert prepare.take_first(df, 0).count() == 100
-    monkeypatch.setattr(prepare, "SMALL_LIMIT", 5)
-    assert sorted(r.id for r in prepare.take_first(df, 7).collect()) == list(range(7))
+    named = spark.range(10_050).select(F.format_string("n%06d", "id").alias("name"))
+    for n in (10_000, 10_001):
+        got = [r.name for r in prepare.take_first(named, n, "name").collect()]
+        assert sorted(got) == [f"n{i:06d}" for i in range(n)]
 
 
 def test_first_by_id(spark):
