@@ -89,4 +89,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_topk, op2_bpe, op3_token_files, op4_line_dedup, op5_simhash, op6_decontaminate, op7_language, op8_warc, op9_quality, op10_shards)
 }
 
-ORACLE: dict[str, str] = {}
+
+def sql_words(text: str) -> str:
+    """Words as the operator cuts them: at ASCII characters that are no letters or digits."""
+    return rf"list_filter(string_split_regex(lower({text}), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+def sql_shingles(key: str, table: str) -> str:
+    return f"""SELECT DISTINCT {key}, array_to_string(ws[i:i + 4], ' ') AS s FROM (
+    SELECT {key}, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM (SELECT {key}, {sql_words('text')} AS ws FROM {table}) WHERE len(ws) > 0)"""
+
+
+# SQL for DuckDB.  Sharding, fingerprints by XXH64, tokens, coded files, compression, page
+# markup and boosting have none; tests hold those queries against brute force.
+ORACLE: dict[str, str] = {
+    "op1_topk": """WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e)::BIGINT AS score
+    FROM v q JOIN v d ON d.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+  SELECT query_id, rank, vec_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 20""",
+    "op4_line_dedup": r"""WITH l AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+  k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+  d AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+  j AS (SELECT k.*, d.keeper IS NOT NULL AND k.doc_id <> d.keeper AS gone FROM k LEFT JOIN d ON d.key = k.key)
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id""",
+    "op6_decontaminate": f"""WITH item AS ({sql_shingles('item_id', 'benchmark')}), doc AS ({sql_shingles('doc_id', 'documents')}),
+  n AS (SELECT item_id, count(*) AS n FROM item GROUP BY item_id)
+  SELECT d.doc_id, i.item_id, count(*)::DOUBLE / any_value(n.n) AS overlap
+  FROM doc d JOIN item i ON i.s = d.s JOIN n ON n.item_id = i.item_id GROUP BY d.doc_id, i.item_id HAVING count(*)::DOUBLE / any_value(n.n) >= 0.8""",
+}
