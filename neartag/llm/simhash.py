@@ -7,7 +7,8 @@ of them only with more than T differing bits.
 
 The anchors of a 23-bit segment are the 4,096 words of the binary Golay code, whose covering
 radius is 3: every word has a home anchor within 3 bits.  The 18-bit segment uses the code of
-all words, with radius 0.  A fingerprint goes to every anchor within covering radius plus
+all words, with radius 0, or the 2,048 words of the Hamming code over 15 of its bits, with
+radius 1, if it has to allow differing bits.  A fingerprint goes to every anchor within covering radius plus
 threshold of its segment, so it meets each fingerprint that it may link to at the other's
 home anchor, where whole fingerprints are compared.
 
@@ -25,7 +26,9 @@ and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,8 @@ from neartag.plans.staging import Staging
 SEED = 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit and width
 BLOCK = 1 << 16  # fingerprints of an anchor that one task compares
-SLOTS = 128  # bytes of the shingle sketch
+SLOT_BITS = 6
+SLOTS = 1 << SLOT_BITS  # bytes of the shingle sketch
 
 
 # --- fingerprints ------------------------------------------------------------------------
@@ -71,11 +75,12 @@ def sketch(hashes: np.ndarray) -> bytes:
     out = np.zeros(SLOTS, np.uint8)
     if len(hashes):
         # Other bits than the ones that choose the slot decide; equal shingles count once.
-        ordered = np.sort(((hashes & np.uint64(SLOTS - 1)) << np.uint64(57)) | (hashes >> np.uint64(7)))
-        slots = (ordered >> np.uint64(57)).astype(np.int64)
+        rest = np.uint64(64 - SLOT_BITS)
+        ordered = np.sort((hashes << rest) | (hashes >> np.uint64(SLOT_BITS)))
+        slots = (ordered >> rest).astype(np.int64)
         first = np.ones(len(slots), bool)
         first[1:] = slots[1:] != slots[:-1]
-        out[slots[first]] = ((ordered[first] & np.uint64((1 << 57) - 1)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+        out[slots[first]] = ((ordered[first] & np.uint64((1 << (64 - SLOT_BITS)) - 1)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
     return out.tobytes()
 
 
@@ -105,32 +110,45 @@ def thresholds(distance: int) -> list[int]:
     """Per segment the differing bits it has to allow; -1 leaves the segment out."""
     if distance < 2:
         return [0 if i <= distance else -1 for i in range(3)]
-    return [(distance - 1) // 2, (distance - 2) // 2, 0]
-
-
-@lru_cache(maxsize=8)
-def golay_lists(allow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per syndrome of the binary Golay code: the coset leader, and the bounds and list of
-    the code words that lie within 3 + ``allow`` of it."""
-    generator = 0xC75
-    messages = np.arange(4096, dtype=np.int64) << 11
-    words = messages | syndrome(messages, generator)
-    leaders = np.zeros(2048, np.int64)
-    ones = [1 << i for i in range(23)]
-    near = [0, *ones, *[a | b for i, a in enumerate(ones) for b in ones[:i]],
-            *[a | b | c for i, a in enumerate(ones) for j, b in enumerate(ones[:i]) for c in ones[:j]]]
-    near = np.array(near, np.int64)
-    leaders[syndrome(near, generator)] = near
-    inside = np.bitwise_count(words[None, :] ^ leaders[:, None]) <= 3 + allow
-    return leaders, np.concatenate(([0], np.cumsum(inside.sum(axis=1)))), words[np.nonzero(inside)[1]]
+    last = (distance - 2) // 3
+    return [(distance - 1 - last) // 2, (distance - 2 - last) // 2, last]
+
+
+@dataclass(frozen=True)
+class Code:
+    """A perfect cyclic code: every word of ``width`` bits is within ``radius`` of one code word."""
+
+    width: int
+    generator: int  # a polynomial
+    radius: int
+
+    @property
+    def checks(self) -> int:
+        return self.generator.bit_length() - 1
 
+    def syndrome(self, words: np.ndarray) -> np.ndarray:
+        """Remainder modulo the generator polynomial."""
+        rest = words.copy()
+        for bit in range(self.width - 1, self.checks - 1, -1):
+            rest = np.where(rest >> bit & 1, rest ^ (self.generator << (bit - self.checks)), rest)
+        return rest
 
-def syndrome(words: np.ndarray, generator: int = 0xC75) -> np.ndarray:
-    """Remainder modulo the generator polynomial of the Golay code."""
-    rest = words.copy()
-    for bit in range(22, 10, -1):
-        rest = np.where(rest >> bit & 1, rest ^ (generator << (bit - 11)), rest)
-    return rest
+
+GOLAY = Code(23, 0xC75, 3)
+HAMMING = Code(15, 0x13, 1)
+
+
+@lru_cache(maxsize=16)
+def code_lists(code: Code, allow: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per syndrome: the coset leader, and the bounds and list of the code words that lie
+    within radius + ``allow`` of it."""
+    messages = np.arange(1 << (code.width - code.checks), dtype=np.int64) << code.checks
+    words = messages | code.syndrome(messages)
+    errors = np.array([sum(1 << b for b in bits) for n in range(code.radius + 1) for bits in combinations(range(code.width), n)], np.int64)
+    leaders = np.zeros(1 << code.checks, np.int64)
+    leaders[code.syndrome(errors)] = errors
+    inside = np.bitwise_count(words[None, :] ^ leaders[:, None]) <= code.radius + allow
+    return leaders, np.concatenate(([0], np.cumsum(inside.sum(axis=1)))), words[np.nonzero(inside)[1]]
 
 
 def anchors(fps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -140,19 +158,21 @@ def anchors(fps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.nda
     for number, ((first, width), allow) in enumerate(zip(SEGMENTS, thresholds(distance))):
         if allow < 0:
             continue
-        part = ((bits >> np.uint64(first)) & np.uint64((1 << width) - 1)).astype(np.int64)
+        code = GOLAY if width == GOLAY.width else HAMMING
+        own = width if allow == 0 and code is HAMMING else code.width
+        part = ((bits >> np.uint64(first)) & np.uint64((1 << own) - 1)).astype(np.int64)
         base = number << 24
-        if width != 23:
+        if own != code.width:  # the code of all words
             yield rows, base | part, np.ones(len(fps), bool)
             continue
-        leaders, bounds, members = golay_lists(allow)
-        rest = syndrome(part)
+        leaders, bounds, members = code_lists(code, allow)
+        rest = code.syndrome(part)
         counts = bounds[rest + 1] - bounds[rest]
         row = np.repeat(rows, counts)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
         home = (part ^ leaders[rest])[row]
         word = home ^ members[bounds[rest][row] + offset]
-        yield row, base | (word >> 11), word == home
+        yield row, base | (word >> code.checks), word == home
 
 
 def at_anchors(distinct: DataFrame, distance: int) -> DataFrame:
@@ -161,8 +181,8 @@ def at_anchors(distinct: DataFrame, distance: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):  # bounds what is replicated at once
-                part = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 256):  # bounds what is replicated at once
+                part = batch.slice(low, 256)
                 for rows, keys, home in anchors(part["fp"].to_numpy(), distance):
                     rows = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(

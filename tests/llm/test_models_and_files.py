@@ -11,11 +11,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from neartag.llm import langid, quality, shards, warc
-from neartag.llm.queries import QUERIES
+from neartag.llm import langid, quality, shards, simhash, warc
+from neartag.llm.queries import QUERIES, vocabulary
 from neartag.plans.staging import Staging
 
 from .helpers import WORDS, documents, nothing, odd_documents, prose
+from .test_similarity import brute_leaks, roots
+from .test_text_operators import brute_lines
+
+tokenizers = pytest.importorskip("tokenizers")
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -249,9 +253,30 @@ def test_each_stage_drops_what_it_should(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == 11
 
 
-def test_pipeline_runs(spark):
-    out = corpus_pipeline.run(spark, SMALL)
-    rows = out.collect()
-    n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
-    assert 0.6 * n < len(rows) <= n and len({r.doc_id for r in rows}) == len(rows)
-    assert all(r.n_tokens == len(r.ids) for r in rows)
+def test_pipeline_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
+    judge = langid.Compressors(tuple(sorted(langid.fit(docs, F.lit(True)).items())), langid.LEVEL).judge
+    judged = {i: judge(t) for i, t in rows}
+    rows = [(i, t) for i, t in rows if judged[i][0] != langid.UNKNOWN and judged[i][2] >= langid.MARGIN]
+    rows = [(i, t) for i, t, _, _ in brute_lines(rows)]
+    hashes = {i: simhash.shingle_hashes(t, 5) for i, t in rows}
+    fps = {i: simhash.fingerprint(h) for i, h in hashes.items()}
+    marks = {i: np.frombuffer(simhash.sketch(h), np.uint8) for i, h in hashes.items()}
+
+    def alike(a, b):
+        used = np.count_nonzero((marks[a] != 0) | (marks[b] != 0))
+        return np.count_nonzero((marks[a] == marks[b]) & (marks[a] != 0)) >= 0.8 * used
+
+    ids = [i for i, _ in rows]
+    linked = [(a, b) for a in ids for b in ids if a < b and ((fps[a] ^ fps[b]) & (2 ** 64 - 1)).bit_count() <= 8 and alike(a, b)]
+    root = roots(ids, linked)
+    rows = [(i, t) for i, t in rows if root[i] == i]
+    items = [(r.item_id, r.text, None) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    leaked = {d for d, _ in brute_leaks(rows, items)}
+    library = tokenizers.Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    expected = {i: library.encode(t, add_special_tokens=False).ids for i, t in rows if i not in leaked}
+    got = corpus_pipeline.run(spark, SMALL).collect()
+    assert len(got) == len(expected) and {r.doc_id: r.ids for r in got} == expected
+    assert all(r.n_tokens == len(r.ids) for r in got)
+    assert 0.6 * docs.count() < len(got) < docs.count()

@@ -79,7 +79,7 @@ def roots(ids, linked):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("distance", [0, 1, 2, 3, 4, 6])
+@pytest.mark.parametrize("distance", [0, 1, 2, 3, 4, 5, 6, 8])
 def test_pairs_within_the_distance_meet_at_an_anchor(distance):
     rng = np.random.default_rng(distance)
     one = rng.integers(-2 ** 63, 2 ** 63 - 1, 400, dtype=np.int64)
