@@ -199,7 +199,65 @@ prob AS (SELECT g.id, g.label,
     (1 - (1 + g.nl) / (2 + n)) * (1 + coalesce(c.b, 0)) / (11 + n - g.nl) AS no
   FROM judge g LEFT JOIN cells c ON c.label = g.label AND c.j = g.j, m)"""
 
+# --- Porter's algorithm, a step per table expression --------------------------------------------
+
+def shape(word: str) -> str:
+    """0 for a vowel, 1 for a consonant; y is a vowel after a consonant."""
+    y = f"regexp_replace(regexp_replace(replace({word}, 'v', 'b'), '^y', 'j'), '([^aeiouyY])y', '\\1Y', 'g')"
+    return f"regexp_replace(regexp_replace(replace({y}, 'y', 'j'), '[aeiouY]', '0', 'g'), '[^0]', '1', 'g')"
+
+
+def measure(word: str) -> str:
+    return f"len(regexp_extract_all({shape(word)}, '0+1+'))"
+
+
+def cvc(word: str) -> str:
+    return f"(suffix({shape(word)}, '101') AND right({word}, 1) NOT IN ('w', 'x', 'y'))"
+
+
+def swapped(table: dict[str, str], at_least: int, extra: str = "") -> str:
+    """The word with its longest listed suffix replaced, if enough stays in front of it."""
+    cases = []
+    for end in sorted(table, key=len, reverse=True):
+        stem = f"left(w, -{len(end)})"
+        also = f" AND right({stem}, 1) IN ('s', 't')" if end == extra else ""
+        cases.append(f"WHEN suffix(w, '{end}') THEN CASE WHEN {measure(stem)} >= {at_least}{also} THEN {stem} || '{table[end]}' ELSE w END")
+    return "CASE " + " ".join(cases) + " ELSE w END"
+
+
+# The suffixes of the published algorithm.
+PORTER_2 = dict(p.split(":") for p in (
+    "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate "
+    "alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble").split())
+PORTER_3 = dict(p.split(":") for p in "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split())
+PORTER_4 = dict.fromkeys("al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split(), "")
+
+
+def stems(source: str) -> str:
+    """From ``source`` (word) to stemmed (word, w): the stem of each different word."""
+    bare = "CASE WHEN suffix(w, 'ing') THEN left(w, -3) WHEN suffix(w, 'ed') THEN left(w, -2) END"
+    steps = [
+        "CASE WHEN suffix(w, 'sses') OR suffix(w, 'ies') THEN left(w, -2) WHEN suffix(w, 's') AND NOT suffix(w, 'ss') THEN left(w, -1) ELSE w END",
+        # 'eed' goes first; the mark keeps it and the words left alone out of the next step.
+        f"CASE WHEN suffix(w, 'eed') THEN '=' || CASE WHEN {measure('left(w, -3)')} > 0 THEN left(w, -1) ELSE w END "
+        f"WHEN contains({shape(bare)}, '0') THEN {bare} ELSE '=' || w END",
+        "CASE WHEN prefix(w, '=') THEN substr(w, 2) WHEN right(w, 2) IN ('at', 'bl', 'iz') THEN w || 'e' "
+        f"WHEN len(w) > 1 AND right(w, 1) = left(right(w, 2), 1) AND suffix({shape('w')}, '1') AND right(w, 1) NOT IN ('l', 's', 'z') THEN left(w, -1) "
+        f"WHEN {measure('w')} = 1 AND {cvc('w')} THEN w || 'e' ELSE w END",
+        f"CASE WHEN suffix(w, 'y') AND contains({shape('left(w, -1)')}, '0') THEN left(w, -1) || 'i' ELSE w END",
+        swapped(PORTER_2, 1), swapped(PORTER_3, 1), swapped(PORTER_4, 2, "ion"),
+        f"CASE WHEN suffix(w, 'e') AND ({measure('left(w, -1)')} > 1 OR {measure('left(w, -1)')} = 1 AND NOT {cvc('left(w, -1)')}) THEN left(w, -1) ELSE w END",
+        f"CASE WHEN suffix(w, 'll') AND {measure('w')} > 1 THEN left(w, -1) ELSE w END"]
+    tables = [f"p0 AS (SELECT DISTINCT word, word AS w FROM {source})"]
+    tables += [f"p{i} AS (SELECT word, CASE WHEN len(word) < 3 THEN w ELSE {step} END AS w FROM p{i - 1})" for i, step in enumerate(steps, 1)]
+    return ", ".join([*tables, f"stemmed AS (SELECT word, w FROM p{len(steps)})"])
+
+
 ORACLE: dict[str, str] = {
+    "stem_vocabulary": f"""WITH {TRAIN}, words AS (SELECT DISTINCT unnest({analysed('body')}) AS word FROM train), {stems('words')}
+        SELECT word, w AS term FROM stemmed""",
+    "url_email_porter_totals": f"""WITH {TRAIN}, words AS (SELECT unnest({analysed('body', URL_EMAIL_WORD)}) AS word FROM train), {stems('words')}
+        SELECT count(*) AS ttf, w AS term FROM words JOIN stemmed USING (word) GROUP BY w""",
     "questions_csv_round_trip": f"WITH {TRAIN} SELECT id, title, body, tags FROM train",
     "test_csv_round_trip": f"WITH {TEST} SELECT id, title, body, tags FROM test",
     "questions_table_round_trip": f"WITH {TRAIN} SELECT id, title, body, code, links, tags FROM train",

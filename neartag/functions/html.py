@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 # Elements that never hold content.
@@ -15,7 +16,9 @@ class PageText(HTMLParser):
     """Collects body text, the text of ``code`` elements and the text of links.
 
     Code is taken out of the body and out of link text; link text stays in the body.
-    An element left open ends with the element around it, or with the page.
+    An element left open ends with the element around it, or with the page.  Open elements
+    are counted by name and each is popped once, so a page takes linear time however many
+    of its elements stay open.
     """
 
     def __init__(self) -> None:
@@ -23,40 +26,49 @@ class PageText(HTMLParser):
         self.body: list[str] = []
         self.code: list[list[str]] = []
         self.links: list[list[str]] = []
-        self._open: list[tuple[str, list[str] | None]] = []
-        self._code_depth = 0
+        self._open: list[str] = []
+        self._count: Counter[str] = Counter()
+        self._in_code: list[list[str]] = []
+        self._in_link: list[list[str] | None] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID_ELEMENTS:
             return
-        if tag == "a" and any(name == "a" for name, _ in self._open):
-            self.handle_endtag("a")
-        part = None
-        if tag == "code":
-            part = []
-            self.code.append(part)
-            self._code_depth += 1
-        elif tag == "a" and not self._code_depth:
-            part = []
-            self.links.append(part)
-        self._open.append((tag, part))
+        if tag == "a":
+            if self._count["a"]:
+                self.handle_endtag("a")
+            part = None if self._in_code else []
+            self._in_link.append(part)
+            if part is not None:
+                self.links.append(part)
+        elif tag == "code":
+            self._in_code.append([])
+            self.code.append(self._in_code[-1])
+        self._open.append(tag)
+        self._count[tag] += 1
 
     def handle_endtag(self, tag):
-        if not any(name == tag for name, _ in self._open):
+        if not self._count[tag]:
             return
         while True:
-            name, _ = self._open.pop()
+            name = self._open.pop()
+            self._count[name] -= 1
             if name == "code":
-                self._code_depth -= 1
+                self._in_code.pop()
+            elif name == "a":
+                self._in_link.pop()
             if name == tag:
                 return
 
     def handle_data(self, data):
-        for name, part in self._open:
-            if part is not None and (name == "code" or not self._code_depth):
+        if self._in_code:
+            for part in self._in_code:
                 part.append(data)
-        if not self._code_depth:
-            self.body.append(data)
+            return
+        self.body.append(data)
+        # A link that is open ends before the next begins, so there is one at most.
+        if self._in_link and self._in_link[-1] is not None:
+            self._in_link[-1].append(data)
 
 
 def split_page(html: str | None) -> tuple[str, str, str]:

@@ -78,6 +78,11 @@ def test_page_parts():
     assert split_page("<p><code>x</p>y") == ("y", "x", "")
 
 
+def test_open_elements_take_linear_time():
+    body, code, links = split_page("<ul>" + "<li>x<a href=u>y" * 200_000 + "<code>c")
+    assert (len(body), code, links.count("y")) == (400_000, "c", 200_000)
+
+
 def test_clean_html_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "t", "<b>x</b><code>y</code>", "a b")], "id long, title string, body string, tags string")
     row = prepare.clean_html(df).first()
