@@ -199,6 +199,33 @@ prob AS (SELECT g.id, g.label,
     (1 - (1 + g.nl) / (2 + n)) * (1 + coalesce(c.b, 0)) / (11 + n - g.nl) AS no
   FROM judge g LEFT JOIN cells c ON c.label = g.label AND c.j = g.j, m)"""
 
+# ML-kNN with ten folds by id: f is the fold held out.
+CROSS_ML_KNN = ",\n".join([TRAIN, indexed("train"), selected("train"), scored(where="d.id <> q.query_id")]) + f""",
+folds AS (SELECT unnest(range(10)) AS f),
+rows_ AS (SELECT id, id % 10 AS own FROM train),
+top AS (SELECT f, query_id, id FROM (SELECT f, query_id, id, row_number() OVER (PARTITION BY f, query_id ORDER BY micro DESC, id) AS r
+  FROM sc, folds WHERE id % 10 <> f) WHERE r <= 10),
+pairs AS (SELECT id, id % 10 AS own, unnest({parsed('lower(tags)')}) AS label FROM train),
+m AS (SELECT f, count(*) FILTER (own <> f)::DOUBLE AS n, count(*) FILTER (own = f) AS n_rows FROM rows_, folds GROUP BY f),
+sizes AS (SELECT f, label, count(*)::DOUBLE AS nl FROM pairs, folds WHERE own <> f GROUP BY ALL),
+c AS (SELECT t.f, t.query_id AS id, p.label, count(*) AS j FROM top t JOIN pairs p ON p.id = t.id GROUP BY ALL),
+grid AS (SELECT s.f, k.id, k.own = s.f AS held, s.label, s.nl, coalesce(c.j, 0) AS j, o.id IS NOT NULL AS has
+  FROM rows_ k CROSS JOIN sizes s LEFT JOIN c ON c.f = s.f AND c.id = k.id AND c.label = s.label
+  LEFT JOIN pairs o ON o.id = k.id AND o.label = s.label),
+cells AS (SELECT f, label, j, count(*) FILTER (has) AS a, count(*) FILTER (NOT has) AS b FROM grid WHERE NOT held GROUP BY ALL),
+prob AS (SELECT g.f, g.id, g.label,
+    (1 + g.nl) / (2 + n) * (1 + coalesce(c.a, 0)) / (11 + g.nl) AS yes,
+    (1 - (1 + g.nl) / (2 + n)) * (1 + coalesce(c.b, 0)) / (11 + n - g.nl) AS no
+  FROM grid g LEFT JOIN cells c ON c.f = g.f AND c.label = g.label AND c.j = g.j JOIN m ON m.f = g.f WHERE g.held),
+said AS (SELECT f, id, label FROM prob WHERE yes / (yes + no) > 0.5),
+met AS (SELECT coalesce(s.f, p.own) AS f, coalesce(s.id, p.id) AS id, coalesce(s.label, p.label) AS label,
+    (s.id IS NOT NULL AND p.id IS NOT NULL)::BIGINT AS tp, (s.id IS NULL OR p.id IS NULL)::BIGINT AS wrong
+  FROM said s FULL JOIN pairs p ON p.id = s.id AND p.label = s.label),
+by_label AS (SELECT f, label, sum(tp) AS tp, sum(wrong) AS wrong FROM met GROUP BY ALL),
+sums AS (SELECT f, sum(tp) AS tp, sum(wrong) AS wrong, sum(2 * tp / (2 * tp + wrong)::DOUBLE) AS f1 FROM by_label GROUP BY f),
+bad AS (SELECT f, count(*) AS bad FROM (SELECT f, id FROM met GROUP BY f, id HAVING sum(wrong) > 0) GROUP BY f),
+k AS (SELECT count(DISTINCT label) AS k FROM pairs)"""
+
 # --- Porter's algorithm, a step per table expression --------------------------------------------
 
 def shape(word: str) -> str:
@@ -254,6 +281,10 @@ def stems(source: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "cross_validate_ml_knn": f"""WITH {CROSS_ML_KNN}
+        SELECT f::INTEGER AS fold, round(wrong / (n_rows * k)::DOUBLE, 6) AS hamming_loss, round(1 - coalesce(bad, 0) / n_rows::DOUBLE, 6) AS subset_accuracy,
+          round(2 * tp / (2 * tp + wrong)::DOUBLE, 6) AS micro_f1, round(f1 / k, 6) AS macro_f1, n_rows
+        FROM sums JOIN m USING (f) LEFT JOIN bad USING (f), k""",
     "stem_vocabulary": f"""WITH {TRAIN}, words AS (SELECT DISTINCT unnest({analysed('body')}) AS word FROM train), {stems('words')}
         SELECT word, w AS term FROM stemmed""",
     "url_email_porter_totals": f"""WITH {TRAIN}, words AS (SELECT unnest({analysed('body', URL_EMAIL_WORD)}) AS word FROM train), {stems('words')}

@@ -627,7 +627,7 @@ def cross_validate_ml_knn(spark, sf_dir):
     staging = Staging(spark)
     index = search.stage_index(questions, staging)
     rows = learning.cross_validate_ml_knn(
-        questions, index, "train", learning.assign_folds(F.col("id")), staging=staging.child("folds"))
+        questions, index, "train", F.pmod(F.col("id"), F.lit(10)).cast("int"), staging=staging.child("folds"))
     return rows.withColumns({c: r6(c) for c in ("hamming_loss", "subset_accuracy", "micro_f1", "macro_f1")})
 
 
