@@ -14,6 +14,8 @@ from neartag.operators.index import Index
 # split terms has at most MAX_SHARDS * (distinct terms per document) rows.
 SHARD_ROWS = 1_000_000
 MAX_SHARDS = 1_000
+# Rows of a hot term's product that one task makes in ``join_split``.
+CELL_ROWS = 1 << 24
 
 
 def _shards(df: Column, n_docs: Column, shard_rows: int) -> Column:
@@ -44,6 +46,37 @@ def join_postings(terms: DataFrame, index: Index, corpus: str | None = None,
     return spread.join(sharded, ["term", "shard"]).drop("shard")
 
 
+def join_split(terms: DataFrame, index: Index, corpus: str | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``join_postings`` for terms that many rows ask for: both sides of a hot term are split.
+
+    A term asked by q rows and held by d documents makes q * d rows.  It is cut into cells of
+    about ``cell_rows``: postings into parts by document, asking rows into parts by key, and
+    each part is repeated once per part of the other side.  No task gets more than a cell.
+    """
+    postings = index.postings if corpus is None else index.postings.filter(F.col("corpus") == corpus)
+    postings = postings.withColumnRenamed("tf", "doc_tf")
+    cells = F.col("asked") * F.col("held") / float(cell_rows)
+    # The number of cells is shared out so that parts of both sides are about equally long.
+    doc_parts = F.least(F.col("held"), F.ceil(F.sqrt(cells * F.col("held") / F.col("asked")))).cast("int")
+    split = (terms.groupBy("term").agg(F.count("*").alias("asked"), F.max("df").alias("held")).filter(cells > 1)
+             .withColumn("doc_parts", F.greatest(F.lit(1), doc_parts))
+             .select("term", "doc_parts", F.ceil(cells / F.col("doc_parts")).cast("int").alias("key_parts")))
+    one = {c: F.coalesce(c, F.lit(1)) for c in ("doc_parts", "key_parts")}
+    key = terms.columns[0]
+
+    def part(column: str, parts: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.col(parts)).cast("int")
+
+    def every(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    asking = (terms.join(split, "term", "left").withColumns(one).withColumn("key_part", part(key, "key_parts"))
+              .withColumn("doc_part", every("doc_parts")).drop("doc_parts", "key_parts"))
+    held = (postings.join(split, "term", "left").withColumns(one).withColumn("doc_part", part("id", "doc_parts"))
+            .withColumn("key_part", every("key_parts")).drop("doc_parts", "key_parts"))
+    return asking.join(held, ["term", "doc_part", "key_part"]).drop("doc_part", "key_part")
+
+
 def with_weight(selected: DataFrame, index: Index, params: ScoreParams = ScoreParams()) -> DataFrame:
     """Add ``weight``, the document-independent part of each term's score."""
     n_docs = index.corpus_stats.select("n_docs").scalar()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,6 @@ from neartag.operators.index import (
 from neartag.operators.terms import ANY_TERM, TermParams, query_terms, select_terms, source_tf
 from neartag.plans.staging import Staging
 
-# Postings per core that are scored outright; beyond it the search prunes.
-DIRECT_ROWS_PER_CORE = 20_000_000
 # Postings per bag from which the score floor is taken.  A larger budget raises the floor
 # but scores more documents of terms that might have been optional.
 LEAD_BUDGET = 500
@@ -60,7 +60,7 @@ def search_bags(terms: DataFrame, index: Index, k: int, corpus: str, score: Scor
     weights = ["bag_id", "term", "df", "weight"]
 
     def scored(part: DataFrame) -> DataFrame:
-        return nn.join_postings(part.select(*weights), index, corpus).select("bag_id", "id", gain)
+        return nn.join_split(part.select(*weights), index, corpus).select("bag_id", "id", gain)
 
     def summed(*parts: DataFrame) -> DataFrame:
         rows = parts[0]
@@ -91,13 +91,13 @@ def search_bags(terms: DataFrame, index: Index, k: int, corpus: str, score: Scor
 def find_neighbors(queries: DataFrame, index: Index, k: int = 5, corpus: str = "train",
                    terms: TermParams = ANY_TERM, score: ScoreParams = ScoreParams(),
                    analyzer: str | Analyzer = "standard", exclude_self: bool = False,
-                   strategy: str = "auto", lead_budget: int = LEAD_BUDGET,
+                   strategy: str = "pruned", lead_budget: int = LEAD_BUDGET,
                    staging: Staging | None = None) -> DataFrame:
     """Same result as ``knn_join``, for large inputs: query_id, rank, id, score, tags.
 
-    Queries with equal term bags are searched once.  The number of postings their terms
-    have decides the strategy: ``direct`` scores them all, ``pruned`` (``search_bags``)
-    skips what cannot matter and ignores surplus copies of a document.
+    Queries with equal term bags are searched once.  ``pruned`` (``search_bags``) skips what
+    cannot matter and ignores surplus copies of a document, at every size; ``direct`` scores
+    all postings and serves as its check.
     """
     staging = staging or Staging(queries.sparkSession)
     wanted = k + exclude_self
@@ -109,18 +109,16 @@ def find_neighbors(queries: DataFrame, index: Index, k: int = 5, corpus: str = "
     bags = staging.write(nn.term_bags(selected, index, score), "bags")
     shared = nn.share_bags(bags)
     distinct = staging.write(nn.bag_terms(bags, shared), "bag_terms")
-    if strategy == "auto":
-        rows = distinct.agg(F.sum("df")).first()[0] or 0
-        limit = DIRECT_ROWS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism
-        strategy = "direct" if rows <= limit else "pruned"
     if strategy == "direct":
         scores = (nn.join_postings(distinct.select("bag_id", "term", "df", "weight"), index, corpus)
                   .select("bag_id", "id", nn.contribution(index, score).alias("micro"))
                   .groupBy("bag_id", "id").agg(F.sum("micro").alias("micro")))
         found = nn.top_k(scores, wanted, "bag_id")
     elif strategy == "pruned":
-        found = search_bags(distinct, collapse_copies(index, wanted), wanted, corpus, score,
-                            staging, lead_budget)
+        # Without surplus copies and other corpora; written once, read by every step.
+        kept = collapse_copies(index, wanted).docs.filter(F.col("corpus") == corpus)
+        searched = replace(index, docs=staging.write(kept, "kept_docs"))
+        found = search_bags(distinct, searched, wanted, corpus, score, staging, lead_budget)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     found = shared.join(found, "bag_id").drop("bag_id")

@@ -29,7 +29,7 @@ def brute_force(docs, queries, k, params=ANY_TERM, score=ScoreParams(), exclude_
     idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
     result = {}
     for qid, text in queries:
-        tf = Counter(text.split()[:params.max_tokens])
+        tf = Counter(text.split()[:params.max_tokens or None])
         found = [(micro(f * idf[w]), w) for w, f in tf.items()
                  if w in df and f >= params.min_term_freq and df[w] >= params.min_doc_freq]
         found = sorted(found, key=lambda x: (-x[0], x[1]))[:params.max_query_terms]
@@ -100,6 +100,28 @@ def test_one_plan_equals_brute_force(spark, corpus):
     assert collected(search.knn_join(asked, build_index(table), 4)) == without_empty(brute_force(docs, queries, 4))
 
 
+def test_a_hot_word_is_split_on_both_sides(spark):
+    """One word in every query and document: no task gets more than a few cells of the product."""
+    rows = [("train", i, f"hot w{i % 7}", "") for i in range(60)]
+    index = build_index(spark.createDataFrame(rows, "corpus string, id long, text string, tags string"))
+    asking = spark.range(40).select(F.col("id").alias("bag_id"), F.lit("hot").alias("term"), F.lit(60).cast("bigint").alias("df"), F.lit(1.0).alias("weight"))
+    asking = asking.unionByName(asking.withColumns({"term": F.lit("w3"), "df": F.lit(9).cast("bigint")}))
+    plain = {(r.bag_id, r.term, r.id) for r in nn.join_postings(asking, index, "train").collect()}
+    split = nn.join_split(asking, index, "train", cell_rows=100)
+    found = [(r.bag_id, r.term, r.id) for r in split.collect()]
+    assert set(found) == plain and len(found) == len(plain) == 40 * 60 + 40 * 9
+    per_key = nn.join_split(asking, index, "train", cell_rows=100).groupBy(F.spark_partition_id()).count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert max(r["count"] for r in per_key.collect()) < 0.3 * len(plain)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("strategy", ["direct", "pruned"])
 def test_without_self(spark, corpus, strategy):
     docs, _ = corpus
