@@ -22,7 +22,9 @@ def test_parse_tags(spark, tags, expected):
 
 def test_standard_analyzer(spark):
     got = one(spark, text.standard(F.col("s")), "The Quick-brown fox, and Été 42! " + "x" * 256)
-    assert got == ["quick", "brown", "fox", "été", "42"]
+    assert got == ["quick", "brown", "fox", "été", "42", "x" * 256]
+    capped = one(spark, text.drop_tokens(text.standard(F.col("s")), max_length=255), "fox " + "x" * 256)
+    assert capped == ["fox"]  # a cap is opt-in
     assert one(spark, text.standard(F.col("s")), None) == []
 
 
