@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,29 @@ def test_cross_validation_of_labelset_trees(spark):
     got = learning.cross_validate_labelset_trees(questions(spark), (F.col("id") % 2).cast("int"), 2,
                                                  n_models=6, labelset_size=4, vocab=50).collect()
     assert [r.fold for r in got] == [0, 1] and all(r.micro_f1 == 1.0 for r in got)
+
+
+def test_subsets_differ_and_hold_every_label():
+    labels = [f"t{i}" for i in range(26)]
+    for seed in range(20):
+        found = learning.draw_labelsets(labels, 3, 52, random.Random(seed))
+        assert len(found) == len(set(found)) == 52 and {x for s in found for x in s} == set(labels)
+    assert learning.draw_labelsets(["a", "b"], 2, 4, random.Random(1)) == [("a", "b")]
+    assert learning.draw_labelsets([], 0, 0, random.Random(1)) == []
+
+
+def test_rows_without_tags_have_no_label(spark):
+    df = spark.createDataFrame([(1, "x y"), (2, ""), (3, "y")], "id long, tags string")
+    assert sorted((r.id, r.label) for r in learn.label_matrix(df).collect()) == [(1, "x"), (1, "y"), (3, "y")]
+
+
+def test_an_id_without_a_real_score_gets_empty_tags(spark):
+    rows = [(1, "a", float("nan")), (2, "c", -1.0), (2, "d", None), (3, "e", None)]
+    df = spark.createDataFrame(rows, "id long, tag string, score double")
+    assert {r.id: r.tags for r in predict.predict_from_scores(df).collect()} == {1: "", 2: "c", 3: ""}
+
+
+def test_repeated_truth_does_not_multiply_rows(spark):
+    truth = spark.createDataFrame([(1, "a b"), (1, "z"), (2, "c")], "id long, tags string")
+    said = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, tags string")
+    assert evaluate.mean_score(said, truth).first().asDict() == {"mean_score": 1.0, "n_rows": 2, "n_missing": 0}
