@@ -108,8 +108,8 @@ class Bpe:
         self.final = [self.ids[letters[b] + self.suffix] for b in range(256)]
         self.numbers = {i: str(i) for i in self.tokens}
         # Two levels: "Word," and "word" share the work on their letters.
-        self.words = Memo(self.encode_word, 250_000)
-        self.chunks = Memo(self.encode_chunk, 150_000)
+        self.words = Memo(self.encode_word, 400_000)
+        self.chunks = Memo(self.encode_chunk, 200_000)
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
 
     @staticmethod
