@@ -1,8 +1,9 @@
 """Language identification by compression (operator 7).
 
 Each language gets a zstandard dictionary of raw text.  A text is encoded with every
-dictionary and belongs to the language whose output is smallest.  If the runner-up is
-hardly larger, the decision is rejected.
+dictionary, in independent pieces, and belongs to the language whose output is smallest over
+all pieces.  If the runner-up is hardly larger, the decision is rejected.  A dictionary saves
+about the same in every piece, so the margin of a long text does not fall with its length.
 
 Fitting takes, per language, at most ``DOCS_PER_LANGUAGE`` texts (smallest hash of the id)
 and at most ``DICTIONARY_BYTES`` bytes of them; scoring reads every text whole.  A text that
@@ -26,6 +27,7 @@ from neartag.llm.common import slices
 
 DOCS_PER_LANGUAGE = 64
 DICTIONARY_BYTES = 64 * 1024
+PIECE_BYTES = 32 * 1024  # a longer text is encoded in nearly equal pieces of at most so many bytes
 LEVEL = 6
 MARGIN = 0.005  # the runner-up must be larger by this share
 UNKNOWN = "und"
@@ -62,6 +64,12 @@ def prepared(text: str) -> bytes:
     return f" {text.lower()} ".replace("\n", " ").encode("utf-8", "surrogatepass")
 
 
+def pieces_of(data: bytes, size: int = PIECE_BYTES) -> list[bytes]:
+    """Nearly equal pieces of at most ``size`` bytes that together are the text."""
+    n = max(1, -(-len(data) // size))
+    return [data[len(data) * i // n:len(data) * (i + 1) // n] for i in range(n)]
+
+
 class Compressors:
     """One compressor per language, in alphabetical order."""
 
@@ -78,8 +86,8 @@ class Compressors:
         """Language, score and margin: by how much the runner-up is larger."""
         if not self.languages or LETTER.search(text) is None:
             return UNKNOWN, 0.0, 0.0
-        data = prepared(text)
-        sizes = sorted((len(f(data)), lang) for f, lang in zip(self.compress, self.languages))
+        pieces = pieces_of(prepared(text))
+        sizes = sorted((sum(len(f(piece)) for piece in pieces), lang) for f, lang in zip(self.compress, self.languages))
         if len(sizes) == 1:
             return sizes[0][1], 1.0, 1.0
         margin = sizes[1][0] / sizes[0][0] - 1

@@ -48,6 +48,22 @@ def test_language_uses_only_what_it_may(two_languages):
     assert langid.predict(text, model).first().lang_pred == "en"
 
 
+def test_language_of_long_texts():
+    rng = random.Random(16)
+    names = {lang: ["".join(rng.choices(letters, k=rng.randrange(3, 9))) for _ in range(4000)]
+             for lang, letters in (("en", "abcdefghijklmn"), ("de", "klmnopqrstuvwxyzß"))}
+    model = tuple((lang, langid.prepared(" ".join(rng.choices(names[lang], k=12_000)))[:langid.DICTIONARY_BYTES]) for lang in ("de", "en"))
+    judge = langid.Compressors(model, langid.LEVEL).judge
+    short, long = (" ".join(rng.choices(names["en"], k=k)) for k in (4_000, 1_200_000))
+    assert len(long) > 7_000_000
+    (lang, _, margin), (long_lang, _, long_margin) = judge(short), judge(long)
+    assert lang == long_lang == "en" and margin > langid.MARGIN
+    assert long_margin > 0.8 * margin
+    data = langid.prepared(long)
+    pieces = langid.pieces_of(data)
+    assert b"".join(pieces) == data and max(map(len, pieces)) <= langid.PIECE_BYTES and langid.pieces_of(b"") == [b""]
+
+
 def test_language_odd(spark, two_languages):
     model = langid.fit(two_languages, F.lit(True))
     got = langid.predict(odd_documents(spark), model).collect()
