@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from neartag.llm import decontaminate as dc
 from neartag.llm import jaccard, simhash, topk
+from neartag.llm.queries import ORACLE
 from neartag.plans.staging import Staging
 
 from .helpers import documents, nothing, odd_documents, prose
@@ -251,6 +252,31 @@ def test_leaks(spark, shard_bytes):
     assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted(i for i, _ in rows if i is not None and i not in leaked)
 
 
+def test_items_with_gaps_equal_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(17)
+    names = [f"w{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choices(names, k=rng.choice((8, 20, 60, 90, 200))))) for i in range(60)]
+    rows = []
+    for i in range(240):
+        words, gaps = items[i % 60][1].split(), rng.randrange(0, 5)
+        cuts = sorted(rng.sample(range(1, len(words)), min(gaps, len(words) - 1)))
+        parts = [words[a:b] for a, b in zip([0, *cuts], [*cuts, len(words)])]
+        text = [w for part in parts for w in [*part, *(f"x{rng.randrange(9999)}" for _ in range(rng.randrange(70, 200)))]]
+        rows.append((i, " ".join(text)))
+    con = duckdb.connect()
+    for name, key, values in (("documents", "doc_id", rows), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", values)
+    expected = {(d, i): overlap for d, i, overlap in con.execute(ORACLE["op6_decontaminate"]).fetchall()}
+    index = dc.ItemIndex([dc.Item(i, text, None) for i, text in items])
+    got = {(d, i): overlap for d, text in rows for i, overlap in index.leaks(dc.words_of(text))}
+    assert got == expected and len(expected) > 100
+    long_answers = dc.ItemIndex([dc.Item(i, items[i][1], items[i + 1][1]) for i in range(0, 60, 2)])
+    both = [(f"{items[i + 1][1]} {'other ' * 200} {items[i][1]}", i) for i in range(0, 60, 2)]
+    assert all((i, 1.0) in long_answers.leaks(dc.words_of(text)) for text, i in both)
+
+
 def test_wand_finds_all_above_the_threshold():
     rng = random.Random(8)
     names = [f"w{i}" for i in range(60)]
