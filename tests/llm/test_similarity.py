@@ -277,6 +277,13 @@ def test_items_with_gaps_equal_the_sql(spark):
     assert all((i, 1.0) in long_answers.leaks(dc.words_of(text)) for text, i in both)
 
 
+def test_bounds_grow_with_the_postings_only():
+    items = [dc.Item(i, " ".join(f"w{40 * i + j}" for j in range(40)), None) for i in range(1500)]
+    index = dc.ItemIndex(items)
+    assert len(index.terms) * index.n_blocks > 20_000_000
+    assert len(index.bounds) == len(index.blocks) == 60_000 and index.retrieve(dc.words_of(items[7].question)) == {7}
+
+
 def test_wand_finds_all_above_the_threshold():
     rng = random.Random(8)
     names = [f"w{i}" for i in range(60)]

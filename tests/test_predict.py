@@ -232,3 +232,16 @@ def test_repeated_truth_does_not_multiply_rows(spark):
     truth = spark.createDataFrame([(1, "a b"), (1, "z"), (2, "c")], "id long, tags string")
     said = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, tags string")
     assert evaluate.mean_score(said, truth).first().asDict() == {"mean_score": 1.0, "n_rows": 2, "n_missing": 0}
+
+
+def test_labelset_trees_query_keeps_the_defaults(monkeypatch):
+    from checks import queries
+
+    asked = []
+    monkeypatch.setattr(queries.derive, "train", lambda spark, sf_dir: "rows")
+    monkeypatch.setattr(queries.derive, "kept", lambda rows: rows)
+    monkeypatch.setattr(queries.derive, "held_out", lambda rows: rows)
+    monkeypatch.setattr(queries.learning, "fit_labelset_trees", lambda rows, **settings: asked.append(settings))
+    monkeypatch.setattr(queries.learning, "predict_labelsets", lambda model, rows: rows)
+    queries.QUERIES["labelset_trees"](None, "")
+    assert not {"n_models", "vocab", "labelset_size", "depth"} & set(asked[0])
