@@ -14,6 +14,19 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def with_version(docs: DataFrame) -> DataFrame:
+    """doc_id, text and version, a hash that tells rows of one doc_id apart."""
+    return id_and_text(docs).withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def chosen(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of documents that ``rows`` (doc_id, version) name (``left_semi``) or do not name (``left_anti``)."""
+    marked = docs.withColumn("__version", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    named = rows.select(F.col("doc_id").alias("__id"), F.col("version").alias("__named")).distinct()
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__version") == F.col("__named"))
+    return marked.join(named, same, how).select(docs.columns)
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``: null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))

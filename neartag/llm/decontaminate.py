@@ -16,8 +16,9 @@ of words within that sum, so no part that the overlap check accepts is lost.
 
 Words are runs of characters other than ASCII punctuation and white space, in lower case.
 Null or empty texts and items have no words and match nothing; items of fewer than five
-words match by all their words in a row.  Documents of repeated ids are judged row by row
-and may give equal rows; rows with a null doc_id are judged too.  Repeated items each give
+words match by all their words in a row.  Documents of repeated ids are judged row by row, told
+apart by ``version`` (a hash of the text), and may give equal rows; rows with a null doc_id are
+judged too.  Repeated items each give
 rows.  Either table may be empty.  Other columns are left alone.
 """
 
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neartag.llm.common import id_and_text, slices
+from neartag.llm.common import chosen, slices, with_version
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -206,7 +207,7 @@ def indexes(items: DataFrame, shard_bytes: int = SHARD_BYTES, similarity: float
 
 def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, threshold: float | None = None,
                shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, item_id, overlap for every document (doc_id, text) that holds an item."""
+    """doc_id, version, item_id, overlap for every document (doc_id, text) that holds an item."""
     spark = docs.sparkSession
 
     def pass_over(index: ItemIndex) -> DataFrame:
@@ -215,13 +216,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in slices(batches):
-                found = [(doc_id, item_id, overlap) for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"])
+                found = [(doc_id, version, item_id, overlap)
+                         for doc_id, version, text in zip(batch["doc_id"].to_pylist(), batch["version"].to_pylist(), batch["text"])
                          for item_id, overlap in own.leaks(words_of(text.as_py()), threshold)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))],
-                    ["doc_id", "item_id", "overlap"])
+                    [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
+                    ["doc_id", "version", "item_id", "overlap"])
 
-        return id_and_text(docs).mapInArrow(run, "doc_id long, item_id long, overlap double")
+        return with_version(docs).mapInArrow(run, "doc_id long, version long, item_id long, overlap double")
 
     out = None
     for index in indexes(items, shard_bytes, similarity):
@@ -231,5 +233,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
 
 
 def drop_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
-    """The rows of documents without a leak, with all columns; null ids stay."""
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """The rows of documents without a leak, with all columns; each row is judged by its own text."""
+    return chosen(docs, leaks, "left_anti")

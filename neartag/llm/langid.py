@@ -8,17 +8,17 @@ about the same in every piece, so the margin of a long text does not fall with i
 Fitting takes, per language, at most ``DOCS_PER_LANGUAGE`` texts (smallest hash of the id)
 and at most ``DICTIONARY_BYTES`` bytes of them; scoring reads every text whole.  A text that
 is null or has no letter is ``und`` with score 0 and rejected, as is every text if nothing
-could be learned.  Ties go to the alphabetically first language.  Rows are independent, so
+could be learned (an empty table too).  Ties go to the alphabetically first language.  Rows are independent, so
 repeated rows and ids and null ids need no rule; only the named columns are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ PIECE_BYTES = 32 * 1024  # a longer text is encoded in nearly equal pieces of at
 LEVEL = 6
 MARGIN = 0.005  # the runner-up must be larger by this share
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def fit(docs: DataFrame, learn_from: Column, docs_per_language: int = DOCS_PER_LANGUAGE,

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neartag.llm.common import batches_by_group, slices
+from neartag.llm.common import batches_by_group, slices, with_version
 from neartag.plans.staging import Staging
 
 MIN_CHARS = 20  # code points of a key
@@ -77,11 +77,6 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return with_version(docs).filter("doc_id IS NOT NULL").select("doc_id", "version", "text").mapInArrow(run, COLUMNS)
 
 
-def with_version(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")) \
-        .withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
-
-
 def first_occurrences(keys: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of ``keys`` that lose their lines, and those of keys not settled yet (``open``).
 

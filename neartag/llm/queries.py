@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neartag.llm import bpe, decontaminate, langid, lines, quality, rans, shards, simhash, topk, warc
+from neartag.llm import bpe, decontaminate, langid, licenses, lines, quality, rans, shards, simhash, topk, warc
 from neartag.llm.common import remainder, small_batches
 from neartag.plans.staging import Staging
 
@@ -50,7 +50,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), benchmark_items(spark, sf_dir))
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), benchmark_items(spark, sf_dir))
+    return found.select("doc_id", "item_id", "overlap")
 
 
 def benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +85,16 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+        F.size("spans").cast("bigint").alias("n_notices"), F.aggregate("spans", F.lit(0), lambda n, s: n + s.edits).cast("bigint").alias("n_edits"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run for run in (
-        op1_topk, op2_bpe, op3_token_files, op4_line_dedup, op5_simhash, op6_decontaminate, op7_language, op8_warc, op9_quality, op10_shards)
+        op1_topk, op2_bpe, op3_token_files, op4_line_dedup, op5_simhash, op6_decontaminate, op7_language, op8_warc, op9_quality, op10_shards,
+        op11_licenses)
 }
 
 

@@ -18,9 +18,9 @@ forest of the links it finds, not every pair.  Components come from star contrac
 the distributed links.
 
 Null and empty texts have fingerprint zero and link like any other.  Rows with a null doc_id
-get a fingerprint and no component.  Rows that share a doc_id are all returned; the component
-of each is that of its own fingerprint.  An empty table gives an empty result; only doc_id
-and text are read.
+get a fingerprint and a group but no component_id.  Rows that share a doc_id are all returned,
+told apart by ``version`` (a hash of the text); the component of each is that of its own
+fingerprint.  An empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -36,14 +36,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neartag.llm.common import batches_by_group, id_and_text, slices
+from neartag.llm.common import batches_by_group, slices, with_version
 from neartag.plans.staging import Staging
 
 SEED = 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit and width
 BLOCK = 1 << 16  # fingerprints of an anchor that one task compares
-SLOT_BITS = 6
-SLOTS = 1 << SLOT_BITS  # bytes of the shingle sketch
 
 
 # --- fingerprints ------------------------------------------------------------------------
@@ -70,34 +68,14 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """One byte per slot: a check of the smallest hash that falls there, 0 for none."""
-    out = np.zeros(SLOTS, np.uint8)
-    if len(hashes):
-        # Other bits than the ones that choose the slot decide; equal shingles count once.
-        rest = np.uint64(64 - SLOT_BITS)
-        ordered = np.sort((hashes << rest) | (hashes >> np.uint64(SLOT_BITS)))
-        slots = (ordered >> rest).astype(np.int64)
-        first = np.ones(len(slots), bool)
-        first[1:] = slots[1:] != slots[:-1]
-        out[slots[first]] = ((ordered[first] & np.uint64((1 << (64 - SLOT_BITS)) - 1)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return out.tobytes()
-
-
-def fingerprints(docs: DataFrame, shingle: int = 4, sketches: bool = False) -> DataFrame:
-    """doc_id, fp (long) and, if wanted, sketch (binary) of every row."""
-    names = ["doc_id", "fp", "sketch"] if sketches else ["doc_id", "fp"]
-
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """doc_id, version and fp (longs) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            hashes = (shingle_hashes(t.as_py() or "", shingle) for t in batch["text"])
-            made = [(fingerprint(h), sketch(h)) if sketches else (fingerprint(h),) for h in hashes]
-            columns = [pa.array([m[0] for m in made], pa.int64())]
-            if sketches:
-                columns.append(pa.array([m[1] for m in made], pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names)
+            made = [fingerprint(shingle_hashes(t.as_py() or "", shingle)) for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["version"], pa.array(made, pa.int64())], ["doc_id", "version", "fp"])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, fp long" + ", sketch binary" * sketches)
+    return with_version(docs).mapInArrow(run, "doc_id long, version long, fp long")
 
 
 def as_hex(fp: Column) -> Column:
@@ -176,19 +154,17 @@ def anchors(fps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def at_anchors(distinct: DataFrame, distance: int) -> DataFrame:
-    """key, home and the columns fp, node and sketch, if any: a row per fingerprint and anchor."""
-    names = ["fp", "node", *[c for c in distinct.columns if c == "sketch"]]
+    """key, home, fp: a row per fingerprint and anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 256):  # bounds what is replicated at once
                 part = batch.slice(low, 256)
                 for rows, keys, home in anchors(part["fp"].to_numpy(), distance):
-                    rows = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.astype(np.int32)), pa.array(home), *[part[n].take(rows) for n in names]], ["key", "home", *names])
+                        [pa.array(keys.astype(np.int32)), pa.array(home), part["fp"].take(pa.array(rows))], ["key", "home", "fp"])
 
-    return distinct.select(*names).mapInArrow(run, "key int, home boolean, fp long, node long" + ", sketch binary" * (len(names) > 2))
+    return distinct.select("fp").mapInArrow(run, "key int, home boolean, fp long")
 
 
 def in_blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -204,51 +180,44 @@ def in_blocks(rows: DataFrame, block: int) -> DataFrame:
     return spread.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("blocks", "other")
 
 
-def links_in_group(group: dict[str, np.ndarray], distance: int, similarity: float) -> list[tuple[int, int]]:
+def links_in_group(group: dict[str, np.ndarray], distance: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between homes and other members of one group.
 
     A link that joins two trees already joined is not returned, so a dense group gives no
     more links than it has members.
     """
     found = []
-    node, own, sketches = group["node"], group["own"], group.get("sketch")
-    tree = np.arange(len(node))
-    bits = group["fp"].view(np.uint64)
+    fp, own = group["fp"], group["own"]
+    tree = np.arange(len(fp))
+    bits = fp.view(np.uint64)
     apart = group["low"][0] != group["high"][0]
     for x in np.flatnonzero(group["home"]).tolist():
         near = (np.bitwise_count(bits ^ bits[x]) <= distance) & (tree != tree[x])
         if apart:
             near &= own != own[x]
         at = np.flatnonzero(near)
-        if len(at) and sketches is not None:
-            mine, theirs = sketches[x], sketches[at]
-            used = np.count_nonzero((mine != 0) | (theirs != 0), axis=1)
-            equal = np.count_nonzero((mine == theirs) & (mine != 0), axis=1)
-            at = at[equal >= similarity * used]
         if len(at):
             trees, first = np.unique(tree[at], return_index=True)
-            found += [(int(node[x]), int(node[y])) for y in at[first]]
+            found += [(int(fp[x]), int(fp[y])) for y in at[first]]
             tree[np.isin(tree, trees)] = tree[x]
     return found
 
 
-def links(distinct: DataFrame, distance: int, similarity: float = 0.0, block: int = BLOCK) -> DataFrame:
-    """u, v: links between the nodes of distinct fingerprints (fp, node and perhaps sketch).
+def links(distinct: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+    """u, v: links between distinct fingerprints (fp).
 
     Every component of the full link graph is a component of the links returned.
     """
     group = ["key", "low", "high"]
-    columns = [*group, "fp", "home", "own", "node"]
+    columns = [*group, "fp", "home", "own"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in batches_by_group(batches, group):
             arrays = {c: table[c].to_numpy() for c in columns}
-            if "sketch" in table.column_names:
-                arrays["sketch"] = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SLOTS)
             found = []
             for a, b in bounds:
                 if b - a > 1:
-                    found += links_in_group({k: c[a:b] for k, c in arrays.items()}, distance, similarity)
+                    found += links_in_group({k: c[a:b] for k, c in arrays.items()}, distance)
             ends = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], ["u", "v"])
 
@@ -286,23 +255,23 @@ def components(edges: DataFrame, staging: Staging) -> DataFrame:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, staging: Staging, shingle: int = 4, distance: int = 4,
-                    similarity: float | None = None) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable) of every row of documents.
+def near_duplicates(docs: DataFrame, staging: Staging, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """doc_id, version, fp, group, component_id of every row of documents.
 
-    Fingerprints link at ``distance`` or fewer differing bits.  With ``similarity`` a link also
-    needs sketches of the shingle sets that agree in at least this share; distinct pairs of
-    fingerprint and sketch are then the nodes.
+    Fingerprints link at ``distance`` or fewer differing bits.  ``group`` is the smallest
+    fingerprint of the component, ``component_id`` the smallest doc_id in it.
     """
-    marked = similarity is not None
-    rows = fingerprints(docs, shingle, marked)
-    rows = rows.withColumn("node", F.xxhash64("fp", "sketch") if marked else F.col("fp"))
-    rows = staging.write(rows, "fingerprints")
-    keyed = rows.select("doc_id", "fp", "node")
-    firsts = staging.write(rows.groupBy("node", *rows.columns[1:-1]).agg(F.min("doc_id").alias("first")), "distinct")
-    stars = components(links(firsts.drop("first"), distance, similarity or 0.0), staging)
-    rooted = firsts.select("node", "first").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = staging.write(rooted.join(smallest, "root").select("node", "component_id"), "components")
-    return keyed.join(named, "node").select(
-        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    rows = staging.write(fingerprints(docs, shingle), "fingerprints")
+    firsts = staging.write(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    stars = components(links(firsts.select("fp"), distance), staging)
+    rooted = firsts.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("root", "fp"))
+    smallest = rooted.groupBy("group").agg(F.min("first").alias("component_id"))
+    named = staging.write(rooted.join(smallest, "group").select("fp", "group", "component_id"), "components")
+    return rows.join(named, "fp").select(
+        "doc_id", "version", "fp", "group", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """doc_id, version of the row that stays of each group: the smallest doc_id, null last, then version."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("least")
+    return found.groupBy("group").agg(least).select("least.doc_id", "least.version")

@@ -11,12 +11,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from neartag.llm import langid, quality, shards, simhash, warc
+from neartag.llm import langid, quality, shards, warc
 from neartag.llm.queries import QUERIES, vocabulary
 from neartag.plans.staging import Staging
 
 from .helpers import WORDS, documents, nothing, odd_documents, prose
-from .test_similarity import brute_leaks, roots
+from .test_similarity import brute_leaks, brute_near
 from .test_text_operators import brute_lines
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -276,17 +276,7 @@ def test_pipeline_equals_brute_force(spark):
     judged = {i: judge(t) for i, t in rows}
     rows = [(i, t) for i, t in rows if judged[i][0] != langid.UNKNOWN and judged[i][2] >= langid.MARGIN]
     rows = [(i, t) for i, t, _, _ in brute_lines(rows)]
-    hashes = {i: simhash.shingle_hashes(t, 5) for i, t in rows}
-    fps = {i: simhash.fingerprint(h) for i, h in hashes.items()}
-    marks = {i: np.frombuffer(simhash.sketch(h), np.uint8) for i, h in hashes.items()}
-
-    def alike(a, b):
-        used = np.count_nonzero((marks[a] != 0) | (marks[b] != 0))
-        return np.count_nonzero((marks[a] == marks[b]) & (marks[a] != 0)) >= 0.8 * used
-
-    ids = [i for i, _ in rows]
-    linked = [(a, b) for a in ids for b in ids if a < b and ((fps[a] ^ fps[b]) & (2 ** 64 - 1)).bit_count() <= 8 and alike(a, b)]
-    root = roots(ids, linked)
+    root = brute_near(rows, 4, 4)[1]
     rows = [(i, t) for i, t in rows if root[i] == i]
     items = [(r.item_id, r.text, None) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     leaked = {d for d, _ in brute_leaks(rows, items)}
