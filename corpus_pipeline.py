@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neartag.llm import bpe, decontaminate, jaccard, langid, lines
+from neartag.llm import bpe, decontaminate, langid, lines, simhash
 from neartag.llm.common import small_batches
 from neartag.llm.queries import benchmark_items, vocabulary
 from neartag.plans.shipping import ship_package
@@ -44,15 +44,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id.
 
-    Near copies have sets of five-word shingles whose exact Jaccard similarity is 0.8 or more;
-    all such pairs are found.  Of rows with the same doc_id, one stays.
+    Near copies are those of operator 5: fingerprints over four-word shingles that differ in at
+    most 4 bits.  Of rows equal in doc_id and text, one stays.
     """
     prepare(spark)
-    found = jaccard.near_copies(docs, Staging(spark), shingle=5, similarity=0.8)
-    keep = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("first")) \
-        .filter(F.col("doc_id") == F.col("first")).select("doc_id")
-    known = docs.filter(F.col("doc_id").isNotNull()).join(keep, "doc_id").dropDuplicates(["doc_id"])
-    return known.select(*COLUMNS).unionByName(docs.filter(F.col("doc_id").isNull()).select(*COLUMNS))
+    staging = Staging(spark)
+    found = simhash.near_duplicates(docs, staging, shingle=4, distance=4)
+    # Equal keys throughout, so the texts are shuffled once.
+    named = (F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("id"), "version")
+    rows = docs.select(*COLUMNS).withColumn("version", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = rows.select("*", *named[:2]).join(simhash.representatives(found).select(*named), ["named", "id", "version"])
+    one = kept.groupBy("named", "id", "version").agg(
+        F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.min(F.struct(*COLUMNS[2:])).alias("rest"))
+    return one.select("doc_id", "text", "rest.*").select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
