@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neartag.llm import bpe, decontaminate, langid, licenses, lines, quality, rans, shards, simhash, topk, warc
+from neartag.llm import bpe, conversations, decontaminate, langid, licenses, lines, quality, rans, shards, simhash, spelling, topk, warc
 from neartag.llm.common import remainder, small_batches
 from neartag.plans.staging import Staging
 
@@ -91,10 +91,18 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_notices"), F.aggregate("spans", F.lit(0), lambda n, s: n + s.edits).cast("bigint").alias("n_edits"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_and_repair(table(spark, sf_dir, "conversations"), Staging(spark))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), Staging(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run for run in (
         op1_topk, op2_bpe, op3_token_files, op4_line_dedup, op5_simhash, op6_decontaminate, op7_language, op8_warc, op9_quality, op10_shards,
-        op11_licenses)
+        op11_licenses, op12_conversations, op13_spelling)
 }
 
 
@@ -108,6 +116,19 @@ def sql_shingles(key: str, table: str) -> str:
     SELECT {key}, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM (SELECT {key}, {sql_words('text')} AS ws FROM {table}) WHERE len(ws) > 0)"""
 
 
+def sql_crc32(text: str) -> str:
+    """crc32 of a string of Latin-1 characters, by the table of its polynomial."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ 0xEDB88320 * (value & 1)
+        table.append(value)
+    data = f"""flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+      ELSE [192 + unicode(c)::BIGINT // 64, 128 + unicode(c)::BIGINT % 64] END))"""
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {data}),
+      lambda c, b: xor(c >> 8, ({table}::BIGINT[])[(xor(c, b) & 255) + 1])))"""
+
+
 # SQL for DuckDB.  Sharding, fingerprints by XXH64, tokens, coded files, compression, page
 # markup and boosting have none; tests hold those queries against brute force.
 ORACLE: dict[str, str] = {
@@ -131,4 +152,62 @@ ORACLE: dict[str, str] = {
   n AS (SELECT item_id, count(*) AS n FROM item GROUP BY item_id)
   SELECT d.doc_id, i.item_id, count(*)::DOUBLE / any_value(n.n) AS overlap
   FROM doc d JOIN item i ON i.s = d.s JOIN n ON n.item_id = i.item_id GROUP BY d.doc_id, i.item_id HAVING count(*)::DOUBLE / any_value(n.n) >= 0.8""",
+
+    "op12_conversations": rf"""WITH RECURSIVE given AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+      {sql_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations),
+  damaged AS (SELECT coalesce(conv_id::VARCHAR, '') AS id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+      CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM given WHERE k <> 0),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+      regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM damaged),
+  faults AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+      left(lag(role) OVER (PARTITION BY id ORDER BY i), 1) || left(role, 1) AS pair FROM numbered),
+  r AS MATERIALIZED (SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial FROM faults),
+  counted AS (SELECT id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+      count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+      count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY id),
+  step(t, initial, u) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+  ins(s, t, c, a) AS (VALUES (0, 0, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 1, 0, ''), (1, 2, 3, 'I'), (1, 3, 6, 'II'),
+      (2, 2, 0, ''), (2, 3, 3, 'I'), (3, 3, 0, ''), (3, 2, 3, 'I')),
+  edit AS (SELECT f.fault, g.initial, t.t, t.t AS u, 4 AS c, 'D' AS a FROM (VALUES ('blank'), ('duplicate'), ('truncated'), ('')) f(fault),
+      (VALUES ('s'), ('u'), ('a'), ('x')) g(initial), (VALUES (0), (1), (2), (3)) t(t)
+    UNION ALL SELECT f.fault, step.initial, t, u, f.c, 'K' FROM step, (VALUES ('truncated', 3), ('', 0)) f(fault, c)
+    UNION ALL SELECT f.fault, g.initial, t, u, f.c + 3, 'R' FROM (SELECT DISTINCT t, u FROM step WHERE initial <> 's'), (VALUES ('truncated', 3), ('', 0)) f(fault, c),
+      (VALUES ('s'), ('u'), ('a'), ('x')) g(initial)),
+  path(id, i, s, m) AS (SELECT id, 0::BIGINT, 0, {{'c': 0::BIGINT, 'a': ''}} FROM counted
+    UNION ALL SELECT p.id, p.i + 1, e.u, min({{'c': p.m.c + x.c + e.c, 'a': p.m.a || x.a || e.a}}) FROM path p JOIN ins x ON x.s = p.s
+      JOIN r ON r.id = p.id AND r.i = p.i + 1 JOIN edit e ON e.fault = r.fault AND e.initial = r.initial AND e.t = x.t GROUP BY p.id, p.i, e.u),
+  best AS MATERIALIZED (SELECT p.id, min({{'c': p.m.c + x.c, 'a': p.m.a || x.a}}) AS m FROM path p JOIN counted USING (id) JOIN ins x ON x.s = p.s
+    WHERE p.i = n AND x.t IN (0, 3) GROUP BY p.id),
+  letters AS (SELECT id, unnest(string_split(m.a, '')) AS e, generate_subscripts(string_split(m.a, ''), 1) AS pos FROM best),
+  placed AS (SELECT *, count(*) FILTER (e <> 'I') OVER w AS i, count(*) FILTER (e <> 'D') OVER w AS o,
+      count(*) FILTER (e <> 'D') OVER (PARTITION BY id) AS total FROM letters WINDOW w AS (PARTITION BY id ORDER BY pos)),
+  lines AS (SELECT p.id, string_agg(CASE WHEN e = 'K' THEN r.role WHEN (total - o) % 2 = 0 THEN 'assistant' ELSE 'user' END || ':'
+      || CASE WHEN e = 'I' THEN '' ELSE r.text END, chr(10) ORDER BY pos) AS repaired
+    FROM placed p LEFT JOIN r ON r.id = p.id AND r.i = p.i WHERE e <> 'D' GROUP BY p.id)
+  SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(m.c, 0)::BIGINT AS cost, coalesce(m.a, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+  FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '') AS id FROM conversations) o
+    LEFT JOIN counted c ON c.id = o.id LEFT JOIN best b ON b.id = o.id LEFT JOIN lines l ON l.id = o.id""",
+    "op13_spelling": rf"""WITH RECURSIVE r AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[A-Za-z\x{{00C0}}-\x{{00FF}}]{{7,}}')) AS run FROM documents),
+  d AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY doc_id, run),
+  h AS (SELECT run, n, {sql_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM d),
+  w AS (SELECT CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+  v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+  i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+  less AS (SELECT DISTINCT word, n, word[:i - 1] || word[i + 1:] AS rest FROM i),
+  gap AS (SELECT word, n, word[:i - 1] || '_' || word[i + 1:] AS rest FROM i),
+  near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n FROM gap a JOIN gap b ON a.rest = b.rest AND a.word <> b.word
+    UNION ALL SELECT a.word, b.word, b.n FROM less a JOIN v b ON a.rest = b.word
+    UNION ALL SELECT b.word, a.word, a.n FROM less a JOIN v b ON a.rest = b.word),
+  best AS (SELECT word, count(*) AS n_near, max(n) AS m, arg_min(other, (-n, encode(other))) AS form FROM near GROUP BY word),
+  f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN form END AS form,
+    CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+  chain AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+  SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN chain c ON c.word = f.word
+    JOIN f e ON e.word = c.at WHERE e.form IS NULL""",
 }
