@@ -42,16 +42,6 @@ class Memo(dict):
         super().__init__()
         self.function, self.limit, self.old = function, limit, {}
 
-    def room(self, n: int) -> None:
-        """Make room for n more results at once."""
-        if len(self) + n > self.limit:
-            self.old = dict(self)
-            self.clear()
-
-    def unknown(self, keys: set) -> list:
-        """The keys without a result."""
-        return [key for key in keys if key not in self and key not in self.old]
-
     def keep(self, key, value) -> None:
         if len(key) <= 64:
             if len(self) >= self.limit:

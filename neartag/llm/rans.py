@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from neartag.llm.bpe import OTHER, latin_pattern
+from neartag.llm.bpe import OTHER, byte_letters, latin_pattern
 from neartag.llm.common import Memo, id_and_text
 from neartag.plans.staging import Staging
 
@@ -129,8 +129,8 @@ def coder_of(table: bytes) -> Coder:
 class Tokens:
     """Ids of texts by the tokenizers library, with a memory of words.
 
-    Texts are cut into words by the pattern of byte-level vocabularies, and the library sees
-    each word once for as long as it is remembered.
+    Texts are cut into words by the pattern of byte-level vocabularies, and the library's model
+    sees each word once for as long as it is remembered.
     """
 
     # Fixed value: the word pattern of byte-level vocabularies.
@@ -144,39 +144,24 @@ class Tokens:
         self.kind = np.dtype(id_kind(self.tokenizer.get_vocab_size()))
         self.word = regex.compile(self.WORD.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.latin = latin_pattern(self.WORD)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.words = Memo(self.encode_word, 400_000)
-        # The id of a line end, if that is one token and nothing else has it.
-        ends = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_end = ends[0] if len(ends) == 1 else None
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+    def ids(self, text: str) -> bytes:
+        """A whole text by the library's own cutting."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode_word(self, word: str) -> bytes:
-        return self.ids(word).tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Encode many words in few calls: line ends between them are words of their own."""
-        visible = [w for w in words if not w.isspace()]
-        if self.line_end is None or not visible:
-            return
-        self.words.room(len(visible))
-        size = self.kind.itemsize
-        for low in range(0, len(visible), 100):
-            part = visible[low:low + 100]
-            ids = self.ids("\n".join(part))
-            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
-            if len(ends) == len(part):
-                data, at = ids.tobytes(), 0
-                for word, end in zip(part, ends.tolist()):
-                    self.words.keep(word, data[at * size:end * size])
-                    at = end + 1
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        # A text with a special token is left to the library, as one word.
-        cuts = [[t] if any(s in t for s in self.special) else (self.latin if OTHER.search(t) is None else self.word).findall(t) for t in texts]
-        self.learn(self.words.unknown(set(chain.from_iterable(c for c in cuts if len(c) > 1))))
-        return [b"".join(map(self.words.__getitem__, cut)) for cut in cuts]
+        """One word by the library's model, which takes bytes as letters."""
+        letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(letters)], self.kind).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        # A text with a special token is left to the library.
+        if any(s in text for s in self.special):
+            return self.ids(text)
+        cut = (self.latin if OTHER.search(text) is None else self.word).findall(text)
+        return b"".join(map(self.words.__getitem__, cut))
 
 
 def id_kind(vocabulary_size: int) -> str:
@@ -212,15 +197,13 @@ def token_blocks(docs: DataFrame, path: str, end_id: int, block_tokens: int = BL
                 "lengths": [len(p) // width for p in pieces], "ids": b"".join(pieces)}], schema)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 128):  # bounds what is encoded at once
-                rows = batch.slice(low, 128)
-                for doc_id, ids in zip(rows["doc_id"].to_pylist(), tokens.encode([t or "" for t in rows["text"].to_pylist()])):
-                    doc_ids.append(doc_id)
-                    pieces.append(ids + end)
-                    held += len(pieces[-1]) // width
-                    if held >= block_tokens:
-                        yield close()
-                        doc_ids, pieces, block, start, held = [], [], block + 1, start + held, 0
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+                doc_ids.append(doc_id)
+                pieces.append(tokens.encode(text.as_py() or "") + end)
+                held += len(pieces[-1]) // width
+                if held >= block_tokens:
+                    yield close()
+                    doc_ids, pieces, block, start, held = [], [], block + 1, start + held, 0
         if doc_ids:
             yield close()
 
