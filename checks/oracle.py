@@ -387,6 +387,31 @@ ORACLE: dict[str, str] = {
     "top_k": f"""WITH {BOTH}, {indexed()}, {selected()}, {scored(where="d.corpus = 'train'")}, {best(10)} SELECT * FROM top""",
     **{name: f"WITH {neighbors(text=ALL_FIELDS)} SELECT * FROM nb"
        for name in ("knn_join", "knn_join_one_plan", "knn_join_pruned")},
+    "knn_by_id": f"""WITH {BOTH}, {indexed()}, asked AS (SELECT * REPLACE (id * 2 + CASE corpus WHEN 'test' THEN 1 ELSE 0 END AS id) FROM both_),
+{selected('asked')}, {scored(where="d.corpus = 'train' AND q.query_id <> d.id * 2")}, {best(3)}, {TAGGED}
+SELECT query_id, rank, id, score, tags FROM nb""",
+    "knn_all_corpora": f"""WITH {BOTH}, {indexed()}, {selected()},
+sc AS (SELECT q.query_id, d.corpus, d.id, sum(round({BM25_WEIGHT} * ({BM25_IMPACT}) * 1000000)::BIGINT)::BIGINT AS micro
+  FROM qt q JOIN post d ON d.term = q.term JOIN len l ON l.corpus = d.corpus AND l.id = d.id, n GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY micro DESC, id, corpus) AS rank FROM sc)
+SELECT t.query_id, t.rank::INTEGER AS rank, t.id, t.corpus, t.micro::DOUBLE / 1000000 AS score, l.tags
+FROM top t JOIN len l ON l.id = t.id AND l.corpus = t.corpus WHERE t.rank <= 7""",
+    "knn_multi_field": f"""WITH {BOTH},
+fdoc AS (SELECT corpus, id, tags, 'title' AS field, 1 AS place, {analysed('title')} AS toks FROM both_
+  UNION ALL SELECT corpus, id, tags, 'body', 2, {analysed('body')} FROM both_),
+ftot AS (SELECT field, count(*) AS n_docs, sum(len(toks))::DOUBLE / count(*) AS avgdl FROM fdoc GROUP BY field),
+fpost AS (SELECT corpus, id, field, place, len(toks) AS doc_len, term, count(*) AS tf
+  FROM (SELECT *, unnest(toks) AS term FROM fdoc) GROUP BY ALL),
+fstats AS (SELECT field, place, term, count(*) AS df FROM fpost GROUP BY ALL),
+stats AS (SELECT term, max(df) AS df, arg_max(field, df * 10 - place) AS top_field FROM fstats GROUP BY term),
+n AS (SELECT max(n_docs) AS n_docs FROM ftot), {selected()},
+sc AS (SELECT q.query_id, d.id, sum(round({BM25_WEIGHT} * (d.tf / (d.tf + 1.2::DOUBLE * ((1.0::DOUBLE - 0.75) + 0.75::DOUBLE * d.doc_len / t.avgdl))) * 1000000)::BIGINT)::BIGINT AS micro
+  FROM qt q JOIN stats s ON s.term = q.term JOIN fpost d ON d.term = q.term AND d.field = s.top_field JOIN ftot t ON t.field = d.field
+  WHERE d.corpus = 'train' GROUP BY q.query_id, d.id), {best(5)}
+SELECT t.query_id, t.rank, t.id, t.score, b.tags FROM top t JOIN train b ON b.id = t.id""",
+    "knn_separate_stats": f"""WITH {BOTH}, {CHATS}, {indexed()}, {indexed('chats', p='c_')},
+{selected(limit='lim.df >= 3 AND lim.df <= 200', limits_from='c_stats')}, {scored(where="d.corpus = 'train'")}, {best(5)}, {TAGGED}
+SELECT query_id, rank, id, score, tags FROM nb""",
     "knn_self_join": f"""WITH {TRAIN}, {indexed('train')}, {selected('train')},
         {scored(where='d.id <> q.query_id')}, {best(3)}, {TAGGED} SELECT * FROM nb""",
     "neighbor_tags": f"""WITH {neighbors()}, packed AS (SELECT query_id, string_agg(',' || id || ',"' || tags || '"', '' ORDER BY rank) AS hits

@@ -37,14 +37,27 @@ def r6(column: str | Column) -> Column:
     return F.round(column, 6)
 
 
+def cores(spark: SparkSession) -> int:
+    """Ranges that texts are dealt into before they are analysed: the given files hold one row group each."""
+    return spark.sparkContext.defaultParallelism
+
+
+def spread(rows: DataFrame, key: str = "id") -> DataFrame:
+    return rows.repartitionByRange(cores(rows.sparkSession), key)
+
+
 def body_index(questions: DataFrame) -> ix.Index:
-    return ix.build_index(questions, "body")
+    return ix.build_index(spread(questions), "body")
+
+
+def staged(questions: DataFrame, staging: Staging, text_col: str = "body") -> ix.Index:
+    return search.stage_index(questions, staging, text_col=text_col, ranges=cores(questions.sparkSession))
 
 
 def search_setup(spark: SparkSession, sf_dir: str,
                  params: TermParams = ANY_TERM) -> tuple[DataFrame, DataFrame, ix.Index]:
     """Test questions, their selected terms and the staged index of both corpora."""
-    index = search.stage_index(derive.both(spark, sf_dir), Staging(spark), text_col="body")
+    index = staged(derive.both(spark, sf_dir), Staging(spark))
     queries = derive.as_queries(derive.test(spark, sf_dir))
     selected = terms.query_terms(queries, index.term_stats, index.corpus_stats, params)
     return queries, selected, index
@@ -59,7 +72,7 @@ def selected_terms(spark: SparkSession, sf_dir: str, params: TermParams) -> Data
 def test_neighbors(spark: SparkSession, sf_dir: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
     questions = derive.both(spark, sf_dir)
     staging = Staging(spark)
-    index = search.stage_index(questions, staging, text_col="body")
+    index = staged(questions, staging)
     queries = derive.as_queries(derive.test(spark, sf_dir))
     return queries, search.find_neighbors(queries, index, k, staging=staging)
 
@@ -69,7 +82,7 @@ def held_out_neighbors(spark: SparkSession, sf_dir: str, k: int,
     """All questions, the held-out queries, and their neighbours among the others."""
     questions = derive.train(spark, sf_dir).withColumn(
         "corpus", F.when(F.col("id") % 10 == 0, "test").otherwise("train"))
-    index = search.stage_index(questions, staging, text_col="body")
+    index = staged(questions, staging)
     queries = derive.as_queries(derive.held_out(questions))
     return questions, queries, search.find_neighbors(queries, index, k, staging=staging)
 
@@ -243,7 +256,7 @@ def analyzer_by_name(spark, sf_dir):
 
 @query
 def word_bag(spark, sf_dir):
-    return tokens.word_bag(derive.train(spark, sf_dir))
+    return tokens.word_bag(spread(derive.train(spark, sf_dir)))
 
 
 @query
@@ -263,7 +276,7 @@ def index_docs(spark, sf_dir):
 
 @query
 def index_postings(spark, sf_dir):
-    return ix.postings_of(ix.build_docs(derive.both(spark, sf_dir), text_col="body"))
+    return ix.postings_of(ix.build_docs(spread(derive.both(spark, sf_dir)), text_col="body"))
 
 
 @query
@@ -445,7 +458,7 @@ def knn_join(spark, sf_dir):
     """The flagship: five nearest train questions of every test question, all text fields."""
     staging = Staging(spark)
     questions = derive.both(spark, sf_dir).withColumn("text", prepare.concat_fields())
-    index = search.stage_index(questions, staging)
+    index = staged(questions, staging, "text")
     queries = derive.as_queries(derive.test(spark, sf_dir), derive.ALL_FIELDS)
     return search.find_neighbors(queries, index, staging=staging)
 
@@ -455,17 +468,18 @@ def knn_join_one_plan(spark, sf_dir):
     """The flagship as one lazy plan."""
     questions = derive.both(spark, sf_dir).withColumn("text", prepare.concat_fields())
     queries = derive.as_queries(derive.test(spark, sf_dir), derive.ALL_FIELDS)
-    return search.knn_join(queries, ix.build_index(questions))
+    return search.knn_join(queries, ix.build_index(spread(questions)))
 
 
 @query
 def knn_join_pruned(spark, sf_dir):
-    """The flagship through the search that leaves frequent terms to the end."""
+    """The flagship with small blocks and many rounds."""
     staging = Staging(spark)
     questions = derive.both(spark, sf_dir).withColumn("text", prepare.concat_fields())
-    index = search.stage_index(questions, staging)
+    index = staged(questions, staging, "text")
     queries = derive.as_queries(derive.test(spark, sf_dir), derive.ALL_FIELDS)
-    return search.find_neighbors(queries, index, strategy="pruned", lead_budget=100, staging=staging)
+    blocks = search.stage_blocks(index, staging, block_docs=64)
+    return search.find_neighbors(queries, index, staging=staging, blocks=blocks, rounds=(1, 2, 8, 64))
 
 
 @query
@@ -473,9 +487,39 @@ def knn_self_join(spark, sf_dir):
     """Every train question against all the others."""
     staging = Staging(spark)
     questions = derive.train(spark, sf_dir)
-    index = search.stage_index(questions, staging, text_col="body")
-    return search.find_neighbors(derive.as_queries(questions), index, 3, exclude_self=True,
-                                 staging=staging)
+    index = staged(questions, staging)
+    return search.find_neighbors(spread(derive.as_queries(questions), "query_id"), index, 3, exclude_self=True, staging=staging)
+
+
+@query
+def knn_by_id(spark, sf_dir):
+    """The nearest train questions of every stored document of either corpus, without its text."""
+    index = staged(derive.both(spark, sf_dir), Staging(spark))
+    wanted = index.docs.select((F.col("id") * 2 + F.when(F.col("corpus") == "test", 1).otherwise(0)).alias("query_id"), "corpus", "id")
+    return search.find_like(wanted, index, 3)
+
+
+@query
+def knn_all_corpora(spark, sf_dir):
+    """The nearest questions of every test question in both corpora, itself included."""
+    index = staged(derive.both(spark, sf_dir), Staging(spark))
+    return search.find_neighbors(derive.as_queries(derive.test(spark, sf_dir)), index, 7, corpus=None)
+
+
+@query
+def knn_multi_field(spark, sf_dir):
+    """Each term is searched in the field, title or body, that most questions have it in."""
+    index = search.stage_field_index(derive.both(spark, sf_dir), ["title", "body"], Staging(spark), ranges=cores(spark))
+    return search.find_neighbors(derive.as_queries(derive.test(spark, sf_dir)), index)
+
+
+@query
+def knn_separate_stats(spark, sf_dir):
+    """Neighbours by terms whose document frequency in the chats lies within limits."""
+    index = staged(derive.both(spark, sf_dir), Staging(spark))
+    limits = body_index(derive.chats(spark, sf_dir)).term_stats
+    params = TermParams(min_term_freq=1, min_doc_freq=3, max_doc_freq=200)
+    return search.find_neighbors(derive.as_queries(derive.test(spark, sf_dir)), index, terms=params, threshold_stats=limits)
 
 
 @query
@@ -615,8 +659,8 @@ def ml_knn(spark, sf_dir):
     questions = derive.train(spark, sf_dir).withColumn(
         "corpus", F.when(F.col("id") % 10 == 0, "test").otherwise("train"))
     questions = staging.write(questions.withColumn("text", F.col("body")), "questions")
-    index = search.stage_index(questions, staging)
-    found = learning.ml_knn_tags(derive.kept(questions), derive.as_queries(derive.held_out(questions)),
+    index = staged(questions, staging, "text")
+    found = learning.ml_knn_tags(spread(derive.kept(questions)), derive.as_queries(derive.held_out(questions)),
                                  index, staging=staging)
     return found.withColumn("probability", r6("probability"))
 
@@ -625,7 +669,7 @@ def ml_knn(spark, sf_dir):
 def cross_validate_ml_knn(spark, sf_dir):
     questions = derive.train(spark, sf_dir).withColumn("text", F.col("body"))
     staging = Staging(spark)
-    index = search.stage_index(questions, staging)
+    index = staged(questions, staging, "text")
     rows = learning.cross_validate_ml_knn(
         questions, index, "train", F.pmod(F.col("id"), F.lit(10)).cast("int"), staging=staging.child("folds"))
     return rows.withColumns({c: r6(c) for c in ("hamming_loss", "subset_accuracy", "micro_f1", "macro_f1")})

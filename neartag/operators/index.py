@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from neartag.functions.text import Analyzer, get_analyzer
@@ -19,7 +20,8 @@ class Index:
     term_stats    term, df, ttf, max_tf, min_len  (over all corpora)
     corpus_stats  one row: n_docs, sum_ttf, avgdl (over all corpora)
 
-    ``n_docs`` and ``avgdl`` are set once the totals are known on the driver.
+    ``n_docs`` and ``avgdl`` are set once the totals are known on the driver, ``seed`` once one is
+    known under which all terms have different keys.
 
     A document is one row, so a single narrow pass over the texts makes the docs table;
     readers of tags or lengths do not touch the terms column.
@@ -30,12 +32,57 @@ class Index:
     corpus_stats: DataFrame
     n_docs: int | None = None
     avgdl: float | None = None
+    seed: int | None = None
+
+    key_columns = ("term",)
 
     @property
     def postings(self) -> DataFrame:
         """corpus, id, term, tf, doc_len."""
         return postings_of(self.docs)
 
+    @property
+    def term_keys(self) -> DataFrame:
+        """What a search tells terms apart by."""
+        return self.term_stats.select("term")
+
+
+@dataclass(frozen=True)
+class FieldIndex:
+    """An index whose terms are counted by field.
+
+    docs          corpus, id, tags, lengths (array of field, doc_len),
+                  postings (array of field, term, tf, doc_len of the field)
+    field_stats   field, term, df, ttf  (over all corpora)
+    field_totals  field, n_docs, sum_ttf, avgdl
+    """
+
+    docs: DataFrame
+    fields: tuple[str, ...]
+    field_stats: DataFrame
+    field_totals: DataFrame
+    n_docs: int | None = None
+    seed: int | None = None
+
+    key_columns = ("field", "term")
+
+    @property
+    def term_stats(self) -> DataFrame:
+        """term, df, top_field: the field that most documents have the term in."""
+        return multi_field_stats(self.field_stats, list(self.fields))
+
+    @property
+    def term_keys(self) -> DataFrame:
+        return self.field_stats.select("field", "term")
+
+    @property
+    def corpus_stats(self) -> DataFrame:
+        return self.field_totals.agg(F.max("n_docs").alias("n_docs"))
+
+    def averages(self) -> dict[str, float]:
+        """Average length of each field; a row per field comes to the driver."""
+        return {r.field: r.avgdl for r in self.field_totals.collect()}
+
 
 def build_docs(df: DataFrame, analyzer: str | Analyzer = "standard",
                text_col: str = "text") -> DataFrame:
@@ -85,8 +132,36 @@ def build_index(df: DataFrame, text_col: str = "text",
     return Index(docs, build_term_stats(postings_of(docs)), build_corpus_stats(docs))
 
 
-def pin_totals(index: Index) -> Index:
+def build_field_docs(df: DataFrame, fields: Sequence[str], analyzer: str | Analyzer = "standard") -> DataFrame:
+    """The docs table of a ``FieldIndex``; a narrow job, each field analysed apart."""
+    analyze = get_analyzer(analyzer)
+    docs = df.select("corpus", "id", "tags", *fields)
+    for field in fields:
+        docs = pack_terms(docs, analyze(F.col(field)), tuple(docs.columns)).withColumnsRenamed(
+            {"n_tokens": f"_len_{field}", "terms": f"_terms_{field}"})
+
+    def entries(field: str) -> Column:
+        return F.transform(f"_terms_{field}", lambda t: F.struct(
+            F.lit(field).alias("field"), t.term.alias("term"), t.tf.alias("tf"), F.col(f"_len_{field}").alias("doc_len")))
+
+    lengths = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_len_{f}").alias("doc_len")) for f in fields])
+    return docs.select("corpus", "id", "tags", lengths.alias("lengths"), F.concat(*map(entries, fields)).alias("postings"))
+
+
+def field_index(docs: DataFrame, fields: Sequence[str]) -> FieldIndex:
+    """Statistics by field of a docs table with fields."""
+    postings = docs.select(F.inline("postings"))
+    stats = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
+    totals = docs.select(F.inline("lengths")).groupBy("field").agg(
+        F.count("*").alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("sum_ttf"))
+    average = F.when(F.col("sum_ttf") <= 0, F.lit(1.0)).otherwise(F.col("sum_ttf") / F.col("n_docs"))
+    return FieldIndex(docs, tuple(fields), stats, totals.withColumn("avgdl", average))
+
+
+def pin_totals(index: Index | FieldIndex) -> Index | FieldIndex:
     """Read the one row of corpus totals and put it into later plans as literals."""
+    if isinstance(index, FieldIndex):
+        return replace(index, n_docs=index.corpus_stats.first().n_docs or 0)
     totals = index.corpus_stats.select("n_docs", "sum_ttf", "avgdl").first().asDict()
     row = index.docs.sparkSession.sql(
         "SELECT CAST(:n_docs AS BIGINT) AS n_docs, CAST(:sum_ttf AS BIGINT) AS sum_ttf, "
@@ -104,24 +179,3 @@ def multi_field_stats(stats: DataFrame, fields: list[str]) -> DataFrame:
     return stats.filter(F.col("field").isin(fields)).groupBy("term").agg(
         F.max("df").alias("df"),
         F.max_by("field", F.struct(F.col("df"), -position)).alias("top_field"))
-
-
-def copy_surplus(docs: DataFrame, keep: int) -> DataFrame:
-    """corpus, id of the documents that at least ``keep`` copies with smaller ids precede.
-
-    Documents with equal terms are copies.  They get equal scores and ties go to the
-    smaller id, so a search for ``keep`` results can never return a surplus copy, and
-    leaving them out of the scored documents (not out of the statistics) changes nothing.
-    The rank filter is applied before the shuffle too, so a content that a third of all
-    rows share sends only ``keep`` rows per map task.
-    """
-    keyed = docs.select("corpus", "id", F.sha2(F.to_json("terms"), 256).alias("content"))
-    copies = Window.partitionBy("corpus", "content").orderBy("id")
-    kept = keyed.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= keep)
-    return docs.select("corpus", "id").join(kept, ["corpus", "id"], "left_anti")
-
-
-def collapse_copies(index: Index, keep: int) -> Index:
-    """The index without surplus copies; statistics stay as they are."""
-    surplus = copy_surplus(index.docs, keep)
-    return replace(index, docs=index.docs.join(surplus, ["corpus", "id"], "left_anti"))

@@ -5,64 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from neartag.functions.scoring import (
-    MICRO, ScoreParams, bm25_length_norm, from_micro, term_impact, term_weight, to_micro)
+from neartag.functions.scoring import ScoreParams, bm25_length_norm, from_micro, term_impact, term_weight, to_micro
 from neartag.operators.index import Index
 
-# A term with more postings than this is split into shards.  The limit also grows with
-# the corpus (n_docs / MAX_SHARDS), so a term has at most MAX_SHARDS shards and the list of
-# split terms has at most MAX_SHARDS * (distinct terms per document) rows.
-SHARD_ROWS = 1_000_000
-MAX_SHARDS = 1_000
-# Rows of a hot term's product that one task makes in ``join_split``.
+# Rows of a hot key's product that one task makes in ``join_cells``.
 CELL_ROWS = 1 << 24
+# At most so many keys are split, however large the tables: a cell then grows with the total.
+MAX_SPLIT = 10_000
 
 
-def _shards(df: Column, n_docs: Column, shard_rows: int) -> Column:
-    limit = F.greatest(F.lit(shard_rows), F.ceil(n_docs / MAX_SHARDS))
-    return F.ceil(df / limit).cast("int")
+def join_cells(asking: DataFrame, held: DataFrame, on: str, asking_id: str, held_id: str, sizes: DataFrame,
+               cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Join by a key that many rows of both sides may share.
 
-
-def join_postings(terms: DataFrame, index: Index, corpus: str | None = None,
-                  shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Join rows that carry term and df with the postings of the term.
-
-    A term's postings are spread over shards by document, in proportion to its df, and
-    the term's rows on the other side are repeated once per shard.  One task therefore
-    never holds more than a shard of a term, however frequent it is.
-    """
-    postings = index.postings if corpus is None else index.postings.filter(F.col("corpus") == corpus)
-    postings = postings.withColumnRenamed("tf", "doc_tf")
-    if index.n_docs is not None and index.n_docs <= shard_rows:
-        return terms.join(postings, "term")  # no term can exceed a shard
-    n_docs = index.corpus_stats.select("n_docs").scalar()
-    shards = _shards(F.col("df"), n_docs, shard_rows)
-    split = (index.term_stats.select("term", shards.alias("shards"))
-             .filter(F.col("shards") > 1))
-    shard_of = F.coalesce(F.pmod(F.xxhash64("id"), F.col("shards")), F.lit(0)).cast("int")
-    sharded = (postings.join(F.broadcast(split), "term", "left")
-               .withColumn("shard", shard_of).drop("shards"))
-    spread = terms.withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
-    return spread.join(sharded, ["term", "shard"]).drop("shard")
-
-
-def join_split(terms: DataFrame, index: Index, corpus: str | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``join_postings`` for terms that many rows ask for: both sides of a hot term are split.
-
-    A term asked by q rows and held by d documents makes q * d rows.  It is cut into cells of
-    about ``cell_rows``: postings into parts by document, asking rows into parts by key, and
-    each part is repeated once per part of the other side.  No task gets more than a cell.
+    ``sizes`` has the key, ``asked`` and ``held``, at least the rows of either side.  A key asked
+    for by q rows and held by d makes q * d rows.  It is cut into cells of about ``cell_rows``:
+    rows of either side into parts by their id, each repeated once per part of the other side.
+    No task gets more than a cell.  Split keys are those with more than a cell, and a cell is at
+    least a ``MAX_SPLIT``-th of all rows made, so their list is short and broadcast.
     """
-    postings = index.postings if corpus is None else index.postings.filter(F.col("corpus") == corpus)
-    postings = postings.withColumnRenamed("tf", "doc_tf")
-    cells = F.col("asked") * F.col("held") / float(cell_rows)
+    product = F.col("asked") * F.col("held")
+    made = sizes.agg(F.coalesce(F.sum(product), F.lit(0))).scalar()
+    cells = product / F.greatest(F.lit(float(cell_rows)), made / float(MAX_SPLIT))
     # The number of cells is shared out so that parts of both sides are about equally long.
-    doc_parts = F.least(F.col("held"), F.ceil(F.sqrt(cells * F.col("held") / F.col("asked")))).cast("int")
-    split = (terms.groupBy("term").agg(F.count("*").alias("asked"), F.max("df").alias("held")).filter(cells > 1)
-             .withColumn("doc_parts", F.greatest(F.lit(1), doc_parts))
-             .select("term", "doc_parts", F.ceil(cells / F.col("doc_parts")).cast("int").alias("key_parts")))
-    one = {c: F.coalesce(c, F.lit(1)) for c in ("doc_parts", "key_parts")}
-    key = terms.columns[0]
+    split = F.broadcast(sizes.filter(cells > 1).select(on, "asked", "held", cells.alias("_cells")).withColumn(
+        "_held_parts", F.greatest(F.lit(1), F.least(F.col("held"), F.ceil(F.sqrt(F.col("_cells") * F.col("held") / F.col("asked")))).cast("int")))
+        .select(on, "_held_parts", F.ceil(F.col("_cells") / F.col("_held_parts")).cast("int").alias("_asking_parts")))
+    one = {c: F.coalesce(c, F.lit(1)) for c in ("_held_parts", "_asking_parts")}
 
     def part(column: str, parts: str) -> Column:
         return F.pmod(F.xxhash64(column), F.col(parts)).cast("int")
@@ -70,11 +39,18 @@ def join_split(terms: DataFrame, index: Index, corpus: str | None = None, cell_r
     def every(parts: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
-    asking = (terms.join(split, "term", "left").withColumns(one).withColumn("key_part", part(key, "key_parts"))
-              .withColumn("doc_part", every("doc_parts")).drop("doc_parts", "key_parts"))
-    held = (postings.join(split, "term", "left").withColumns(one).withColumn("doc_part", part("id", "doc_parts"))
-            .withColumn("key_part", every("key_parts")).drop("doc_parts", "key_parts"))
-    return asking.join(held, ["term", "doc_part", "key_part"]).drop("doc_part", "key_part")
+    left = (asking.join(split, on, "left").withColumns(one).withColumn("_asking_part", part(asking_id, "_asking_parts"))
+            .withColumn("_held_part", every("_held_parts")).drop("_held_parts", "_asking_parts"))
+    right = (held.join(split, on, "left").withColumns(one).withColumn("_held_part", part(held_id, "_held_parts"))
+             .withColumn("_asking_part", every("_asking_parts")).drop("_held_parts", "_asking_parts"))
+    return left.join(right, [on, "_held_part", "_asking_part"]).drop("_held_part", "_asking_part")
+
+
+def join_postings(terms: DataFrame, index: Index, corpus: str | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Join rows (first column a key, term, df, ..) with the postings of their terms; hot terms are split on both sides."""
+    postings = index.postings if corpus is None else index.postings.filter(F.col("corpus") == corpus)
+    sizes = terms.groupBy("term").agg(F.count("*").alias("asked"), F.max("df").alias("held"))
+    return join_cells(terms, postings.withColumnRenamed("tf", "doc_tf"), "term", terms.columns[0], "id", sizes, cell_rows)
 
 
 def with_weight(selected: DataFrame, index: Index, params: ScoreParams = ScoreParams()) -> DataFrame:
@@ -89,15 +65,8 @@ def contribution(index: Index, params: ScoreParams) -> Column:
     return to_micro(F.col("weight") * term_impact(F.col("doc_tf"), F.col("doc_len"), avgdl, params))
 
 
-def matched_contribution(avgdl: float, params: ScoreParams) -> Column:
-    """Summed score of the ``matched`` terms of a row, in millionths."""
-    return F.aggregate("matched", F.lit(0).cast("bigint"), lambda total, m: total + to_micro(
-        m.weight * term_impact(m.doc_tf, F.col("doc_len"), F.lit(avgdl), params)))
-
-
 def score_docs(selected: DataFrame, index: Index, params: ScoreParams = ScoreParams(),
-               corpus: str | None = None, key: str = "query_id",
-               shard_rows: int = SHARD_ROWS) -> DataFrame:
+               corpus: str | None = None, key: str = "query_id") -> DataFrame:
     """key, id, micro: summed score of every document that holds a query term.
 
     Statistics cover all corpora; ``corpus`` only restricts the documents.  Without it a
@@ -105,7 +74,7 @@ def score_docs(selected: DataFrame, index: Index, params: ScoreParams = ScorePar
     """
     weighted = with_weight(selected, index, params).select(key, "term", "df", "weight")
     document = ["id"] if corpus is not None else ["corpus", "id"]
-    return (join_postings(weighted, index, corpus, shard_rows)
+    return (join_postings(weighted, index, corpus)
             .select(key, *document, contribution(index, params).alias("micro"))
             .groupBy(key, *document).agg(F.sum("micro").alias("micro")))
 
@@ -123,10 +92,13 @@ def top_k(scores: DataFrame, k: int, key: str = "query_id") -> DataFrame:
             .select(key, "rank", *document, from_micro(F.col("micro")).alias("score")))
 
 
-def drop_self(neighbors: DataFrame, k: int) -> DataFrame:
-    """Leave the query itself out of its k + 1 neighbours and renumber the rest."""
-    at_self = F.coalesce(F.max(F.when(F.col("id") == F.col("query_id"), F.col("rank")))
-                         .over(Window.partitionBy("query_id")), F.lit(k + 2))
+def drop_self(neighbors: DataFrame, k: int, itself: Column | None = None) -> DataFrame:
+    """Leave the query itself out of its k + 1 neighbours and renumber the rest.
+
+    ``itself`` tells which row that is; without it, the one whose id is the query's.
+    """
+    itself = F.col("id") == F.col("query_id") if itself is None else itself
+    at_self = F.coalesce(F.max(F.when(itself, F.col("rank"))).over(Window.partitionBy("query_id")), F.lit(k + 2))
     return (neighbors.withColumn("self_rank", at_self)
             .filter(F.col("rank") != F.col("self_rank"))
             .withColumn("rank", F.when(F.col("rank") > F.col("self_rank"), F.col("rank") - 1)
@@ -193,21 +165,12 @@ def explain_scores(selected: DataFrame, index: Index, pairs: DataFrame,
         from_micro(contribution(index, params)).alias("score"))
 
 
-# --- exact search without the full product of hot terms -------------------------------
-
-def score_bound(index: Index, params: ScoreParams) -> Column:
-    """No document gets more millionths than this from a term (weight, max_tf, min_len)."""
-    avgdl = index.corpus_stats.select("avgdl").scalar()
-    return F.ceil(F.col("weight") * term_impact(F.col("max_tf"), F.col("min_len"), avgdl, params)
-                  * float(MICRO)).cast("bigint") + 1
-
+# --- bags: the weighted terms of a query, as the search in blocks asks for them ---------
 
 def term_bags(selected: DataFrame, index: Index, params: ScoreParams = ScoreParams()) -> DataFrame:
-    """query_id, content, terms: the weighted terms of each query and a key of them."""
-    fields = F.struct("term", "df", "weight", "bound")
-    bags = (with_weight(selected, index, params)
-            .withColumn("bound", score_bound(index, params))
-            .groupBy("query_id").agg(F.array_sort(F.collect_list(fields)).alias("terms")))
+    """query_id, content, terms (array of field, term, df, weight): the weighted terms of each query and a key of them."""
+    fields = F.struct(F.col("top_field").alias("field"), "term", "df", "weight")
+    bags = with_weight(selected, index, params).groupBy("query_id").agg(F.array_sort(F.collect_list(fields)).alias("terms"))
     return bags.select("query_id", F.sha2(F.to_json("terms"), 256).alias("content"), "terms")
 
 
@@ -221,35 +184,18 @@ def share_bags(bags: DataFrame) -> DataFrame:
     return bags.select("query_id", "content").join(first, "content").select("query_id", "bag_id")
 
 
-def bag_terms(bags: DataFrame, shared: DataFrame) -> DataFrame:
-    """bag_id, term, df, weight, bound: the terms of each distinct bag."""
+def distinct_bags(bags: DataFrame, shared: DataFrame) -> DataFrame:
+    """bag_id, terms: the terms of each distinct bag."""
     firsts = shared.filter(F.col("query_id") == F.col("bag_id"))
-    return bags.join(firsts, "query_id").select("bag_id", F.inline("terms"))
+    return bags.join(firsts, "query_id").select("bag_id", "terms")
 
 
-def mark_lead(terms: DataFrame, budget: int) -> DataFrame:
-    """Add ``lead``: the rarest terms of a bag, until they reach ``budget`` postings."""
-    rarest = Window.partitionBy("bag_id").orderBy("df", "term")
-    before = F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1))
-    return terms.withColumn("lead", F.coalesce(before, F.lit(0)) < budget)
+def floors(best: DataFrame, k: int) -> DataFrame:
+    """bag_id, shelf, floor: the k-th best score so far; absent where there are fewer than k."""
+    return best.groupBy("bag_id", "shelf").agg(F.count("*").alias("n"), F.min("micro").alias("floor")).filter(F.col("n") >= k).drop("n")
 
 
-def threshold(scores: DataFrame, k: int) -> DataFrame:
-    """bag_id, floor: the k-th best of the scores; absent where there are fewer than k."""
-    best_first = Window.partitionBy("bag_id").orderBy(F.desc("micro"), "id")
-    return (scores.withColumn("rank", F.row_number().over(best_first))
-            .filter(F.col("rank") <= k).filter(F.col("rank") == k)
-            .select("bag_id", F.col("micro").alias("floor")))
-
-
-def mark_optional(terms: DataFrame, floors: DataFrame) -> DataFrame:
-    """Add ``optional``: terms whose bounds together stay below the floor of the bag.
-
-    A document that holds optional terms only scores less than k others, so it need not
-    be found; terms already used to find the floor are never optional.
-    """
-    weakest = Window.partitionBy("bag_id").orderBy("lead", "bound", "term")
-    reach = F.sum("bound").over(weakest.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (terms.join(floors, "bag_id", "left")
-            .withColumn("floor", F.coalesce("floor", F.lit(0)))
-            .withColumn("optional", ~F.col("lead") & (reach < F.col("floor"))))
+def best_of(scores: DataFrame, k: int) -> DataFrame:
+    """The k best rows (bag_id, shelf, corpus, id, micro) of each bag and shelf."""
+    best_first = Window.partitionBy("bag_id", "shelf").orderBy(F.desc("micro"), "id", "corpus")
+    return scores.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k).drop("rank")

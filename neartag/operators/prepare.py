@@ -100,15 +100,16 @@ def tag_counts(df: DataFrame, tags_col: str = "tags", keep_empty: bool = False)
     return tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy("n", "tag")
 
 
-def number_rows(df: DataFrame, key: str, staging: Staging | None = None) -> DataFrame:
-    """Add ``row_number``, the 0-based position in the order of any orderable key.
+def number_rows(df: DataFrame, key: str | list[Column], staging: Staging | None = None) -> DataFrame:
+    """Add ``row_number``, the 0-based position in the order of any orderable key or keys.
 
     No global window: rows are range-partitioned by the key and written once in that order;
     a row's number is its place in its range plus the sizes of the earlier ranges.  Rows with
     equal keys are numbered one after the other.
     """
     staging = (staging or Staging(df.sparkSession)).child("numbered")
-    marked = (df.repartitionByRange(key).sortWithinPartitions(key)
+    keys = [key] if isinstance(key, str) else key
+    marked = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
               .withColumn("_mark", F.monotonically_increasing_id()))
     # The mark holds the number of the range above 33 bits that count its rows.
     rows = staging.write(marked, "rows").withColumn("_range", F.shiftright("_mark", 33))
@@ -128,8 +129,57 @@ def slice_rows(df: DataFrame, size: int = 10_000, order_by: str = "id") -> DataF
             .drop("row_number"))
 
 
+def nth_key(keys: DataFrame, n: int, few: int = 10_000) -> tuple[object, int]:
+    """The n-th smallest value (nulls first) of a one-column table ``k``, and how many are smaller.
+
+    The keys are dealt into ranges, and the range that holds the n-th is dealt again, until few
+    keys or one value are left.  Only counts and ends of ranges come to the driver.
+    """
+    before = 0
+    while True:
+        ends = (keys.repartitionByRange("k").groupBy(F.spark_partition_id().alias("part")).agg(
+            F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), F.count_if(F.col("k").isNull()).alias("nulls")))
+        rows = sorted(ends.collect(), key=lambda r: r.part)
+        if sum(r.nulls for r in rows) >= n - before:
+            return None, before
+        # Without nulls the ranges follow each other.
+        before, held = before + sum(r.nulls for r in rows), [r for r in rows if r.n > r.nulls]
+        for r in held:
+            if before + r.n - r.nulls >= n:
+                break
+            before += r.n - r.nulls
+        keys = keys.filter(F.col("k").between(F.lit(r.low), F.lit(r.high)))
+        if r.low == r.high:
+            return r.low, before
+        if r.n - r.nulls <= few:
+            found = sorted(x.k for x in keys.select("k").collect())
+            value = found[n - before - 1]
+            return value, before + found.index(value)
+
+
 def take_first(df: DataFrame, n: int, order_by: str = "id") -> DataFrame:
-    """The first ``n`` rows in key order; 0 means all rows."""
+    """The first ``n`` rows in key order; 0 means all rows.
+
+    The n-th key is found over the keys alone; the rows then come from one scan that filters by
+    it.  Of the rows with just that key, as many as are missing are taken, those with the
+    smallest hash of the whole row.
+    """
     if n <= 0:
         return df
-    return number_rows(df, order_by).filter(F.col("row_number") < n).drop("row_number")
+    keys = df.select(F.col(order_by).alias("k"))
+    if keys.count() <= n:
+        return df
+    value, before = nth_key(keys, n)
+    key = F.col(order_by)
+    if value is None:
+        first, last = F.lit(False), key.isNull()
+    else:
+        first, last = key.isNull() | (key < F.lit(value)), key == F.lit(value)
+    ties = df.filter(last)
+    if ties.count() > n - before:
+        # Rows equal in everything are alike, so any of them will do.
+        hashed = ties.withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+        mark, smaller = nth_key(hashed.select(F.col("_hash").alias("k")), n - before)
+        equal = hashed.filter(F.col("_hash") == mark).limit(n - before - smaller)
+        ties = hashed.filter(F.col("_hash") < mark).unionByName(equal).drop("_hash")
+    return df.filter(first).unionByName(ties)

@@ -15,6 +15,7 @@ from neartag.operators.tokens import count_terms, unpack_terms
 # some number d of distinct terms, d on average, so at most FREQUENT_SHARE * d terms are
 # frequent however large the corpus is: their statistics are safe to broadcast.
 FREQUENT_SHARE = 100
+LIMIT_SHARE = 100_000
 
 
 @dataclass(frozen=True)
@@ -73,20 +74,33 @@ def indexed_tf(doc_ids: DataFrame, docs: DataFrame,
     return unpack_terms(wanted, ("query_id",)).filter(~is_noise(F.col("term"), params))
 
 
-def with_term_stats(terms: DataFrame, term_stats: DataFrame, n_docs: Column) -> DataFrame:
-    """Inner join with per-term statistics that no frequent term can skew.
+def split_by_frequency(terms: DataFrame, term_stats: DataFrame, n_docs: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of frequent terms with their statistics; the other rows; the statistics for these.
 
     Rows of frequent terms, about half of all running text, meet a broadcast of bounded
     size and are not shuffled at all; the others meet the rest of the table in a shuffle
-    join, in which no term can have more than its share of rows.
+    join, in which no term can have more than its share of rows.  A column ``wanted`` of the
+    statistics tells which terms a limit keeps; frequent terms that it drops leave before any
+    shuffle.  A column ``limit_df`` counts in another corpus, where a term is frequent too if it
+    has a ``LIMIT_SHARE``-th of all postings: at most so many terms are.
     """
     frequent = F.col("df") * FREQUENT_SHARE >= n_docs
-    hot = F.broadcast(term_stats.filter(frequent))
+    if "limit_df" in term_stats.columns:
+        total = term_stats.agg(F.coalesce(F.sum("limit_df"), F.lit(0))).scalar()
+        frequent = frequent | (F.col("limit_df") * LIMIT_SHARE >= total)
+    marked = term_stats if "wanted" in term_stats.columns else term_stats.withColumn("wanted", F.lit(True))
+    hot = F.broadcast(marked.filter(frequent))
     looked_up = terms.join(hot, "term", "left")
-    new = [c for c in term_stats.columns if c != "term"]
-    found = looked_up.filter(F.col("df").isNotNull())
-    missed = looked_up.filter(F.col("df").isNull()).drop(*new)
-    return found.unionByName(missed.join(term_stats.filter(~frequent), "term"))
+    new = [c for c in marked.columns if c != "term"]
+    found = looked_up.filter("wanted").drop("wanted")
+    missed = looked_up.filter(F.col("wanted").isNull()).drop(*new)
+    return found, missed, marked.filter(~frequent & F.col("wanted")).drop("wanted")
+
+
+def with_term_stats(terms: DataFrame, term_stats: DataFrame, n_docs: Column) -> DataFrame:
+    """Inner join with per-term statistics that no frequent term can skew, see ``split_by_frequency``."""
+    found, missed, rest = split_by_frequency(terms, term_stats, n_docs)
+    return found.unionByName(missed.join(rest, "term"))
 
 
 def select_terms(terms: DataFrame, term_stats: DataFrame, corpus_stats: DataFrame,
@@ -116,14 +130,16 @@ def select_terms(terms: DataFrame, term_stats: DataFrame, corpus_stats: DataFram
                  .withColumn("df", F.coalesce("df", F.lit(0)))
                  .withColumn("top_field", F.coalesce("top_field", F.lit("text"))))
 
-    stats = stats.filter(F.col("limit_df") > 0)
+    wanted = F.col("limit_df") > 0
     if params.min_doc_freq > 0:
-        stats = stats.filter(F.col("limit_df") >= params.min_doc_freq)
+        wanted = wanted & (F.col("limit_df") >= params.min_doc_freq)
     if params.max_doc_freq is not None:
-        stats = stats.filter(F.col("limit_df") <= params.max_doc_freq)
+        wanted = wanted & (F.col("limit_df") <= params.max_doc_freq)
     if params.max_doc_freq_pct is not None:
-        stats = stats.filter(
-            F.col("limit_df") <= F.floor(params.max_doc_freq_pct * n_docs / 100))
+        wanted = wanted & (F.col("limit_df") <= F.floor(params.max_doc_freq_pct * n_docs / 100))
+    stats = stats.withColumn("wanted", F.coalesce(wanted, F.lit(False)))
+    if threshold_stats is None:
+        stats = stats.drop("limit_df")
 
     idf = bm25_idf(F.col("df"), n_docs)
     scored = (with_term_stats(terms, stats, n_docs).drop("limit_df")

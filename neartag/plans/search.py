@@ -2,30 +2,56 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neartag.functions.scoring import ScoreParams
 from neartag.functions.text import Analyzer
+from neartag.operators import blocks as bl
 from neartag.operators import neighbors as nn
 from neartag.operators.index import (
-    Index, build_corpus_stats, build_docs, build_term_stats, collapse_copies, pin_totals, postings_of)
-from neartag.operators.terms import ANY_TERM, TermParams, query_terms, select_terms, source_tf
+    FieldIndex, Index, build_corpus_stats, build_docs, build_field_docs, build_term_stats, field_index, pin_totals, postings_of)
+from neartag.operators.terms import (
+    ANY_TERM, TermParams, indexed_tf, query_terms, select_terms, source_tf)
 from neartag.plans.staging import Staging
 
-# Postings per bag from which the score floor is taken.  A larger budget raises the floor
-# but scores more documents of terms that might have been optional.
-LEAD_BUDGET = 500
+# Blocks a query has been scored against after each round, most promising first; then all
+# that its floor leaves open.
+ROUNDS = (1, 4, 32)
+ALL = 1 << 30
 
 
 def stage_index(df: DataFrame, staging: Staging, analyzer: str | Analyzer = "standard",
-                text_col: str = "text") -> Index:
-    """``build_index`` with every table written once; texts are analysed once."""
+                text_col: str = "text", ranges: int | None = None) -> Index:
+    """``build_index`` with every table written once; texts are analysed once.
+
+    Texts are analysed by as many tasks as their table has splits.  ``ranges`` shuffles the rows
+    into so many ranges of ids before, for files with fewer splits than there are cores.
+    """
+    if ranges is not None:
+        df = df.repartitionByRange(ranges, "corpus", "id")
     docs = staging.write(build_docs(df, analyzer, text_col), "docs", partition_by="corpus")
     term_stats = staging.write(build_term_stats(postings_of(docs)), "term_stats")
-    return pin_totals(Index(docs, term_stats, build_corpus_stats(docs)))
+    return with_seed(pin_totals(Index(docs, term_stats, build_corpus_stats(docs))))
+
+
+def with_seed(index: Index | FieldIndex) -> Index | FieldIndex:
+    """The index with a seed under which its terms have different keys."""
+    return index if index.seed is not None else replace(index, seed=bl.key_seed(index.term_keys, index.key_columns))
+
+
+def stage_field_index(df: DataFrame, fields: Sequence[str], staging: Staging, analyzer: str | Analyzer = "standard",
+                      ranges: int | None = None) -> FieldIndex:
+    """An index of several text columns, written once."""
+    if ranges is not None:
+        df = df.repartitionByRange(ranges, "corpus", "id")
+    docs = staging.write(build_field_docs(df, fields, analyzer), "field_docs", partition_by="corpus")
+    index = field_index(docs, fields)
+    return with_seed(pin_totals(replace(index, field_stats=staging.write(index.field_stats, "field_stats"),
+                                        field_totals=staging.write(index.field_totals, "field_totals"))))
 
 
 def knn_join(queries: DataFrame, index: Index, k: int = 5, corpus: str = "train",
@@ -44,84 +70,147 @@ def knn_join(queries: DataFrame, index: Index, k: int = 5, corpus: str = "train"
     return nn.fetch_tags(found, index.docs, corpus)
 
 
-def search_bags(terms: DataFrame, index: Index, k: int, corpus: str, score: ScoreParams,
-                staging: Staging, lead_budget: int = LEAD_BUDGET) -> DataFrame:
-    """bag_id, rank, id, score: exact search that leaves hot terms to the end.
+@dataclass(frozen=True)
+class Blocks:
+    """The documents of an index in blocks, for one scorer; written once, searched often."""
+
+    table: DataFrame
+    supers: DataFrame
+    seed: int
+    by_field: bool
+
 
-    1. Score the documents of each bag's rarest terms; the k-th best score is a floor.
-    2. Terms that together cannot reach the floor are optional: documents that hold
-       nothing else are never generated.
-    3. Score all documents with a required term, drop those that cannot reach the floor
-       even with all optional terms, and look the optional terms up for the rest.
+def stage_blocks(index: Index | FieldIndex, staging: Staging, corpus: str | None = "train",
+                 score: ScoreParams = ScoreParams(), shelf: Column | None = None,
+                 block_docs: int = bl.BLOCK_DOCS) -> Blocks:
+    """Write the blocks of a corpus (None: of all) and the blocks of blocks."""
+    index = with_seed(index)
+    weighted = bl.weighted_docs(index, score, index.seed, corpus)
+    table = staging.write(bl.block_table(weighted, shelf, block_docs), "blocks")
+    supers = staging.write(bl.super_table(table, table.count()), "supers")
+    return Blocks(table, supers, index.seed, isinstance(index, FieldIndex))
 
-    Every document that could be among the k best is scored in full.
+
+def search_bags(bags: DataFrame, blocks: Blocks, k: int, staging: Staging,
+                rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
+    """bag_id, shelf, corpus, id, micro: the k best documents of each bag (bag_id, terms) and shelf.
+
+    Every query is scored against its most promising blocks first, those whose largest impacts
+    add up to the most.  Its k-th best score so far is its floor, which rises from round to
+    round; blocks that cannot reach it are left out, and inside a block only documents that can
+    are scored in full.  Nothing is lost: a block or document is left out by a proven bound.
+    Only block numbers that a floor leaves open are ever stored.
     """
-    gain = nn.contribution(index, score).alias("micro")
-    weights = ["bag_id", "term", "df", "weight"]
-
-    def scored(part: DataFrame) -> DataFrame:
-        return nn.join_split(part.select(*weights), index, corpus).select("bag_id", "id", gain)
-
-    def summed(*parts: DataFrame) -> DataFrame:
-        rows = parts[0]
-        for part in parts[1:]:
-            rows = rows.unionByName(part)
-        return rows.groupBy("bag_id", "id").agg(F.sum("micro").alias("micro"))
-
-    terms = staging.write(nn.mark_lead(terms, lead_budget), "lead")
-    lead = staging.write(summed(scored(terms.filter("lead"))), "lead_scores")
-    terms = staging.write(nn.mark_optional(terms, nn.threshold(lead, k)), "optional")
-
-    partial = staging.write(
-        summed(lead, scored(terms.filter("NOT lead AND NOT optional"))), "partial_scores")
-    optional = terms.filter("optional")
-    reach = optional.groupBy("bag_id").agg(F.sum("bound").alias("reach"))
-    survivors = staging.write((partial.join(reach, "bag_id", "left")
-                 .join(nn.threshold(partial, k), "bag_id", "left")
-                 .filter(F.col("micro") + F.coalesce("reach", F.lit(0)) >= F.coalesce("floor", F.lit(0)))
-                 .select("bag_id", "id", "micro")), "survivors")
-    # A bag without optional terms has nothing to look up; its scores are final.
-    rest = nn.match_terms(survivors, optional.select("bag_id", "term", "weight"), index, corpus, "bag_id")
-    completed = rest.select("bag_id", "id", (
-        F.col("micro") + nn.matched_contribution(index.avgdl, score)).alias("micro"))
-    final = survivors.join(optional.select("bag_id").distinct(), "bag_id", "left_anti")
-    return nn.top_k(completed.unionByName(final), k, "bag_id")
-
-
-def find_neighbors(queries: DataFrame, index: Index, k: int = 5, corpus: str = "train",
+    keys = F.transform("terms", lambda t: bl.term_key(blocks.seed, *([t.field] if blocks.by_field else []), t.term))
+    lists = staging.write(bags.select("bag_id", keys.alias("keys"), F.col("terms.weight").alias("weights")), "bag_lists")
+    n_bags = lists.count()
+    # The bounds of a query come from all blocks of blocks: one per some millions of largest impacts.
+    supers = F.array(*[F.lit(r.block) for r in blocks.supers.select("block").orderBy("block").collect()]).cast("array<bigint>")
+    n_shelves = blocks.table.select("shelf").distinct().count()
+    zero = F.lit(0).cast("bigint")
+
+    def bounds(asking: DataFrame, n: int) -> DataFrame:
+        """bag_id, shelf, block, bound: the n best blocks of each query (bag_id, floor) that reach its floor."""
+        requests = asking.select("bag_id", "floor", F.explode(supers).alias("block"))
+        found = bl.score_blocks(requests, lists, blocks.supers, n_bags, n, bounds=True)
+        return found.select("bag_id", "shelf", F.col("id").alias("block"), F.col("micro").alias("bound"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("bag_id", "shelf").orderBy(F.desc("bound"), "block")
+        return rows.withColumn("place", F.row_number().over(order))
+
+    def scored(requests: DataFrame) -> DataFrame:
+        return bl.score_blocks(requests.select("bag_id", "block", "floor"), lists, blocks.table, n_bags, k)
+
+    def reaching(rows: DataFrame) -> DataFrame:
+        """Blocks that can still reach the floor of their query on their shelf."""
+        known = rows.join(nn.floors(best, k), ["bag_id", "shelf"], "left").withColumn("floor", F.coalesce("floor", zero))
+        return known.filter(F.col("bound") >= F.col("floor"))
+
+    first = ranked(bounds(lists.select("bag_id", zero.alias("floor")), rounds[0])).filter(F.col("place") <= rounds[0])
+    best = staging.write(nn.best_of(scored(first.withColumn("floor", zero)), k), "round-0")
+    # A query has a floor for all its blocks once it has one on every shelf.
+    least = nn.floors(best, k).groupBy("bag_id").agg(F.count("*").alias("n"), F.min("floor").alias("floor")).filter(F.col("n") == n_shelves)
+    asking = lists.select("bag_id").join(least.drop("n"), "bag_id", "left").select("bag_id", F.coalesce("floor", zero).alias("floor"))
+    opened = ranked(bounds(asking, ALL)).filter(F.col("place") > rounds[0])
+    left = staging.write(reaching(opened).drop("floor"), "open")
+    most = left.agg(F.max("place")).first()[0] or 0
+    low = rounds[0]
+    for number, high in enumerate([*rounds[1:], most], 1):
+        if most <= low:
+            break
+        wanted = left.filter((F.col("place") > low) & (F.col("place") <= high))
+        best = staging.write(nn.best_of(best.unionByName(scored(reaching(wanted))), k), f"round-{number}")
+        low = high
+    return best
+
+
+def search_selected(selected: DataFrame, index: Index | FieldIndex, k: int, corpus: str | None, score: ScoreParams,
+                    staging: Staging, blocks: Blocks | None = None, strategy: str = "blocks",
+                    rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
+    """query_id, rank, id (and corpus, if None is given), score of queries given by their selected terms."""
+    bags = staging.write(nn.term_bags(selected, index, score), "bags")
+    shared = nn.share_bags(bags)
+    distinct = nn.distinct_bags(bags, shared)
+    if strategy == "direct":
+        rows = distinct.select("bag_id", F.inline("terms")).select("bag_id", "term", "df", "weight")
+        document = ["id"] if corpus is not None else ["corpus", "id"]
+        best = (nn.join_postings(rows, index, corpus).select("bag_id", *document, nn.contribution(index, score).alias("micro"))
+                .groupBy("bag_id", *document).agg(F.sum("micro").alias("micro")))
+    elif strategy == "blocks":
+        blocks = blocks or stage_blocks(index, staging, corpus, score)
+        best = search_bags(distinct, blocks, k, staging, rounds).drop("shelf")
+        if corpus is not None:
+            best = best.drop("corpus")
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return shared.join(nn.top_k(best, k, "bag_id"), "bag_id").drop("bag_id")
+
+
+def find_neighbors(queries: DataFrame, index: Index | FieldIndex, k: int = 5, corpus: str | None = "train",
                    terms: TermParams = ANY_TERM, score: ScoreParams = ScoreParams(),
                    analyzer: str | Analyzer = "standard", exclude_self: bool = False,
-                   strategy: str = "pruned", lead_budget: int = LEAD_BUDGET,
-                   staging: Staging | None = None) -> DataFrame:
+                   strategy: str = "blocks", staging: Staging | None = None, blocks: Blocks | None = None,
+                   threshold_stats: DataFrame | None = None, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """Same result as ``knn_join``, for large inputs: query_id, rank, id, score, tags.
 
-    Queries with equal term bags are searched once.  ``pruned`` (``search_bags``) skips what
-    cannot matter and ignores surplus copies of a document, at every size; ``direct`` scores
-    all postings and serves as its check.
+    Without a ``corpus`` all corpora are searched and rows carry a column corpus.  Queries with
+    equal term bags are searched once.  ``blocks`` (``search_bags``) skips what cannot matter;
+    ``direct`` scores all postings and serves as its check.  ``blocks`` written before can be
+    given.  ``threshold_stats`` (term, df) makes the limits on document frequency look at another
+    corpus.  In an index of several fields each term is searched in the field that most
+    documents have it in.
     """
     staging = staging or Staging(queries.sparkSession)
-    wanted = k + exclude_self
     if index.n_docs is None:
         index = pin_totals(index)
     # The counts are read twice, for frequent and for other terms, but made once.
     counts = staging.write(source_tf(queries, terms, analyzer), "query_tf")
-    selected = select_terms(counts, index.term_stats, index.corpus_stats, terms)
-    bags = staging.write(nn.term_bags(selected, index, score), "bags")
-    shared = nn.share_bags(bags)
-    distinct = staging.write(nn.bag_terms(bags, shared), "bag_terms")
-    if strategy == "direct":
-        scores = (nn.join_postings(distinct.select("bag_id", "term", "df", "weight"), index, corpus)
-                  .select("bag_id", "id", nn.contribution(index, score).alias("micro"))
-                  .groupBy("bag_id", "id").agg(F.sum("micro").alias("micro")))
-        found = nn.top_k(scores, wanted, "bag_id")
-    elif strategy == "pruned":
-        # Without surplus copies and other corpora; written once, read by every step.
-        kept = collapse_copies(index, wanted).docs.filter(F.col("corpus") == corpus)
-        searched = replace(index, docs=staging.write(kept, "kept_docs"))
-        found = search_bags(distinct, searched, wanted, corpus, score, staging, lead_budget)
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    found = shared.join(found, "bag_id").drop("bag_id")
+    selected = select_terms(counts, index.term_stats, index.corpus_stats, terms, threshold_stats)
+    found = search_selected(selected, index, k + exclude_self, corpus, score, staging, blocks, strategy, rounds)
     if exclude_self:
         found = nn.drop_self(found, k)
     return nn.fetch_tags(found, index.docs, corpus)
+
+
+def find_like(doc_ids: DataFrame, index: Index, k: int = 5, corpus: str | None = "train",
+              terms: TermParams = ANY_TERM, score: ScoreParams = ScoreParams(), exclude_self: bool = True,
+              strategy: str = "blocks", staging: Staging | None = None, blocks: Blocks | None = None,
+              threshold_stats: DataFrame | None = None) -> DataFrame:
+    """Neighbours of documents of the index, given as query_id, corpus, id: like ``find_neighbors``.
+
+    The terms come from the docs table; no text is read or analysed.  ``exclude_self`` leaves out
+    the document itself, not one of the same id in another corpus.
+    """
+    staging = staging or Staging(doc_ids.sparkSession)
+    if index.n_docs is None:
+        index = pin_totals(index)
+    counts = staging.write(indexed_tf(doc_ids, index.docs, terms), "query_tf")
+    selected = select_terms(counts, index.term_stats, index.corpus_stats, terms, threshold_stats)
+    found = search_selected(selected, index, k + exclude_self, corpus, score, staging, blocks, strategy)
+    if exclude_self:
+        own = doc_ids.select("query_id", F.col("corpus").alias("own_corpus"), F.col("id").alias("own_id"))
+        where = F.lit(corpus) if corpus is not None else F.col("corpus")
+        itself = (F.col("id") == F.col("own_id")) & (where == F.col("own_corpus"))
+        found = nn.drop_self(found.join(own, "query_id"), k, itself).drop("own_corpus", "own_id")
+    return nn.fetch_tags(found, index.docs, corpus)

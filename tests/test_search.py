@@ -4,13 +4,15 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from neartag.functions.scoring import ScoreParams
 from neartag.operators import neighbors as nn
 from neartag.operators import terms
-from neartag.operators.index import build_index, collapse_copies, copy_surplus, multi_field_stats
+from neartag.operators import blocks as bl
+from neartag.operators.index import build_index, multi_field_stats
 from neartag.operators.terms import ANY_TERM, TermParams
 from neartag.plans import search
 from neartag.plans.staging import Staging
@@ -85,15 +87,62 @@ def without_empty(result):
     return {q: hits for q, hits in result.items() if hits}
 
 
-@pytest.mark.parametrize("strategy, budget", [("direct", 1), ("pruned", 1), ("pruned", 30), ("pruned", 10 ** 6)])
-def test_every_strategy_equals_brute_force(spark, corpus, strategy, budget):
+@pytest.mark.parametrize("strategy, rounds, block_docs", [
+    ("direct", (1,), 1), ("blocks", (1,), 4), ("blocks", (1, 3, 9), 7), ("blocks", (2, 5), 1), ("blocks", search.ROUNDS, bl.BLOCK_DOCS)])
+def test_every_strategy_equals_brute_force(spark, corpus, strategy, rounds, block_docs):
     docs, queries = corpus
     table, asked = frames(spark, docs, queries)
-    index = search.stage_index(table, Staging(spark))
-    found = search.find_neighbors(asked, index, 5, strategy=strategy, lead_budget=budget)
+    staging = Staging(spark)
+    index = search.stage_index(table, staging)
+    blocks = search.stage_blocks(index, staging, block_docs=block_docs)
+    found = search.find_neighbors(asked, index, 5, strategy=strategy, rounds=rounds, blocks=blocks, staging=staging)
     assert collected(found) == without_empty(brute_force(docs, queries, 5))
 
 
+def test_blocks_are_skipped_and_postings_left_out():
+    """Scores equal plain sums, and few of the postings of a skewed block are touched."""
+    rng = np.random.default_rng(4)
+    n, words = 400, 300
+    keys = [np.unique(rng.zipf(1.3, 40) % words).astype(np.int64) for _ in range(n)]
+    impacts = [rng.random(len(x)) for x in keys]
+    block = bl.unpack_block(bl.pack_block(list(range(1000, 1000 + n)), keys, impacts))
+    asked = [np.unique(rng.integers(0, words, 20)).astype(np.int64) for _ in range(30)] + [np.array([9999], np.int64), np.zeros(0, np.int64)]
+    held = np.bincount(np.concatenate(keys), minlength=10_000)
+    weights = [np.log(1 + n / (held[x] + 0.5)) for x in asked]  # rare words weigh more
+    plain = np.zeros((len(asked), n), np.int64)
+    for q, (own, w) in enumerate(zip(asked, weights)):
+        for d in range(n):
+            for key, impact in zip(keys[d], impacts[d]):
+                if key in own:
+                    plain[q, d] += micro(w[list(own).index(key)] * impact)
+    k = 3
+    kth = np.sort(plain, axis=1)[:, -k]
+    counts = np.array([len(x) for x in asked])
+    flat, flat_w = np.concatenate(asked), np.concatenate(weights)
+    for floors in (np.zeros(len(asked), np.int64), kth):
+        query, doc, score, touched = bl.score_requests(block, floors, flat, flat_w, counts, k)
+        got = {q: [] for q in range(len(asked))}
+        for q, d, s in zip(query.tolist(), doc.tolist(), score.tolist()):
+            got[q].append((d, s))
+        for q in range(len(asked)):
+            best = sorted(((-plain[q, d], d) for d in range(n) if plain[q, d] >= max(floors[q], 1)))[:k]
+            assert got[q] == [(d, -s) for s, d in best]
+        if floors.any():
+            assert touched[0] < 0.5 * everything
+        everything = touched[0]
+
+
+def test_queries_that_share_a_hot_term_are_cut_into_cells(spark):
+    sizes = spark.createDataFrame([(1, 40, 60), (2, 1, 9)], "key long, asked long, held long")
+    left = spark.range(40).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("a")).unionByName(
+        spark.createDataFrame([(2, 7)], "key long, a long"))
+    right = spark.range(60).select(F.when(F.col("id") < 51, 1).otherwise(2).cast("long").alias("key"), F.col("id").alias("b"))
+    made = nn.join_cells(left, right, "key", "a", "b", sizes, cell_rows=100)
+    rows = [(r.key, r.a, r.b) for r in made.collect()]
+    assert len(rows) == len(set(rows)) == 40 * 51 + 9
+    assert made.groupBy("key").count().count() == 2
+
+
 def test_one_plan_equals_brute_force(spark, corpus):
     docs, queries = corpus
     table, asked = frames(spark, docs, queries)
@@ -106,11 +155,11 @@ def test_a_hot_word_is_split_on_both_sides(spark):
     index = build_index(spark.createDataFrame(rows, "corpus string, id long, text string, tags string"))
     asking = spark.range(40).select(F.col("id").alias("bag_id"), F.lit("hot").alias("term"), F.lit(60).cast("bigint").alias("df"), F.lit(1.0).alias("weight"))
     asking = asking.unionByName(asking.withColumns({"term": F.lit("w3"), "df": F.lit(9).cast("bigint")}))
-    plain = {(r.bag_id, r.term, r.id) for r in nn.join_postings(asking, index, "train").collect()}
-    split = nn.join_split(asking, index, "train", cell_rows=100)
+    plain = {(q, t, i) for q in range(40) for i in range(60) for t in ["hot"] + ["w3"] * (i % 7 == 3)}
+    split = nn.join_postings(asking, index, "train", cell_rows=100)
     found = [(r.bag_id, r.term, r.id) for r in split.collect()]
     assert set(found) == plain and len(found) == len(plain) == 40 * 60 + 40 * 9
-    per_key = nn.join_split(asking, index, "train", cell_rows=100).groupBy(F.spark_partition_id()).count()
+    per_key = nn.join_postings(asking, index, "train", cell_rows=100).groupBy(F.spark_partition_id()).count()
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "40")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -122,13 +171,13 @@ def test_a_hot_word_is_split_on_both_sides(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("strategy", ["direct", "pruned"])
+@pytest.mark.parametrize("strategy", ["direct", "blocks"])
 def test_without_self(spark, corpus, strategy):
     docs, _ = corpus
     queries = [(i, t) for c, i, t in docs if c == "train"]
     table, asked = frames(spark, docs, queries)
     index = search.stage_index(table, Staging(spark))
-    found = search.find_neighbors(asked, index, 3, exclude_self=True, strategy=strategy, lead_budget=20)
+    found = search.find_neighbors(asked, index, 3, exclude_self=True, strategy=strategy)
     assert collected(found) == without_empty(brute_force(docs, queries, 3, exclude_self=True))
 
 
@@ -139,8 +188,8 @@ def test_boost_and_limits(spark, corpus):
     score = ScoreParams(k1=1.7, b=0.3)
     index = search.stage_index(table, Staging(spark))
     expected = without_empty(brute_force(docs, queries, 5, params, score))
-    for strategy in ("direct", "pruned"):
-        found = search.find_neighbors(asked, index, 5, terms=params, score=score, strategy=strategy, lead_budget=5)
+    for strategy in ("direct", "blocks"):
+        found = search.find_neighbors(asked, index, 5, terms=params, score=score, strategy=strategy)
         assert collected(found) == expected
 
 
@@ -148,9 +197,9 @@ def test_splitting_hot_terms_changes_nothing(spark, corpus):
     docs, queries = corpus
     table, asked = frames(spark, docs, queries)
     index = build_index(table)
-    selected = terms.query_terms(asked, index.term_stats, index.corpus_stats, ANY_TERM)
-    whole = nn.score_docs(selected, index, corpus="train")
-    split = nn.score_docs(selected, index, corpus="train", shard_rows=7)
+    selected = terms.query_terms(asked, index.term_stats, index.corpus_stats, ANY_TERM).select("query_id", "term", "df")
+    whole = nn.join_postings(selected, index, "train")
+    split = nn.join_postings(selected, index, "train", cell_rows=7)
     assert whole.exceptAll(split).count() == 0 and split.exceptAll(whole).count() == 0
 
 
@@ -166,13 +215,64 @@ def test_explained_scores_sum_to_the_score(spark, corpus):
         "total is null or abs(total - score) > 1e-9").count() == 0
 
 
-def test_surplus_copies(spark):
-    rows = [("train", i, "a b b", "") for i in range(5)] + [("train", 9, "b a b", ""), ("train", 7, "a b", ""),
-                                                           ("test", 8, "a b b", "")]
-    table = spark.createDataFrame(rows, "corpus string, id long, text string, tags string")
-    index = build_index(table)
-    assert {r.id for r in copy_surplus(index.docs, 2).collect()} == {2, 3, 4, 9}
-    assert collapse_copies(index, 2).postings.select("corpus", "id").distinct().count() == 4
+def test_all_corpora_keep_equal_ids_apart(spark, corpus):
+    docs, queries = corpus
+    table, asked = frames(spark, docs, queries)
+    index = search.stage_index(table, Staging(spark))
+    selected = terms.query_terms(asked, index.term_stats, index.corpus_stats, ANY_TERM)
+    expected = nn.fetch_tags(nn.top_k(nn.score_docs(selected, index), 7), index.docs)
+    for strategy in ("direct", "blocks"):
+        found = search.find_neighbors(asked, index, 7, corpus=None, strategy=strategy)
+        assert sorted(map(tuple, found.select(expected.columns).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_search_by_stored_documents(spark, corpus):
+    docs, _ = corpus
+    table, _ = frames(spark, docs, [(0, "")])
+    index = search.stage_index(table, Staging(spark))
+    queries = [(1000 * (c == "test") + i, t) for c, i, t in docs]
+    wanted = table.select((F.when(F.col("corpus") == "test", 1000).otherwise(0) + F.col("id")).alias("query_id"), "corpus", "id")
+    expected = without_empty(brute_force(docs, queries, 4, exclude_self=True))
+    assert collected(search.find_like(wanted, index, 4)) == expected
+    # Over all corpora only the document itself goes, not the one with its id elsewhere.
+    everywhere = search.find_like(wanted, index, 200, corpus=None).filter("query_id = 1003")
+    ids = {(r.corpus, r.id) for r in everywhere.collect()}
+    assert ("train", 3) in ids and ("test", 3) not in ids
+
+
+def test_each_term_is_searched_in_its_top_field(spark):
+    rows = [("train", 1, "apple apple", "pear x y z", "t1"), ("train", 2, "pear", "apple pear", "t2"), ("train", 3, "plum", "pear apple", "t3"),
+            ("test", 4, "pear pear", "apple", "t4"), ("train", 5, "", "", "t5")]
+    table = spark.createDataFrame(rows, "corpus string, id long, title string, body string, tags string")
+    index = search.stage_field_index(table, ["title", "body"], Staging(spark))
+    asked = spark.createDataFrame([(9, "apple pear plum none")], "query_id long, text string")
+    got = [(r.id, r.score, r.tags) for r in search.find_neighbors(asked, index, 5).orderBy("rank").collect()]
+    # apple: title 1, body 3; pear: title 2, body 3; plum: title 1.
+    average = {"title": 6 / 5, "body": 9 / 5}
+    df = {"apple": ("body", 3), "pear": ("body", 3), "plum": ("title", 1)}
+    scores = {}
+    for corpus, i, title, body, _ in rows:
+        for word, (field, n) in df.items():
+            text = {"title": title, "body": body}[field].split()
+            if word in text and corpus == "train":
+                weight = math.log(1 + (5 - n + 0.5) / (n + 0.5)) * 2.2
+                norm = 1.2 * (0.25 + 0.75 * len(text) / average[field])
+                scores[i] = scores.get(i, 0) + micro(weight * (text.count(word) / (text.count(word) + norm)))
+    assert got == [(i, s / 1e6, f"t{i}") for i, s in sorted(scores.items(), key=lambda x: (-x[1], x[0]))]
+
+
+def test_dropped_frequent_words_leave_before_the_shuffle(spark):
+    """Rows of a word that a limit drops are not among those that meet by term."""
+    rows = [("train", i, f"hot also w{i}", "") for i in range(300)]
+    index = build_index(spark.createDataFrame(rows, "corpus string, id long, text string, tags string"))
+    stats = index.term_stats.select("term", "df").withColumn("wanted", F.col("df") <= 100)
+    found, missed, rest = terms.split_by_frequency(index.postings.select("id", "term"), stats, F.lit(300))
+    assert found.count() == 0
+    assert {r.term for r in missed.collect()} == {f"w{i}" for i in range(300)} and rest.count() == 300
+    # Frequent in the other corpus only.
+    limits = stats.select("term", F.lit(1).cast("bigint").alias("df"), F.col("df").alias("limit_df"), F.col("wanted"))
+    _, missed, _ = terms.split_by_frequency(index.postings.select("id", "term"), limits, F.lit(300))
+    assert missed.filter("term = 'hot'").count() == 0
 
 
 def test_corpora_share_statistics_but_not_results(spark):
@@ -253,3 +353,4 @@ def test_empty_index(spark):
     assert index.corpus_stats.first().asDict() == {"n_docs": 0, "sum_ttf": 0, "avgdl": 1.0}
     asked = spark.createDataFrame([(1, "a1")], "query_id long, text string")
     assert search.knn_join(asked, index).count() == 0
+    assert search.find_neighbors(asked, index).count() == 0
