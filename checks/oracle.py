@@ -280,6 +280,56 @@ def stems(source: str) -> str:
     return ", ".join([*tables, f"stemmed AS (SELECT word, w FROM p{len(steps)})"])
 
 
+def labelset_votes(folds: str = "[0]", depth: int = 5, size: int = 3, words: int = 10_000) -> str:
+    """Label-subset trees level by level, per held-out fold id % 10, up to votes (fold, id, tag, vote)."""
+    labels = parsed('lower(tags)')
+    parts = [f"""folds AS (SELECT unnest({folds}) AS fold),
+kept AS (SELECT fold, t.* FROM train t, folds WHERE id % 10 <> fold), asked AS (SELECT fold, id FROM train, folds WHERE id % 10 = fold),
+tok AS (SELECT id, 0 AS field, unnest({analysed('title')}) AS term FROM train UNION ALL SELECT id, 1, unnest({analysed('body')}) FROM train),
+cnt AS MATERIALIZED (SELECT id, field, term, count(*) AS n FROM tok GROUP BY ALL),
+voc AS (SELECT fold, field, term FROM (SELECT fold, field, term, row_number() OVER (PARTITION BY fold, field ORDER BY sum(n) DESC, term) AS r
+  FROM cnt, folds WHERE id % 10 <> fold GROUP BY fold, field, term) WHERE r <= {words}),
+feat AS MATERIALIZED (SELECT fold, id, field || '_' || term AS f FROM cnt JOIN voc USING (field, term)),
+lab AS (SELECT DISTINCT fold, unnest({labels}) AS label FROM kept),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY md5('1:' || label)) - 1 AS p, count(*) OVER (PARTITION BY fold) AS n
+  FROM lab WHERE label <> ''),
+groups AS (SELECT DISTINCT fold, p // least({size}, n) AS g FROM dealt),
+first AS (SELECT g.fold, g.g AS ord, list_sort(list(d.label)) AS labels FROM groups g JOIN dealt d ON d.fold = g.fold
+    AND (d.p // least({size}, n) = g.g OR ((g.g + 1) * least({size}, n) > n AND d.p < (g.g + 1) * least({size}, n) - n)) GROUP BY g.fold, g.g),
+drawn AS (SELECT fold, 1000000 + s AS ord, list_sort(list(label)) AS labels FROM (
+    SELECT fold, s, label, n, row_number() OVER (PARTITION BY fold, s ORDER BY md5('1:' || s || ':' || label)) AS r
+    FROM (SELECT *, unnest(range(40 * n)) AS s FROM dealt)) WHERE r <= least({size}, n) GROUP BY fold, s),
+ls AS MATERIALIZED (SELECT fold, labels, tree FROM (SELECT fold, labels, row_number() OVER (PARTITION BY fold ORDER BY min(ord)) - 1 AS tree
+    FROM (SELECT * FROM first UNION ALL SELECT * FROM drawn) GROUP BY fold, labels)
+  JOIN (SELECT fold, max(n) AS n FROM dealt GROUP BY fold) USING (fold) WHERE tree < 2 * n),
+node0 AS (SELECT k.fold, k.id, tree, 1 AS node,
+    list_sum(list_transform(labels, lambda x, i: CASE WHEN list_contains(own, x) THEN 1 << (i - 1)::INTEGER ELSE 0 END))::BIGINT AS pattern
+  FROM (SELECT fold, id, {labels} AS own FROM kept) k JOIN ls USING (fold)),
+asked0 AS (SELECT a.fold, a.id, tree, 1 AS node FROM asked a JOIN ls USING (fold))"""]
+    for level in range(depth + 1):
+        parts.append(f"tot{level} AS MATERIALIZED (SELECT fold, tree, node, pattern, count(*) AS t FROM node{level} GROUP BY ALL)")
+        if level == depth:
+            break
+        parts.append(f"""all{level} AS (SELECT fold, tree, node, sum(t) AS t, sum(t * t) AS sq FROM tot{level} GROUP BY fold, tree, node),
+has{level} AS (SELECT n.fold, n.tree, n.node, f, pattern, count(*) AS n FROM node{level} n JOIN feat USING (fold, id) GROUP BY ALL),
+sum{level} AS (SELECT h.fold, h.tree, h.node, f, sum(n) AS np, sum(n * n) AS sp, sum(n * t) AS cr
+  FROM has{level} h JOIN tot{level} USING (fold, tree, node, pattern) GROUP BY ALL),
+best{level} AS MATERIALIZED (SELECT fold, tree, node, f FROM (
+    SELECT s.fold, s.tree, s.node, f, round(sp::DOUBLE / np + (sq - 2 * cr + sp)::DOUBLE / (t - np), 6) AS score, round(sq::DOUBLE / t, 6) AS before
+    FROM sum{level} s JOIN all{level} USING (fold, tree, node) WHERE t > np) WHERE score > before
+  QUALIFY row_number() OVER (PARTITION BY fold, tree, node ORDER BY score DESC, f) = 1),
+node{level + 1} AS MATERIALIZED (SELECT n.fold, n.id, n.tree, 2 * n.node + (x.f IS NOT NULL)::INTEGER AS node, n.pattern
+  FROM node{level} n JOIN best{level} b USING (fold, tree, node) LEFT JOIN feat x ON x.fold = n.fold AND x.id = n.id AND x.f = b.f),
+asked{level + 1} AS (SELECT n.fold, n.id, n.tree, CASE WHEN b.f IS NULL THEN n.node ELSE 2 * n.node + (x.f IS NOT NULL)::INTEGER END AS node
+  FROM asked{level} n LEFT JOIN best{level} b USING (fold, tree, node) LEFT JOIN feat x ON x.fold = n.fold AND x.id = n.id AND x.f = b.f)""")
+    leaves = " UNION ALL ".join(f"SELECT * FROM tot{level}" for level in range(depth + 1))
+    parts.append(f"""leaf AS (SELECT fold, tree, node, arg_max(pattern, t * 1000 - pattern) AS pattern FROM ({leaves}) GROUP BY fold, tree, node),
+votes AS (SELECT fold, id, tag, sum(yes)::DOUBLE / count(*) AS vote FROM (
+    SELECT a.fold, a.id, unnest(labels) AS tag, unnest(list_transform(labels, lambda x, i: (pattern >> (i - 1)::INTEGER) & 1)) AS yes
+    FROM asked{depth} a JOIN leaf USING (fold, tree, node) JOIN ls USING (fold, tree)) GROUP BY fold, id, tag HAVING sum(yes) * 2 >= count(*))""")
+    return f"WITH {TRAIN}, " + ",\n".join(parts)
+
+
 ORACLE: dict[str, str] = {
     "cross_validate_ml_knn": f"""WITH {CROSS_ML_KNN}
         SELECT f::INTEGER AS fold, round(wrong / (n_rows * k)::DOUBLE, 6) AS hamming_loss, round(1 - coalesce(bad, 0) / n_rows::DOUBLE, 6) AS subset_accuracy,
@@ -459,5 +509,6 @@ SELECT query_id, rank, id, score, tags FROM nb""",
     "label_matrix": f"""WITH {TRAIN}, p AS (SELECT id, unnest({parsed('lower(tags)')}) AS label FROM train),
         v AS (SELECT label, (row_number() OVER (ORDER BY count(*) DESC, label) - 1)::INTEGER AS label_id FROM p GROUP BY label)
         SELECT id, label_id, label FROM p JOIN v USING (label) WHERE label_id < 10000""",
+    "labelset_trees": labelset_votes() + " SELECT id, tag, vote FROM votes",
     "ml_knn": f"WITH {ML_KNN} SELECT id, label AS tag, round(yes / (yes + no), 6) AS probability FROM prob WHERE yes / (yes + no) > 0.5",
 }

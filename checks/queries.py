@@ -678,6 +678,6 @@ def cross_validate_ml_knn(spark, sf_dir):
 @query
 def labelset_trees(spark, sf_dir):
     """Votes of decision trees over random label subsets for the held-out questions."""
-    rows = derive.train(spark, sf_dir)
+    rows = spread(derive.train(spark, sf_dir))
     model = learning.fit_labelset_trees(derive.kept(rows))
     return learning.predict_labelsets(model, derive.held_out(rows))

@@ -76,6 +76,8 @@ class Blocks:
 
     table: DataFrame
     supers: DataFrame
+    numbers: tuple[int, ...]  # of the blocks of blocks
+    n_shelves: int
     seed: int
     by_field: bool
 
@@ -88,7 +90,8 @@ def stage_blocks(index: Index | FieldIndex, staging: Staging, corpus: str | None
     weighted = bl.weighted_docs(index, score, index.seed, corpus)
     table = staging.write(bl.block_table(weighted, shelf, block_docs), "blocks")
     supers = staging.write(bl.super_table(table, table.count()), "supers")
-    return Blocks(table, supers, index.seed, isinstance(index, FieldIndex))
+    rows = supers.select("block", "shelf").collect()  # one per some millions of largest impacts
+    return Blocks(table, supers, tuple(sorted(r.block for r in rows)), len({r.shelf for r in rows}), index.seed, isinstance(index, FieldIndex))
 
 
 def search_bags(bags: DataFrame, blocks: Blocks, k: int, staging: Staging,
@@ -104,9 +107,8 @@ def search_bags(bags: DataFrame, blocks: Blocks, k: int, staging: Staging,
     keys = F.transform("terms", lambda t: bl.term_key(blocks.seed, *([t.field] if blocks.by_field else []), t.term))
     lists = staging.write(bags.select("bag_id", keys.alias("keys"), F.col("terms.weight").alias("weights")), "bag_lists")
     n_bags = lists.count()
-    # The bounds of a query come from all blocks of blocks: one per some millions of largest impacts.
-    supers = F.array(*[F.lit(r.block) for r in blocks.supers.select("block").orderBy("block").collect()]).cast("array<bigint>")
-    n_shelves = blocks.table.select("shelf").distinct().count()
+    # The bounds of a query come from all blocks of blocks.
+    supers = F.array(*map(F.lit, blocks.numbers)).cast("array<bigint>")
     zero = F.lit(0).cast("bigint")
 
     def bounds(asking: DataFrame, n: int) -> DataFrame:
@@ -130,7 +132,7 @@ def search_bags(bags: DataFrame, blocks: Blocks, k: int, staging: Staging,
     first = ranked(bounds(lists.select("bag_id", zero.alias("floor")), rounds[0])).filter(F.col("place") <= rounds[0])
     best = staging.write(nn.best_of(scored(first.withColumn("floor", zero)), k), "round-0")
     # A query has a floor for all its blocks once it has one on every shelf.
-    least = nn.floors(best, k).groupBy("bag_id").agg(F.count("*").alias("n"), F.min("floor").alias("floor")).filter(F.col("n") == n_shelves)
+    least = nn.floors(best, k).groupBy("bag_id").agg(F.count("*").alias("n"), F.min("floor").alias("floor")).filter(F.col("n") == blocks.n_shelves)
     asking = lists.select("bag_id").join(least.drop("n"), "bag_id", "left").select("bag_id", F.coalesce("floor", zero).alias("floor"))
     opened = ranked(bounds(asking, ALL)).filter(F.col("place") > rounds[0])
     left = staging.write(reaching(opened).drop("floor"), "open")

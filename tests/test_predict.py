@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,6 +203,51 @@ def test_labelset_trees(spark):
     assert found == {(i, t) for i in range(45, 60) for t in (("cat", "dog", "fox")[i % 3], "animal") if t in covered}
 
 
+def plain_tree(rows, patterns, depth):
+    """The rules of the trees on plain sets: predicts a pattern for a set of features."""
+    total = Counter(patterns)
+
+    def purity(counts):
+        n = sum(counts.values())
+        return sum(c * c for c in counts.values()) / n if n else 0.0
+
+    found = []
+    for f in sorted({f for row in rows for f in row}):
+        yes = Counter(p for row, p in zip(rows, patterns) if f in row)
+        score = round(purity(yes) + purity(total - yes), 6)
+        if sum(yes.values()) < len(rows) and score > round(purity(total), 6):
+            found.append((-score, f))
+    if depth == 0 or not found:
+        best = min(total, key=lambda p: (-total[p], p))
+        return lambda row: best
+    _, f = min(found)
+    sides = [plain_tree(*zip(*[(r, p) for r, p in zip(rows, patterns) if (f in r) == side]), depth - 1) for side in (False, True)]
+    return lambda row: sides[f in row](row)
+
+
+def test_trees_equal_plain_recursion(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(80):
+        words = rng.sample([f"w{j}" for j in range(12)], rng.randrange(1, 7))
+        tags = {t for t, own in (("a", "w1"), ("b", "w2"), ("c", "w3"), ("d", "w4")) if (own in words) != (rng.random() < 0.15)}
+        rows.append((i, words[0], " ".join(words), " ".join(sorted(tags))))
+    data = spark.createDataFrame(rows, "id long, title string, body string, tags string").repartition(3)
+    model = learning.fit_labelset_trees(data.filter("id < 60"), labelset_size=2, depth=3)
+    features = {i: {f"0_{t}"} | {f"1_{w}" for w in b.split()} for i, t, b, _ in rows}
+    truth = {i: set(t.split()) for i, _, _, t in rows}
+    votes = {}
+    for labels in model.labelsets:
+        patterns = [sum((label in truth[i]) << bit for bit, label in enumerate(labels)) for i in range(60)]
+        tree = plain_tree([features[i] for i in range(60)], patterns, 3)
+        for i in range(60, 80):
+            for bit, label in enumerate(labels):
+                votes.setdefault((i, label), []).append(tree(features[i]) >> bit & 1)
+    expected = {(i, t): sum(v) / len(v) for (i, t), v in votes.items() if 2 * sum(v) >= len(v)}
+    got = learning.predict_labelsets(model, data.filter("id >= 60")).collect()
+    assert {(r.id, r.tag): r.vote for r in got} == expected and len(expected) > 20
+
+
 def test_cross_validation_of_labelset_trees(spark):
     got = learning.cross_validate_labelset_trees(questions(spark), (F.col("id") % 2).cast("int"), 2,
                                                  n_models=6, labelset_size=4, vocab=50).collect()
@@ -211,10 +257,10 @@ def test_cross_validation_of_labelset_trees(spark):
 def test_subsets_differ_and_hold_every_label():
     labels = [f"t{i}" for i in range(26)]
     for seed in range(20):
-        found = learning.draw_labelsets(labels, 3, 52, random.Random(seed))
+        found = learning.draw_labelsets(labels, 3, 52, seed)
         assert len(found) == len(set(found)) == 52 and {x for s in found for x in s} == set(labels)
-    assert learning.draw_labelsets(["a", "b"], 2, 4, random.Random(1)) == [("a", "b")]
-    assert learning.draw_labelsets([], 0, 0, random.Random(1)) == []
+    assert learning.draw_labelsets(["a", "b"], 2, 4) == [("a", "b")]
+    assert learning.draw_labelsets([], 0, 0) == []
 
 
 def test_rows_without_tags_have_no_label(spark):
@@ -239,6 +285,7 @@ def test_labelset_trees_query_keeps_the_defaults(monkeypatch):
 
     asked = []
     monkeypatch.setattr(queries.derive, "train", lambda spark, sf_dir: "rows")
+    monkeypatch.setattr(queries, "spread", lambda rows: rows)
     monkeypatch.setattr(queries.derive, "kept", lambda rows: rows)
     monkeypatch.setattr(queries.derive, "held_out", lambda rows: rows)
     monkeypatch.setattr(queries.learning, "fit_labelset_trees", lambda rows, **settings: asked.append(settings))
