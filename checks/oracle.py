@@ -353,7 +353,7 @@ ORACLE: dict[str, str] = {
         feat AS (SELECT id, string_agg(' _' || replace(term, ':', '_COLON_') || ':' || n, '' ORDER BY term) AS f FROM wb GROUP BY id)
         SELECT CASE WHEN c.id % 10 = 0 THEN '1' ELSE '-1' END || ' ' || c.id || '^' || c.tag || '|' || c.tag || ' ' || coalesce(f, '') AS value
         FROM cand c LEFT JOIN feat ON feat.id = c.id""",
-    "stored_index_search": f"WITH {neighbors()} SELECT * FROM nb",
+    **{name: f"WITH {neighbors()} SELECT * FROM nb" for name in ("stored_index_search", "segmented_index_search")},
     "take_first": f"WITH {TRAIN} SELECT id, title, tags FROM train ORDER BY id LIMIT 100",
     "project_text": f"WITH {TRAIN} SELECT id, lower(title) || '!' AS text, tags FROM train",
     "concat_fields": f"WITH {TRAIN} SELECT id, {ALL_FIELDS} AS text FROM train",

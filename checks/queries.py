@@ -165,6 +165,17 @@ def stored_index_search(spark, sf_dir):
     return search.find_neighbors(queries, index_store.read_index(spark, path))
 
 
+@query
+def segmented_index_search(spark, sf_dir):
+    """Both corpora appended in parts, one of them twice, merged, and searched."""
+    path = Staging(spark).path + "/segments"
+    rows = derive.train(spark, sf_dir)
+    for part in (rows.filter("id % 3 = 0"), rows.filter("id % 3 <= 1"), rows.filter("id % 3 = 0"), derive.both(spark, sf_dir)):
+        index_store.append_segment(part, path, text_col="body")
+    index = index_store.read_segments(spark, path, index_store.merge_segments(spark, path) - 1)
+    return search.find_neighbors(derive.as_queries(derive.test(spark, sf_dir)), index)
+
+
 @query
 def take_first(spark, sf_dir):
     return prepare.take_first(derive.train(spark, sf_dir), 100).select("id", "title", "tags")

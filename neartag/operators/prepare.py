@@ -135,9 +135,11 @@ def nth_key(keys: DataFrame, n: int, few: int = 10_000) -> tuple[object, int]:
     The keys are dealt into ranges, and the range that holds the n-th is dealt again, until few
     keys or one value are left.  Only counts and ends of ranges come to the driver.
     """
-    before = 0
+    before, seen = 0, None
+    # A number, so that small ranges are not put together again.
+    parts = max(2, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     while True:
-        ends = (keys.repartitionByRange("k").groupBy(F.spark_partition_id().alias("part")).agg(
+        ends = (keys.repartitionByRange(parts, "k").groupBy(F.spark_partition_id().alias("part")).agg(
             F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"), F.count_if(F.col("k").isNull()).alias("nulls")))
         rows = sorted(ends.collect(), key=lambda r: r.part)
         if sum(r.nulls for r in rows) >= n - before:
@@ -155,6 +157,12 @@ def nth_key(keys: DataFrame, n: int, few: int = 10_000) -> tuple[object, int]:
             found = sorted(x.k for x in keys.select("k").collect())
             value = found[n - before - 1]
             return value, before + found.index(value)
+        if (r.low, r.high) == seen:  # the ranges drawn did not part the keys: part them at the smallest
+            least = keys.filter(F.col("k") == F.lit(r.low)).count()
+            if before + least >= n:
+                return r.low, before
+            before, keys = before + least, keys.filter(F.col("k") > F.lit(r.low))
+        seen = (r.low, r.high)
 
 
 def take_first(df: DataFrame, n: int, order_by: str = "id") -> DataFrame:
