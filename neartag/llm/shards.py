@@ -33,8 +33,8 @@ SCALE = (1 << 31) - 1
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and the columns of the tree: text hash and dimensions d0, d1, d2.
 
-    The dimensions are properties of the text: its length, its share of letters and its mean
-    word length, so that copies have equal ones.
+    The dimensions are properties of the text: the logarithm of its bytes, its bytes per character
+    and its share of white space, so that copies have equal ones.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     bytes_ = F.octet_length(text).cast("bigint")
