@@ -28,7 +28,7 @@ from neartag.operators.index import FieldIndex, Index
 
 BLOCK_DOCS = 512
 BLOCK_POSTINGS = 1 << 20  # a block of long documents closes earlier
-SUPER_POSTINGS = 1 << 22  # largest impacts in a block of blocks
+SUPER_POSTINGS = 1 << 20  # largest impacts in a block of blocks
 PART_BAGS = 8192  # queries that one task scores against one block
 CELLS = 1 << 22  # query-document cells, and postings, that are held at once
 

@@ -86,6 +86,8 @@ def stage_blocks(index: Index | FieldIndex, staging: Staging, corpus: str | None
                  score: ScoreParams = ScoreParams(), shelf: Column | None = None,
                  block_docs: int = bl.BLOCK_DOCS) -> Blocks:
     """Write the blocks of a corpus (None: of all) and the blocks of blocks."""
+    # Documents and blocks are wide rows; Python gets them in batches of some megabytes.
+    staging.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     index = with_seed(index)
     weighted = bl.weighted_docs(index, score, index.seed, corpus)
     table = staging.write(bl.block_table(weighted, shelf, block_docs), "blocks")
