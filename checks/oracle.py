@@ -340,6 +340,7 @@ ORACLE: dict[str, str] = {
     "url_email_porter_totals": f"""WITH {TRAIN}, words AS (SELECT unnest({analysed('body', URL_EMAIL_WORD)}) AS word FROM train), {stems('words')}
         SELECT count(*) AS ttf, w AS term FROM words JOIN stemmed USING (word) GROUP BY w""",
     "questions_csv_round_trip": f"WITH {TRAIN} SELECT id, title, body, tags FROM train",
+    "questions_csv_blocks": f"WITH {TRAIN} SELECT id, title, body, tags FROM train",
     "test_csv_round_trip": f"WITH {TEST} SELECT id, title, body, tags FROM test",
     "questions_table_round_trip": f"WITH {TRAIN} SELECT id, title, body, code, links, tags FROM train",
     "neighbor_lines_round_trip": f"WITH {neighbors()} SELECT query_id, rank, id, tags FROM nb",

@@ -97,6 +97,15 @@ def questions_csv_round_trip(spark, sf_dir):
     return files.read_questions_csv(spark, path)
 
 
+@query
+def questions_csv_blocks(spark, sf_dir):
+    staging = Staging(spark)
+    path = staging.path + "/questions_csv"
+    rows = derive.train(spark, sf_dir).select("id", "title", "body", "tags")
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return files.read_questions_csv(spark, path, staging)
+
+
 @query
 def test_csv_round_trip(spark, sf_dir):
     path = Staging(spark).path + "/test_csv"

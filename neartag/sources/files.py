@@ -7,23 +7,31 @@ from pyspark.sql import functions as F
 
 from neartag import schema
 from neartag.operators.predict import format_examples
+from neartag.plans.staging import Staging
+from neartag.sources import csv_blocks
 
 
-def _csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
+def _csv(spark: SparkSession, path: str, columns: str, staging: Staging | None) -> DataFrame:
+    if staging is not None:
+        return csv_blocks.read_csv(spark, path, columns, staging)
     # Bodies hold commas, doubled quotes and newlines.  Gzip is recognised by the name.
     return (spark.read.schema(columns).option("header", True).option("multiLine", True)
             .option("quote", '"').option("escape", '"').option("enforceSchema", True)
             .option("mode", "PERMISSIVE").csv(path))
 
 
-def read_questions_csv(spark: SparkSession, path: str) -> DataFrame:
-    """id, title, body, tags from CSV with a header; rows without tags get an empty string."""
-    return _csv(spark, path, schema.QUESTIONS_CSV).withColumn("tags", F.coalesce("tags", F.lit("")))
+def read_questions_csv(spark: SparkSession, path: str, staging: Staging | None = None) -> DataFrame:
+    """id, title, body, tags from CSV with a header; rows without tags get an empty string.
 
+    Given a staging folder, large files are read in blocks (see ``csv_blocks``); otherwise each
+    file is read by one task.
+    """
+    return _csv(spark, path, schema.QUESTIONS_CSV, staging).withColumn("tags", F.coalesce("tags", F.lit("")))
 
-def read_test_csv(spark: SparkSession, path: str) -> DataFrame:
-    """id, title, body and empty tags from a three-column CSV with a header."""
-    return _csv(spark, path, schema.TEST_CSV).withColumn("tags", F.lit(""))
+
+def read_test_csv(spark: SparkSession, path: str, staging: Staging | None = None) -> DataFrame:
+    """id, title, body and empty tags from a three-column CSV with a header; see ``read_questions_csv``."""
+    return _csv(spark, path, schema.TEST_CSV, staging).withColumn("tags", F.lit(""))
 
 
 def write_questions(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
