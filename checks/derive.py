@@ -52,6 +52,18 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").alias("id"), F.col("html").alias("body"))
 
 
+def code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages: the text, nested code, code in a link and a link in code."""
+    rows = train(spark, sf_dir)
+    text, tags, title = (
+        F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        for c in ("body", "tags", "title"))
+    number = F.col("id").cast("string")
+    return rows.select("id", F.concat(
+        F.lit("<html><body><p>"), text, F.lit("</p><pre><code>"), tags, F.lit(" <code>"), number, F.lit('</code></code></pre><p>see <a href="/q">'),
+        title, F.lit("<code>"), tags, F.lit('</code> here</a> and <code>in <a href="/c">code</a></code></p></body></html>')).alias("body"))
+
+
 def as_queries(questions: DataFrame, text: str = "body") -> DataFrame:
     return questions.select(F.col("id").alias("query_id"), F.expr(text).alias("text"))
 

@@ -359,6 +359,10 @@ ORACLE: dict[str, str] = {
     "project_text": f"WITH {TRAIN} SELECT id, lower(title) || '!' AS text, tags FROM train",
     "concat_fields": f"WITH {TRAIN} SELECT id, {ALL_FIELDS} AS text FROM train",
     "slice_rows": f"WITH {TRAIN} SELECT id, (row_number() OVER (ORDER BY id) - 1) // 300 AS slice_id FROM train",
+    "clean_code_pages": f"""WITH {TRAIN}, known AS (
+          SELECT id, coalesce(body, '') AS b, coalesce(tags, '') AS g, coalesce(title, '') AS t FROM train)
+        SELECT id, b || 'see ' || t || ' here and ' AS body, t || ' here' AS links,
+          g || ' ' || id || chr(10) || id || chr(10) || g || chr(10) || 'in code' AS code FROM known""",
     "clean_html": f"SELECT page_id AS id, replace({decoded(PAGE_TEXT)}, chr(1), '</p>') AS body, "
                   f"'' AS code, {decoded(LINKS)} AS links FROM pages",
     "link_text": f"SELECT page_id AS id, {LINKS} AS links FROM pages",

@@ -206,6 +206,11 @@ def slice_rows(spark, sf_dir):
     return sliced.select("id", "slice_id")
 
 
+@query
+def clean_code_pages(spark, sf_dir):
+    return prepare.clean_html(derive.code_pages(spark, sf_dir))
+
+
 @query
 def clean_html(spark, sf_dir):
     return prepare.clean_html(derive.pages(spark, sf_dir))
