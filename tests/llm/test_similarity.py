@@ -57,10 +57,32 @@ def test_blocks_are_skipped(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     topk.top_k(frame, F.col("vec_id") % 100 == 0, 5, staging=staging, block=32, group=64).count()
     read = lambda name: spark.read.parquet(f"{staging.path}/{name}")
-    bounds = read("bounds").select("group", "query", F.explode("bounds").alias("bound"))
-    floors = topk.ranked(read("first"), 5).filter("rank = 5").select("group", "query", F.col("score").alias("floor"))
-    wanted = bounds.join(floors, ["group", "query"]).filter("bound >= floor").count()
-    assert wanted < 0.4 * bounds.count()
+    floors = {(r.group, r.query): r.floor for r in topk.ranked(read("first"), 5).filter("rank = 5").select("group", "query", F.col("score").alias("floor")).collect()}
+    blocks = read("blocks").collect()
+    high, low = (np.array([r[c] for r in blocks]) for c in ("high", "low"))
+    known = [(r.group, r["values"]) for r in read("groups").collect()]
+    bounds = {(g, q): np.maximum(v, 0) @ high.T + np.minimum(v, 0) @ low.T for g, values in known for q, v in enumerate(np.array(values))}
+    assert set(floors) == set(bounds)
+    wanted = sum(int((bound >= floors[key]).sum()) for key, bound in bounds.items())
+    assert wanted < 0.4 * len(bounds) * len(blocks)
+
+
+def test_blocks_stop_below_a_rising_floor(spark):
+    """One superblock of two blocks: the second is not looked at, as the first gives a higher floor."""
+    schema = f"group long, super long, wanted {topk.WANTED}"
+    pairs = [(0, 0, [(0, 0, 900, topk.LOWEST), (0, 1, 50, topk.LOWEST)])]
+    groups = spark.createDataFrame([(0, [7], [[10]])], "group long, ids array<long>, values array<array<long>>")
+
+    def found(second):
+        forward = [np.array([[90], [80]], "<i8").tobytes(), np.array([[second]], "<i8").tobytes()]
+        supers = spark.createDataFrame([(0, [(0, [1, 2], bytearray(forward[0])), (1, [3], bytearray(forward[1]))])],
+                                       "super long, members array<struct<block: long, ids: array<long>, forward: binary>>")
+        got = topk.score_pairs(spark.createDataFrame(pairs, schema), supers, groups, 1, 2).collect()
+        return sorted((r.query_id, r.vec_id, r.score) for r in got)
+
+    assert found(5) == [(7, 1, 900), (7, 2, 800)]
+    # A value that contradicts its bound shows that the block was left out.
+    assert found(1000) == [(7, 1, 900), (7, 2, 800)]
 
 
 # --- SimHash -----------------------------------------------------------------------------
