@@ -13,6 +13,11 @@ Spark source or sink can hold them.  Digests are ``sha1:`` and base 32.
 A null html is an empty payload and a null url leaves the target out; both still give all
 records.  Repeated rows give equal records with equal ids.  A response without a record id
 gets one from its bytes.  Bytes that are no response record give ``error`` and no records.
+
+Transfer encodings (chunked, gzip, deflate) and content encodings (gzip, deflate) are undone
+before the text is taken; digests and lengths of the payload are those of the stored bytes.
+Unknown or broken encodings give ``error``.  The charset is that of the byte order mark, the HTTP
+header or the page's meta element, else UTF-8.
 Empty tables give empty results; other columns are left alone.
 """
 
@@ -24,6 +29,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urljoin
@@ -45,6 +51,8 @@ MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-z][^\s/>]*+)[^>]*+>|<[!?][^>]*+>", re.S | re.I)
 TITLE, TITLE_END = re.compile(r"<title\b[^>]*+>", re.I), re.compile(r"</title", re.I)
 HREF = re.compile(r"\shref\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++))", re.I)
+META_CHARSET = re.compile(rb"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([\w.:-]+)", re.I)
+CHUNK_SIZE = re.compile(rb"[ \t]*([0-9A-Fa-f]+)[ \t]*(?:;[^\r\n]*)?\r?\n")
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -144,6 +152,78 @@ def parse(data: bytes) -> Record:
     return record
 
 
+def unchunked(data: bytes) -> bytes:
+    """The body of a chunked message; trailers are left out."""
+    parts, at = [], 0
+    while True:
+        size = CHUNK_SIZE.match(data, at)
+        if not size:
+            raise ValueError("broken chunk")
+        at = size.end()
+        length = int(size[1], 16)
+        if not length:
+            return b"".join(parts)
+        if at + length > len(data):
+            raise ValueError("broken chunk")
+        parts.append(data[at:at + length])
+        at += length
+        at += 2 if data[at:at + 2] == b"\r\n" else data[at:at + 1] == b"\n"
+
+
+def inflated(data: bytes, kind: str) -> bytes:
+    """gzip (of one or more members) or deflate (with or without the zlib header) undone."""
+    if kind == "deflate":
+        try:
+            return whole(zlib.decompressobj(), data)
+        except ValueError:
+            return whole(zlib.decompressobj(-zlib.MAX_WBITS), data)
+    parts, rest = [], data
+    while rest.startswith(b"\x1f\x8b") or not parts:
+        member = zlib.decompressobj(16 + zlib.MAX_WBITS)
+        parts.append(whole(member, rest))
+        rest = member.unused_data
+    return b"".join(parts)
+
+
+def whole(stream, data: bytes) -> bytes:
+    try:
+        out = stream.decompress(data) + stream.flush()
+    except zlib.error as error:
+        raise ValueError("broken compression") from error
+    if not stream.eof:
+        raise ValueError("broken compression")
+    return out
+
+
+def decoded(payload: bytes, http: list[tuple[str, str]]) -> bytes:
+    """The payload without its transfer and content encodings, the last applied undone first."""
+    for header in ("transfer-encoding", "content-encoding"):
+        kinds = [kind.strip().lower() for k, v in http if k.lower() == header for kind in v.split(",")]
+        for kind in reversed(kinds):
+            if kind == "chunked":
+                payload = unchunked(payload)
+            elif kind in ("gzip", "x-gzip", "deflate"):
+                payload = inflated(payload, kind) if payload else payload
+            elif kind not in ("identity", ""):
+                raise ValueError(f"unknown encoding {kind}")
+    return payload
+
+
+def page_of(payload: bytes, named: str | None) -> str:
+    """Characters of a page: by its byte order mark, the charset of the HTTP header, or its own meta element."""
+    for mark, charset in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if payload.startswith(mark):
+            return payload[len(mark):].decode(charset, "replace")
+    if named is None and (found := META_CHARSET.search(payload[:1024])):
+        named = found[1].decode()
+        if named.lower().startswith("utf-16"):
+            named = "utf-8"  # the element could not have been read otherwise
+    try:
+        return payload.decode(named or "utf-8", "replace")
+    except (LookupError, UnicodeError):
+        return payload.decode("utf-8", "replace")
+
+
 def response_of(page_id: int | None, url: str | None, page: str | None, date: str = DATE) -> bytes:
     """The response record of a fetched page."""
     payload = (page or "").encode("utf-8", "surrogatepass")
@@ -183,10 +263,7 @@ def derive(data: bytes) -> Derived:
     status, *lines = head.split(b"\r\n")
     http = headers_of(lines)
     named = CHARSET.search(head)
-    try:
-        page = payload.decode(named[1].decode() if named else "utf-8", "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
+    page = page_of(decoded(payload, http), named[1].decode() if named else None)
     response_id = source.get("WARC-Record-ID") or urn(hashlib.sha1(data).hexdigest())
     target = source.get("WARC-Target-URI")
     kept = [(k, v) for k in ("WARC-Target-URI", "WARC-Date") if (v := source.get(k)) is not None]
