@@ -143,7 +143,7 @@ def read_records(spark: SparkSession, path: str, staging: Staging) -> DataFrame:
     cuts_differ = F.raise_error(F.lit("the files were cut otherwise in the second pass: set spark.sql.files.minPartitionNum"))
     marked = marked.select(*KEYS, F.when(F.col("known"), F.col("inside")).otherwise(cuts_differ.cast("boolean")).alias("inside"),
                            "origin", "value")
-    cut = staging.write(cut_records(marked), "records")
+    cut = staging.write(cut_records(marked), "records", compression="zstd")
     # Two pieces per block at most; a group is one record.
     pieces = (cut.filter(F.col("origin").isNotNull()).groupBy("file", "origin")
               .agg(F.max("header").alias("header"), F.sort_array(F.collect_list(F.struct("start", "record"))).alias("pieces"))
