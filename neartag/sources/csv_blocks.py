@@ -31,14 +31,15 @@ from pyspark.sql import functions as F
 
 from neartag.plans.staging import Staging
 
-KEYS = ["file", "start"]
+KEYS = ["file", "start", "length"]  # a block; the length tells cuts of another size apart
 BROADCAST_BLOCKS = 500_000  # rows of about 200 bytes; 64 TB in blocks of 128 MB
 
 
 def block_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, start of the block, value: all lines, in order within a block."""
+    """file, start and length of the block, value: all lines, in order within a block."""
     return (spark.read.option("lineSep", "\n").text(path)
-            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"))
+            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                    F.col("_metadata.file_block_length").alias("length"), "value"))
 
 
 def parts_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
@@ -64,18 +65,19 @@ def odd_after(part: pa.RecordBatch, odd: int) -> np.ndarray:
 
 
 def block_starts(lines: DataFrame) -> DataFrame:
-    """file, start, inside (the block begins inside quotes), origin (start of the block in which
+    """file, start, length, inside (the block begins inside quotes), origin (start of the block in which
     the record that is open there begins)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (file, start), parts in blocks_by_key(batches):
-            odd, turns = 0, False
+            odd, turns, length = 0, False, None
             for part in parts:
+                length = part["length"][0].as_py()
                 after = odd_after(part, odd)
                 odd, turns = int(after[-1]), turns or bool(after.any())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([file]), pa.array([start]), pa.array([odd], pa.int32()), pa.array([turns])], [*KEYS, "odd", "turns"])
+                [pa.array([file]), pa.array([start]), pa.array([length]), pa.array([odd], pa.int32()), pa.array([turns])], [*KEYS, "odd", "turns"])
 
-    counts = lines.mapInArrow(count, "file string, start long, odd int, turns boolean")
+    counts = lines.mapInArrow(count, "file string, start long, length long, odd int, turns boolean")
     # One narrow row per block.
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     inside = counts.withColumn("inside", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1)
@@ -91,7 +93,7 @@ def cut_records(marked: DataFrame) -> DataFrame:
 
     The first record of a file is its header: it is left out if whole, and marked if not.
     """
-    names = [*KEYS, "origin", "header", "record"]
+    names = ["file", "start", "origin", "header", "record"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
