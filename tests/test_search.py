@@ -3,9 +3,11 @@
 import math
 import random
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neartag.functions.scoring import ScoreParams
@@ -354,3 +356,36 @@ def test_empty_index(spark):
     asked = spark.createDataFrame([(1, "a1")], "query_id long, text string")
     assert search.knn_join(asked, index).count() == 0
     assert search.find_neighbors(asked, index).count() == 0
+
+
+def test_pairs_of_queries_and_blocks_stay_in_their_task(spark, corpus, monkeypatch):
+    """What is dealt out are queries per group and blocks per part, however many blocks a group has."""
+    docs, queries = corpus
+    table, asked = frames(spark, docs, queries)
+    staging, dealt, plain = Staging(spark), [], DataFrame.repartition
+    index = search.stage_index(table, staging)
+    blocks = search.stage_blocks(index, staging, block_docs=1)
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, *a: dealt.append(self.count()) or plain(self, *a))
+    found = search.find_neighbors(asked, index, 5, blocks=blocks, staging=staging)
+    assert sum(dealt) < 6 * (len(docs) + len(queries)) < len(docs) * len(queries) / 2
+    assert collected(found) == without_empty(brute_force(docs, queries, 5))
+
+
+@pytest.mark.parametrize("limits", [{"group_postings": 40}, {"group_keys": 25}, {"group_postings": 1}])
+def test_many_groups_equal_brute_force(spark, corpus, monkeypatch, limits):
+    docs, queries = corpus
+    table, asked = frames(spark, docs, queries)
+    staging = Staging(spark)
+    index = search.stage_index(table, staging)
+    monkeypatch.setattr(bl, "block_table", partial(bl.block_table, **limits))
+    monkeypatch.setattr(search, "PART_BAGS", 4)
+    blocks = search.stage_blocks(index, staging, block_docs=3)
+    assert len(blocks.groups) > 10
+    found = search.find_neighbors(asked, index, 5, blocks=blocks, staging=staging)
+    assert collected(found) == without_empty(brute_force(docs, queries, 5))
+
+
+def test_packed_numbers():
+    for top in (0, 255, 256, 65_535, 65_536, 1 << 31):
+        assert bl.long(bl.short(np.array([0, top])), 2).tolist() == [0, top]
+    assert len(bl.long(bl.short(np.zeros(0, np.int64)), 0)) == 0
