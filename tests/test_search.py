@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 from functools import partial
 
@@ -389,3 +390,15 @@ def test_packed_numbers():
     for top in (0, 255, 256, 65_535, 65_536, 1 << 31):
         assert bl.long(bl.short(np.array([0, top])), 2).tolist() == [0, top]
     assert len(bl.long(bl.short(np.zeros(0, np.int64)), 0)) == 0
+
+
+def test_dense_requests_take_little_memory():
+    """Every one of many queries hits every document of the block."""
+    n, asked = 512, 10_000
+    block = bl.unpack_block(bl.pack_block(list(range(n)), [np.arange(3)] * n, [np.ones(3)] * n))
+    tracemalloc.start()
+    query, _, score, _ = bl.score_requests(block, np.zeros(asked, np.int64), np.tile(np.arange(3), asked), np.ones(3 * asked), np.full(asked, 3), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(query) == 5 * asked and set(score) == {3_000_000}
+    assert peak < 80 << 20
