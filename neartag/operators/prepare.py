@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from neartag.functions.html import split_page
-from neartag.plans.staging import Staging
+from neartag.plans.staging import Staging, small_batches
+
+PAGES = 256  # pages that a worker takes at once
 
 # Comments, and the text of scripts and styles, hold no tags of their own.
 NOT_MARKUP = (r"(?is)<!--.*?(?:-->|\z)"
@@ -62,18 +64,28 @@ def clean_html(df: DataFrame, html_col: str = "body") -> DataFrame:
     The page column is replaced; all other columns are kept.  Pages stream through the
     workers in Arrow batches, each page whole.
     """
+    small_batches(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name not in {html_col, "body", "code", "links"}]
-    parts = ["body", "code", "links"]
-    schema = T.StructType(keep + [T.StructField(p, T.StringType()) for p in parts])
+    schema = T.StructType(keep + [T.StructField(p, T.StringType()) for p in PAGE_PARTS])
     names = [f.name for f in keep]
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = pd.DataFrame([split_page(page) for page in batch[html_col]],
-                               columns=parts, index=batch.index)
-            yield pd.concat([batch[names], out], axis=1)
+            yield from split_pages(batch, names, html_col)
+
+    return df.select(*names, html_col).mapInArrow(split, schema)
+
+
+PAGE_PARTS = ["body", "code", "links"]
+
 
-    return df.select(*names, html_col).mapInPandas(split, schema)
+def split_pages(batch: pa.RecordBatch, names: list[str], html_col: str, size: int = PAGES) -> Iterator[pa.RecordBatch]:
+    """The columns of a batch and the parts of its pages, few pages at a time."""
+    for start in range(0, batch.num_rows, size):
+        piece = batch.slice(start, size)
+        found = list(zip(*map(split_page, piece[html_col].to_pylist())))
+        yield pa.RecordBatch.from_arrays(
+            [*(piece[n] for n in names), *(pa.array(part, pa.string()) for part in found)], [*names, *PAGE_PARTS])
 
 
 def link_text(html: Column) -> Column:

@@ -16,7 +16,7 @@ from neartag.operators.index import (
     FieldIndex, Index, build_corpus_stats, build_docs, build_field_docs, build_term_stats, field_index, pin_totals, postings_of)
 from neartag.operators.terms import (
     ANY_TERM, TermParams, indexed_tf, query_terms, select_terms, source_tf)
-from neartag.plans.staging import Staging
+from neartag.plans.staging import Staging, small_batches
 
 # Blocks of a group that a query has been scored against when its floor rises, most promising first.
 ROUNDS = (1, 4, 32)
@@ -83,8 +83,7 @@ def stage_blocks(index: Index | FieldIndex, staging: Staging, corpus: str | None
                  score: ScoreParams = ScoreParams(), shelf: Column | None = None,
                  block_docs: int = bl.BLOCK_DOCS) -> Blocks:
     """Write the blocks of a corpus (None: of all)."""
-    # Documents and blocks are wide rows; Python gets them in batches of some megabytes.
-    staging.spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    small_batches(staging.spark)
     index = with_seed(index)
     # A group is made by one task, so there are no more tasks than full groups or cores.
     counts = index.field_stats if isinstance(index, FieldIndex) else index.term_stats

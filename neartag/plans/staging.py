@@ -20,6 +20,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python gets wide rows in batches of some megabytes; the number of rows alone does not bound them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 class Staging:
     """Writes tables under one fresh folder and reads them back.
 

@@ -1,3 +1,6 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +164,21 @@ def test_stop_words_from_a_file(spark, tmp_path):
     words = spark.read.text(str(tmp_path / "stop.txt")).withColumnRenamed("value", "term")
     df = spark.createDataFrame([(1, "apple pear")], "id long, text string")
     assert [r.term for r in tokens.remove_stop_words(tokens.tokenize(df), words).collect()] == ["pear"]
+
+
+def test_pages_are_split_few_at_a_time():
+    """A batch of wide pages is not held as Python strings and parts at once; other columns pass unchanged."""
+    page = "<p>" + "words " * 500 + "</p><code>x</code>"
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *range(1, 3000)]), pa.array([None] + [page] * 2999)], ["id", "body"])
+    made, sizes, peak = [], [], 0
+    tracemalloc.start()
+    for piece in prepare.split_pages(batch, ["id"], "body"):
+        sizes.append(piece.num_rows)
+        made.append(piece["id"])
+        if piece.num_rows > 1:
+            assert (piece["body"][1].as_py(), piece["code"][1].as_py()) == ("words " * 500, "x")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(sizes) == prepare.PAGES and sum(sizes) == 3000
+    assert pa.concat_arrays(made).to_pylist() == [None, *range(1, 3000)]
+    assert peak < 4 << 20
