@@ -22,7 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from neartag.plans.staging import small_batches
+
 LEAF = -1
+TEXTS = 256  # texts a task takes apart at once
 ROWS = 2048  # rows a task takes at once
 HELD = 1 << 24  # counts that a task holds
 PARTS = 64  # sums of counts that one task adds up at most, per tree and node
@@ -46,17 +49,25 @@ class Forest:
 
 def encode_rows(df: DataFrame, words: Sequence[str], labels: Column, tokens: Column) -> DataFrame:
     """id, labels (array), features (ascending numbers of the words a row has); a narrow job."""
+    small_batches(df.sparkSession)
     number = {word: i for i, word in enumerate(words)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted({number[w] for w in own or () if w in number}) for own in batch["words"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["labels"], pa.array(found, pa.list_(pa.int32()))], ["id", "labels", "features"])
+            yield from encode_batch(batch, number)
 
     rows = df.select(F.col("id").cast("bigint").alias("id"), labels.alias("labels"), tokens.alias("words"))
     return rows.mapInArrow(run, "id long, labels array<string>, features array<int>")
 
 
+def encode_batch(batch: pa.RecordBatch, number: dict[str, int], size: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch with the numbers of their words, few texts at a time."""
+    for start in range(0, batch.num_rows, size):
+        piece = batch.slice(start, size)
+        found = [sorted({number[w] for w in own or () if w in number}) for own in piece["words"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([piece["id"], piece["labels"], pa.array(found, pa.list_(pa.int32()))], ["id", "labels", "features"])
+
+
 class Rows:
     """A batch of encoded rows."""
 
@@ -204,6 +215,7 @@ def grow(rows: DataFrame, forest: Forest) -> Forest:
 
     The driver gets a row per node: at most 2 ** level of each tree.
     """
+    small_batches(rows.sparkSession)  # rows of counts are wide
     size = patterns_of(forest)
     for level in range(forest.depth + 1):
         width = (len(forest.words) + 1) * size if level < forest.depth else size

@@ -1,11 +1,13 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from neartag.operators import evaluate, learn, predict
+from neartag.operators import evaluate, learn, predict, trees
 from neartag.operators import neighbors as nn
 from neartag.plans import learning, search
 from neartag.plans.staging import Staging
@@ -292,3 +294,18 @@ def test_labelset_trees_query_keeps_the_defaults(monkeypatch):
     monkeypatch.setattr(queries.learning, "predict_labelsets", lambda model, rows: rows)
     queries.QUERIES["labelset_trees"](None, "")
     assert not {"n_models", "vocab", "labelset_size", "depth"} & set(asked[0])
+
+
+def test_words_are_numbered_few_texts_at_a_time(spark):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([["a"], None] * 1500), pa.array(
+        [[f"w{(i + j) % 50}" for j in range(100)] if i % 3 else None for i in range(3000)])], ["id", "labels", "words"])
+    tracemalloc.start()
+    found = [x for piece in trees.encode_batch(batch, {f"w{i}": i for i in range(0, 50, 2)}) for x in piece["features"].to_pylist()[:1]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [[] if start % 3 == 0 else list(range(0, 50, 2)) for start in range(0, 3000, trees.TEXTS)]
+    assert peak < 4 << 20
+    # Rows of counts reach Python by bytes, not by thousands of rows.
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    trees.encode_rows(spark.createDataFrame([(1, ["a"], ["w"])], "id long, l array<string>, w array<string>"), ["w"], F.col("l"), F.col("w"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
