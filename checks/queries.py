@@ -37,13 +37,19 @@ def r6(column: str | Column) -> Column:
     return F.round(column, 6)
 
 
-def cores(spark: SparkSession) -> int:
-    """Ranges that texts are dealt into before they are analysed: the given files hold one row group each."""
-    return spark.sparkContext.defaultParallelism
+RANGE_ROWS = 10_000
+
+
+def ranges(rows: DataFrame) -> int:
+    """Ranges that texts are dealt into before they are analysed: the given files hold one row group each.
+
+    At least one per core; more for many rows, so that what a task holds does not grow with the table.
+    """
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
 
 
 def spread(rows: DataFrame, key: str = "id") -> DataFrame:
-    return rows.repartitionByRange(cores(rows.sparkSession), key)
+    return rows.repartitionByRange(ranges(rows), key)
 
 
 def body_index(questions: DataFrame) -> ix.Index:
@@ -51,7 +57,7 @@ def body_index(questions: DataFrame) -> ix.Index:
 
 
 def staged(questions: DataFrame, staging: Staging, text_col: str = "body") -> ix.Index:
-    return search.stage_index(questions, staging, text_col=text_col, ranges=cores(questions.sparkSession))
+    return search.stage_index(questions, staging, text_col=text_col, ranges=ranges(questions))
 
 
 def search_setup(spark: SparkSession, sf_dir: str,
@@ -534,7 +540,8 @@ def knn_all_corpora(spark, sf_dir):
 @query
 def knn_multi_field(spark, sf_dir):
     """Each term is searched in the field, title or body, that most questions have it in."""
-    index = search.stage_field_index(derive.both(spark, sf_dir), ["title", "body"], Staging(spark), ranges=cores(spark))
+    questions = derive.both(spark, sf_dir)
+    index = search.stage_field_index(questions, ["title", "body"], Staging(spark), ranges=ranges(questions))
     return search.find_neighbors(derive.as_queries(derive.test(spark, sf_dir)), index)
 
 
