@@ -103,18 +103,21 @@ def read_segments(spark: SparkSession, path: str, version: int | None = None) ->
     return pin_totals(Index(table("docs", DOCS), term_stats, totals.withColumn("avgdl", average)))
 
 
-def write_segment(docs: DataFrame, path: str) -> str | None:
-    """Write docs and their statistics as a new segment; its name, or None if there are none."""
+def write_segment(docs: DataFrame, path: str, term_stats: DataFrame | None = None) -> str | None:
+    """Write docs and their statistics as a new segment; its name, or None if there are none.
+
+    ``term_stats`` of just these docs are counted, unless they are known.
+    """
     spark, name = docs.sparkSession, uuid.uuid4().hex
     folder = f"{path}/segments/{name}"
-    docs.write.parquet(f"{folder}/docs")
+    docs.write.option("compression", "zstd").parquet(f"{folder}/docs")
     written = spark.read.schema(DOCS).parquet(f"{folder}/docs")
     if written.isEmpty():
         fs, make = _files(spark, path)
         fs.delete(make(folder), True)
         return None
-    (build_term_stats(postings_of(written)).repartitionByRange("term").sortWithinPartitions("term")
-     .write.parquet(f"{folder}/term_stats"))
+    stats = build_term_stats(postings_of(written)) if term_stats is None else term_stats
+    stats.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/term_stats")
     build_corpus_stats(written).write.parquet(f"{folder}/corpus_stats")
     return name
 
@@ -142,12 +145,13 @@ def append_segment(df: DataFrame, path: str, analyzer: str | Analyzer = "standar
 def merge_segments(spark: SparkSession, path: str) -> int:
     """Put all segments of the last version into one; the version that has it.
 
-    Texts are not needed: docs are copied and their statistics counted.  Files of older versions
-    stay for their readers.
+    Texts are not needed: docs are copied, and the counts of the segments added.  Files of older
+    versions stay for their readers.
     """
     version = latest_version(spark, path)
     if len(segments_of(spark, path, version)) < 2:
         return version
-    name = write_segment(read_segments(spark, path, version).docs, path)
+    index = read_segments(spark, path, version)
+    name = write_segment(index.docs, path, index.term_stats)
     publish(spark, path, version + 1, [name])
     return version + 1

@@ -1,9 +1,12 @@
 """What a job shuffles and writes: texts once, blocks and segments compressed."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from neartag.operators import blocks as bl
+from neartag.sources import index_store as store
 
 
 @pytest.mark.parametrize("n_docs", [1, 3, 600])
@@ -30,3 +33,19 @@ def test_blocks_are_small_and_keep_every_posting(n_docs):
 def test_a_block_without_postings():
     block = bl.unpack_block(bl.pack_block([7, 8], [np.zeros(0, np.int64)] * 2, [np.zeros(0)] * 2))
     assert block.ids.tolist() == [7, 8] and not len(block.keys) and not len(block.docs) and not len(block.maxima)
+
+
+def test_merging_adds_the_counts_of_segments(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    rows = [("train", i, f"word{i % 3} common", "t") for i in range(9)]
+    for part in (rows[:4], rows[4:]):
+        store.append_segment(spark.createDataFrame(part, "corpus string, id long, text string, tags string"), path)
+    counted = sorted(map(tuple, store.read_segments(spark, path).term_stats.collect()))
+
+    def recount(_):
+        raise AssertionError("the documents were counted again")
+    monkeypatch.setattr(store, "build_term_stats", recount)
+    store.merge_segments(spark, path)
+    assert sorted(map(tuple, store.read_segments(spark, path).term_stats.collect())) == counted
+    docs = [p.name for p in Path(path).glob("segments/*/docs/*.parquet")]
+    assert docs and all(name.endswith(".zstd.parquet") for name in docs)
