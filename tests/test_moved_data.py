@@ -5,10 +5,38 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+from checks import derive
 from neartag.operators import blocks as bl
 from neartag.sources import index_store as store
 
 
+@pytest.fixture
+def tables(spark, tmp_path):
+    docs = [(i, f"title {i}\nword{i % 7} common", "de", "web", 20) for i in range(60)] + [(None, "lost", "en", "web", 4), (3, "again", None, "web", 5)]
+    made = {"documents": (docs, "doc_id long, text string, lang string, source string, n_chars long"),
+            "labels": ([(i, i % 2, None) for i in range(0, 60, 3)] + [(None, 1, 1)], "doc_id long, quality int, toxic int"),
+            "benchmark": ([(1, "word1 common"), (2, None)], "item_id long, text string")}
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_dealt_texts_are_shuffled_once(spark, tables):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        dealt = derive.both(spark, tables, dealt=True)
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+        # One for documents, one for their labels, one for the benchmark.
+        assert len(exchanges) == 3 and all("hashpartitioning" in line for line in exchanges), plan
+        plain = derive.both(spark, tables)
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+        assert dealt.count() == 64
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 @pytest.mark.parametrize("n_docs", [1, 3, 600])
 def test_blocks_are_small_and_keep_every_posting(n_docs):
     rng = np.random.default_rng(n_docs)
