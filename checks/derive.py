@@ -20,9 +20,10 @@ def _questions(rows: DataFrame) -> DataFrame:
 def ranges(rows: DataFrame) -> int:
     """Parts that texts are dealt into before they are analysed: the given files hold one row group each.
 
-    At least one per core; more for many rows, so that what a task holds does not grow with the table.
+    As many for every core; more for many rows, so that what a task holds does not grow with the table.
     """
-    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return cores * max(1, -(-rows.count() // (RANGE_ROWS * cores)))
 
 
 def deal(rows: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +56,20 @@ def term_weight(boost: Column, df: Column, n_docs: Column,
     raise ValueError(f"unknown scorer {params.scorer!r}")
 
 
+def length_part(doc_len: Column, avgdl: Column, params: ScoreParams = ScoreParams()) -> Column:
+    """What of a term's impact (``impact_of``) depends on the length of the document alone."""
+    if params.scorer == "bm25":
+        return bm25_length_norm(doc_len, avgdl, params).cast("double")
+    if params.scorer == "tfidf":
+        return doc_len.cast("double") if params.norms else F.lit(1.0)
+    raise ValueError(f"unknown scorer {params.scorer!r}")
+
+
+def impact_of(tf: Column | np.ndarray, part: Column | np.ndarray, params: ScoreParams = ScoreParams()) -> Column | np.ndarray:
+    """The impact of a frequency, given the ``length_part``; arrays give the same doubles as columns."""
+    return tf / (tf + part) if params.scorer == "bm25" else tf / part
+
+
 def term_impact(tf: Column, doc_len: Column, avgdl: Column,
                 params: ScoreParams = ScoreParams()) -> Column:
     """The part of a term's score that depends on the document.
@@ -62,8 +77,4 @@ def term_impact(tf: Column, doc_len: Column, avgdl: Column,
     It grows with ``tf`` and shrinks with ``doc_len``, so the largest frequency and the
     shortest document of a term bound it from above.
     """
-    if params.scorer == "bm25":
-        return tf / (tf + bm25_length_norm(doc_len, avgdl, params))
-    if params.scorer == "tfidf":
-        return tf / doc_len if params.norms else tf.cast("double")
-    raise ValueError(f"unknown scorer {params.scorer!r}")
+    return impact_of(tf, length_part(doc_len, avgdl, params), params)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neartag.functions.scoring import MICRO, ScoreParams, term_impact
+from neartag.functions.scoring import MICRO, ScoreParams, impact_of, length_part
 from neartag.operators.index import FieldIndex, Index
 
 BLOCK_DOCS = 512
@@ -60,27 +60,30 @@ def key_seed(terms: DataFrame, columns: tuple[str, ...]) -> int:
 
 
 def weighted_docs(index: Index | FieldIndex, params: ScoreParams, seed: int, corpus: str | None = None) -> DataFrame:
-    """corpus, id, keys, impacts: the documents of an index (of one corpus) as they go into blocks."""
+    """corpus, id, keys, counts, parts: the documents of an index (of one corpus) as they go into blocks.
+
+    ``counts`` are the frequencies of the terms, ``parts`` the ``length_part`` of each, or one for all.
+    """
     docs = index.docs if corpus is None else index.docs.filter(F.col("corpus") == corpus)
     if isinstance(index, FieldIndex):
         average = F.create_map(*[F.lit(x) for pair in index.averages().items() for x in pair])
-        return docs.select("corpus", "id", F.transform("postings", lambda p: term_key(seed, p.field, p.term)).alias("keys"), F.transform(
-            "postings", lambda p: term_impact(p.tf, p.doc_len, F.element_at(average, p.field), params)).alias("impacts"))
+        return docs.select("corpus", "id", F.transform("postings", lambda p: term_key(seed, p.field, p.term)).alias("keys"), F.col("postings.tf").alias("counts"), F.transform(
+            "postings", lambda p: length_part(p.doc_len, F.element_at(average, p.field), params)).alias("parts"))
     avgdl = index.corpus_stats.select("avgdl").scalar()
-    packed = docs.select("corpus", "id", "terms", "doc_len", avgdl.alias("avgdl"))
-    return packed.select("corpus", "id", F.transform("terms", lambda t: term_key(seed, t.term)).alias("keys"), F.transform(
-        "terms", lambda t: term_impact(t.tf, F.col("doc_len"), F.col("avgdl"), params)).alias("impacts"))
+    return docs.select("corpus", "id", F.transform("terms.term", lambda t: term_key(seed, t)).alias("keys"), F.col("terms.tf").alias("counts"),
+                       F.array(length_part(F.col("doc_len"), avgdl, params)).alias("parts"))
 
 
 def block_table(weighted: DataFrame, shelf: Column | None = None, block_docs: int = BLOCK_DOCS,
-                block_postings: int = BLOCK_POSTINGS, group_postings: int = GROUP_POSTINGS, group_keys: int = GROUP_KEYS) -> DataFrame:
-    """One row per block (see BLOCK_ROW) of documents (corpus, id, keys, impacts), without a shuffle.
+                block_postings: int = BLOCK_POSTINGS, group_postings: int = GROUP_POSTINGS, group_keys: int = GROUP_KEYS,
+                params: ScoreParams = ScoreParams()) -> DataFrame:
+    """One row per block (see BLOCK_ROW) of documents (``weighted_docs`` for the same scorer), without a shuffle.
 
     ``shelf`` (an int computed from corpus and id; 0 if not given) sorts documents into sets that
     are searched apart; a block is of one corpus and shelf, a group may hold several.  The table
     has to be written before use, as the numbers of blocks and groups depend on the task that makes them.
     """
-    rows = weighted.select("corpus", (F.lit(0) if shelf is None else shelf).cast("int").alias("shelf"), "id", "keys", "impacts")
+    rows = weighted.select("corpus", (F.lit(0) if shelf is None else shelf).cast("int").alias("shelf"), "id", "keys", "counts", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -107,7 +110,7 @@ def block_table(weighted: DataFrame, shelf: Column | None = None, block_docs: in
                     yield close()
                 where = (corpus, own_shelf)
                 keys = batch["keys"][i].values.to_numpy()
-                held.append((doc, keys, batch["impacts"][i].values.to_numpy()))
+                held.append((doc, keys, impact_of(batch["counts"][i].values.to_numpy(), batch["parts"][i].values.to_numpy(), params)))
                 size += len(keys)
         if held:
             yield close()
@@ -126,9 +129,14 @@ def short(values: np.ndarray) -> bytes:
     return values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
 
 
+def packed_numbers(packed: bytes, n: int) -> np.ndarray:
+    """``n`` numbers that ``short`` packed, as narrow as they are."""
+    return np.frombuffer(packed, f"<u{len(packed) // n}") if n else np.zeros(0, np.int64)
+
+
 def long(packed: bytes, n: int) -> np.ndarray:
     """``n`` numbers that ``short`` packed."""
-    return np.frombuffer(packed, f"<u{len(packed) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+    return packed_numbers(packed, n).astype(np.int64)
 
 
 HEAD = struct.Struct("<IB")
@@ -138,8 +146,8 @@ def squeeze(raw: bytes, n: int) -> bytes:
     """``n`` numbers of equal width, compressed: first the lowest bytes of all, then the next, as these are alike."""
     if not n:
         return HEAD.pack(0, 0)
-    planes = np.frombuffer(raw, "u1").reshape(n, -1).T
-    return HEAD.pack(n, len(planes)) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    width = len(raw) // n
+    return HEAD.pack(n, width) + pa.compress(turned(raw, n, width), codec="zstd", asbytes=True)
 
 
 def unsqueeze(packed: bytes) -> tuple[bytes, int]:
@@ -147,28 +155,52 @@ def unsqueeze(packed: bytes) -> tuple[bytes, int]:
     n, width = HEAD.unpack_from(packed)
     if not n:
         return b"", 0
-    planes = pa.decompress(packed[HEAD.size:], n * width, codec="zstd", asbytes=True)
-    return np.frombuffer(planes, "u1").reshape(width, n).T.tobytes(), n
+    return turned(pa.decompress(packed[HEAD.size:], n * width, codec="zstd", asbytes=True), width, n), n
+
+
+def turned(raw: bytes, rows: int, columns: int) -> bytes:
+    """A table of bytes, column by column."""
+    if rows == 1 or columns == 1:
+        return raw
+    table, out = np.frombuffer(raw, "u1").reshape(rows, columns), np.empty((columns, rows), "u1")
+    # The shorter side is the loop, so that each copy is long.
+    for i in range(min(rows, columns)):
+        if columns <= rows:
+            out[i] = table[:, i]
+        else:
+            out[:, i] = table[i]
+    return out.tobytes()
 
 
 def packed_length(packed: bytes) -> int:
     return HEAD.unpack_from(packed)[0]
 
 
+def number_impacts(impacts: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's list of different impacts, one after the other; how long each is; every impact's number in its list."""
+    order = np.argsort(impacts, kind="stable")
+    order = order[np.argsort(doc[order].astype(np.min_scalar_type(n)), kind="stable")]
+    sorted_doc, sorted_impacts = doc[order], impacts[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (sorted_doc[1:] != sorted_doc[:-1]) | (sorted_impacts[1:] != sorted_impacts[:-1])
+    levels = np.bincount(sorted_doc[new], minlength=n)
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(new) - 1 - (np.cumsum(levels) - levels)[sorted_doc]
+    return sorted_impacts[new], levels, code
+
+
 def pack_block(ids: list[int], keys: list[np.ndarray], impacts: list[np.ndarray]) -> dict[str, bytes]:
     """The arrays of a block as bytes: postings in order of key, then document."""
     doc = np.repeat(np.arange(len(ids), dtype=np.int64), [len(k) for k in keys])
-    # Each document has its own short list of different impacts.
-    lists = [np.unique(i, return_inverse=True) for i in impacts]
-    key, code = np.concatenate(keys), np.concatenate([numbers for _, numbers in lists])
-    order = np.lexsort((doc, key))
+    key = np.concatenate(keys)
+    values, levels, code = number_impacts(np.concatenate(impacts), doc, len(ids))
+    order = np.argsort(key, kind="stable")  # documents ascend
     key, doc, code = key[order], doc[order], code[order]
     names, first = np.unique(key, return_index=True)
     sizes = np.diff(np.append(first, len(key)))
     gaps = np.diff(doc, prepend=0)
     gaps[first] = doc[first]
     steps = np.diff(names.astype("<i8").view("<u8"), prepend=np.zeros(1, "<u8"))  # modulo 2 ** 64
-    levels, values = np.array([len(v) for v, _ in lists]), np.concatenate([v for v, _ in lists])
     packed = {"ids": np.array(ids, "<i8").tobytes(), "keys": steps.astype("<u8").tobytes(), "values": values.astype("<f8").tobytes(),
               "sizes": short(sizes), "gaps": short(gaps), "codes": short(code), "levels": short(levels)}
     counts = {"ids": len(ids), "keys": len(names), "values": len(values), "sizes": len(sizes), "gaps": len(gaps), "codes": len(code), "levels": len(levels)}
@@ -189,11 +221,21 @@ class Block:
     maxima: np.ndarray
 
 
-def unpack_block(row: dict[str, bytes]) -> Block:
+def unpack_block(row: dict[str, bytes], wanted: np.ndarray | None = None) -> Block:
+    """The block, or what it holds of the ``wanted`` keys (ascending, different)."""
     raw = {name: unsqueeze(row[name]) for name in BLOCK_ARRAYS}
     ids, values = np.frombuffer(raw["ids"][0], "<i8"), np.frombuffer(raw["values"][0], "<f8")
     keys = np.cumsum(np.frombuffer(raw["keys"][0], "<u8"), dtype="<u8").view("<i8")
-    sizes, gaps, codes, levels = (long(*raw[name]) for name in ("sizes", "gaps", "codes", "levels"))
+    sizes, levels = long(*raw["sizes"]), long(*raw["levels"])
+    if wanted is None:
+        gaps, codes = long(*raw["gaps"]), long(*raw["codes"])
+    else:
+        at = np.searchsorted(keys, wanted)
+        inside = at < len(keys)
+        at = at[inside][keys[at[inside]] == wanted[inside]]
+        first, keys, sizes = (np.cumsum(sizes) - sizes)[at], keys[at], sizes[at]
+        posting = np.repeat(first, sizes) + within(sizes)
+        gaps, codes = (packed_numbers(*raw[name])[posting].astype(np.int64) for name in ("gaps", "codes"))
     ends = np.cumsum(sizes)
     starts = ends - sizes
     run = np.cumsum(gaps)
@@ -293,12 +335,26 @@ def score_requests(block: Block, floors: np.ndarray, keys: np.ndarray, weights:
 # --- one group --------------------------------------------------------------------------
 
 class Shelf:
-    """The blocks of a group that are searched together: packed, with the block of blocks that bounds them."""
+    """The blocks of a group that are searched together: packed, with the block of blocks that bounds them.
+
+    The first queries make that block of their own terms only; if more follow, it is made of all terms, once.
+    """
 
     def __init__(self, rows: list[dict]) -> None:
         self.rows = rows
-        bounds = [(block.keys, block.maxima) for block in map(unpack_block, rows)]
-        self.top = unpack_block(pack_block(list(range(len(rows))), [keys for keys, _ in bounds], [maxima for _, maxima in bounds]))
+        self.searches, self.whole = 0, None
+
+    def top(self, wanted: np.ndarray) -> Block:
+        self.searches += 1
+        if self.searches == 1:
+            return self.bound(wanted)
+        if self.whole is None:
+            self.whole = self.bound(None)
+        return self.whole
+
+    def bound(self, wanted: np.ndarray | None) -> Block:
+        bounds = [(block.keys, block.maxima) for block in (unpack_block(row, wanted) for row in self.rows)]
+        return unpack_block(pack_block(list(range(len(self.rows))), [keys for keys, _ in bounds], [maxima for _, maxima in bounds]))
 
     def search(self, keys: np.ndarray, weights: np.ndarray, counts: np.ndarray, k: int, rounds: tuple[int, ...]) -> tuple[np.ndarray, ...]:
         """Per query its k best documents: query, number of the block, id, score in millionths.
@@ -308,7 +364,8 @@ class Shelf:
         """
         n = len(counts)
         floors, first = np.zeros(n, np.int64), np.cumsum(counts) - counts
-        query, block, bound, _ = score_requests(self.top, floors, keys, weights, counts, ALL, bounds=True)
+        wanted = np.unique(keys)
+        query, block, bound, _ = score_requests(self.top(wanted), floors, keys, weights, counts, ALL, bounds=True)
         place = np.arange(len(query)) - np.searchsorted(query, query)
         most = int(place.max()) + 1 if len(place) else 0
         best = (np.zeros(0, np.int64),) * 4
@@ -322,7 +379,7 @@ class Shelf:
             for start, end in zip(edges, edges[1:]):
                 number, own = int(block[open_[start]]), query[open_[start:end]]
                 term = np.repeat(first[own], counts[own]) + within(counts[own])
-                held = unpack_block(self.rows[number])
+                held = unpack_block(self.rows[number], wanted)
                 who, doc, score, _ = score_requests(held, floors[own], keys[term], weights[term], counts[own], k)
                 found.append((own[who], np.full(len(who), number), held.ids[doc], score))
             best = self.k_best([np.concatenate(x) for x in zip(*found)], k)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from neartag.functions.stem import stem_array
 from neartag.functions.text import Analyzer, get_analyzer
+from neartag.plans.staging import small_batches
 
 
 def tokenize(df: DataFrame, analyzer: str | Analyzer = "standard", text_col: str = "text",
@@ -20,21 +25,43 @@ def tokenize(df: DataFrame, analyzer: str | Analyzer = "standard", text_col: str
 
 
 def pack_terms(df: DataFrame, tokens: Column, keep: tuple[str | Column, ...]) -> DataFrame:
-    """keep, n_tokens, terms: each row's terms with their counts, as an array of structs.
+    """keep, n_tokens, terms: each row's terms with their counts in order of term, as an array of structs.
 
-    The tokens of a row are sorted and the runs measured inside the row, so counting
-    needs no shuffle: a row is a whole text.
+    A row is a whole text, so counting needs no shuffle.  Texts are counted in Arrow batches of
+    bounded size: a batch numbers its different words once, and only numbers are sorted.
     """
-    names = df.select(*keep).columns
-    # Each step is a projection of its own because its result is used several times.
-    ordered = df.select(*keep, F.sort_array(tokens).alias("_t"))
-    starts = ordered.select(*names, "_t", F.filter(
-        F.transform("_t", lambda t, i: F.when((i == 0) | (t != F.col("_t")[i - 1]), i)),
-        lambda i: i.isNotNull()).alias("_s"))
-    runs = F.transform("_s", lambda start, i: F.struct(
-        F.col("_t")[start].alias("term"),
-        (F.coalesce(F.get("_s", i + 1), F.size("_t")) - start).cast("bigint").alias("tf")))
-    return starts.select(*names, F.size("_t").cast("bigint").alias("n_tokens"), runs.alias("terms"))
+    small_batches(df.sparkSession)
+    rows = df.select(*keep, tokens.alias("_t"))
+    *kept, held = rows.schema.fields
+    term = T.StructType([T.StructField("term", held.dataType.elementType), T.StructField("tf", T.LongType())])
+    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("terms", T.ArrayType(term))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *own, lists = batch.columns
+            yield pa.RecordBatch.from_arrays([*own, pc.list_value_length(lists).cast(pa.int64()), count_lists(lists)], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def count_lists(lists: pa.ListArray) -> pa.ListArray:
+    """The different values of each list in ascending order, with their counts; null stays null."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    coded = lists.flatten().dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(coded.dictionary, null_placement="at_start").to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    # One number per token: its row, then the place of its word among the words of the batch.
+    place = np.repeat(np.arange(len(lists)) * len(order), sizes) + rank[coded.indices.to_numpy()]
+    place.sort()
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    counts = np.diff(first, append=len(place))
+    row, word = np.divmod(place[first], max(1, len(order)))
+    ends = np.cumsum(np.bincount(row, minlength=len(lists)))
+    terms = coded.dictionary.take(pa.array(order[word]))
+    entries = pa.StructArray.from_arrays([terms, pa.array(counts, pa.int64())], ["term", "tf"])
+    offsets = pa.array(np.concatenate(([0], ends)), pa.int32())
+    return pa.ListArray.from_arrays(offsets, entries, mask=lists.is_null() if lists.null_count else None)
 
 
 def unpack_terms(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:

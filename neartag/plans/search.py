@@ -89,7 +89,7 @@ def stage_blocks(index: Index | FieldIndex, staging: Staging, corpus: str | None
     counts = index.field_stats if isinstance(index, FieldIndex) else index.term_stats
     full = -(-(counts.agg(F.sum("df")).first()[0] or 0) // bl.GROUP_POSTINGS)
     weighted = bl.weighted_docs(index, score, index.seed, corpus).coalesce(max(full, staging.spark.sparkContext.defaultParallelism))
-    table = staging.write(bl.block_table(weighted, shelf, block_docs), "blocks", compression="zstd")
+    table = staging.write(bl.block_table(weighted, shelf, block_docs, params=score), "blocks", compression="zstd")
     rows = table.select("grp").distinct().collect()  # one per some millions of postings
     return Blocks(table, tuple(sorted(r.grp for r in rows)), index.seed, isinstance(index, FieldIndex))
 
