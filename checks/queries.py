@@ -177,7 +177,7 @@ def segmented_index_search(spark, sf_dir):
     rows = derive.train(spark, sf_dir, dealt=True)
     for part in (rows.filter("id % 3 = 0"), rows.filter("id % 3 <= 1"), rows.filter("id % 3 = 0"), derive.both(spark, sf_dir, dealt=True)):
         index_store.append_segment(part, path, text_col="body")
-    index = index_store.read_segments(spark, path, index_store.merge_segments(spark, path) - 1)
+    index = index_store.read_segments(spark, path, index_store.merge_segments(spark, path))
     return search.find_neighbors(derive.as_queries(derive.test(spark, sf_dir)), index)
 
 

@@ -59,6 +59,22 @@ def test_search_in_segments(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
 
 
+def test_the_query_searches_the_merged_segment(spark, tmp_path, monkeypatch):
+    from checks import queries
+
+    docs = [(i, f"title {i}\nword{i % 7} common", "de", "web", 20) for i in range(12)]
+    made = {"documents": (docs, "doc_id long, text string, lang string, source string, n_chars long"),
+            "labels": ([(1, 1, 0)], "doc_id long, quality int, toxic int"),
+            "benchmark": ([(1, "word1 common")], "item_id long, text string")}
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    asked = []
+    monkeypatch.setattr(queries.search, "find_neighbors", lambda rows, index, **_: asked.append(index))
+    queries.QUERIES["segmented_index_search"](spark, str(tmp_path))
+    segments = {name.rsplit("/docs/", 1)[0] for name in asked[0].docs.inputFiles()}
+    assert len(segments) == 1 and asked[0].docs.count() == 13
+
+
 def test_no_index(spark, tmp_path):
     with pytest.raises(ValueError):
         store.read_segments(spark, str(tmp_path))
