@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from neartag.functions import scoring, text
 from neartag.functions.scoring import ScoreParams
 from neartag.operators import blocks as bl
-from neartag.operators import tokens
+from neartag.operators import neighbors as nn
+from neartag.operators import terms, tokens
+from neartag.operators.terms import ANY_TERM
+from neartag.plans import search
+from neartag.plans.staging import Staging
 
 
 def test_terms_are_counted_by_batch(spark):
@@ -79,3 +83,52 @@ def test_first_and_later_queries_of_a_group_find_the_same(monkeypatch):
     unpacked.clear()
     assert [x.tolist() for x in first] == [x.tolist() for x in later] == [x.tolist() for x in shelf.search(keys, weights, counts, 4, (1, 3))]
     assert sum(unpacked) == 0 and len(first[0]) == 8
+
+
+def test_floors_of_earlier_groups_leave_the_same_result(spark, monkeypatch):
+    """Many queries search some groups first; small blocks, two shelves of which one has no number."""
+    rng = np.random.default_rng(7)
+    rows = [("train", i, " ".join(f"w{x}" for x in rng.zipf(1.4, 12) % 40), "") for i in range(160)]
+    index = search.stage_index(spark.createDataFrame(rows, "corpus string, id long, text string, tags string"), Staging(spark))
+    shelf = F.when(F.col("id") % 3 > 0, F.col("id") % 3).cast("int")
+    weighted = bl.weighted_docs(index, ScoreParams(), index.seed, "train").repartition(3, "id")
+    table = Staging(spark).write(bl.block_table(weighted, shelf, 8, group_postings=100), "blocks")
+    groups = tuple(sorted(r.grp for r in table.select("grp").distinct().collect()))
+    blocks = search.Blocks(table, groups, index.seed, False)
+    asked = spark.createDataFrame([(r[1], r[2]) for r in rows], "query_id long, text string")
+    bags = nn.term_bags(terms.query_terms(asked, index.term_stats, index.corpus_stats, ANY_TERM), index).withColumnRenamed("query_id", "bag_id")
+    plain = [tuple(r) for r in search.search_bags(bags, blocks, 4, Staging(spark)).collect()]
+    monkeypatch.setattr(search, "WAVE_BAGS", 1)
+    monkeypatch.setattr(bl, "FEW", 0)
+    sent = []
+    own = bl.search_groups
+    monkeypatch.setattr(bl, "search_groups", lambda lists, table, groups, *rest: sent.append((lists.columns, groups)) or own(lists, table, groups, *rest))
+    assert len(groups) > search.WAVE
+    waves = [tuple(r) for r in search.search_bags(bags, blocks, 4, Staging(spark)).collect()]
+    assert sorted(waves, key=repr) == sorted(plain, key=repr)
+    (_, first), (columns, later) = sent
+    assert {"least", "floors"} <= set(columns) and sorted(first + later) == list(groups) and len(first) < len(later)
+    # Left out is only what is not among the best of all shelves but one.
+    out = [tuple(r) for r in search.search_bags(bags, blocks, 4, Staging(spark), leave_out=True).collect()]
+    assert set(out) < set(plain)
+    for bag in {r[0] for r in plain}:
+        for without in (None, 1, 2):
+            best = [sorted((-m, i) for b, s, _, i, m in found if b == bag and s != without)[:4] for found in (plain, out)]
+            assert best[0] == best[1]
+
+
+def test_joined_blocks_are_one_block():
+    parts = [bl.unpack_block(block_of(seed, n)) for seed, n in ((1, 20), (3, 33))]
+    joined = bl.join_blocks(parts)
+    sizes = joined.ends - joined.starts
+    found = set(zip(np.repeat(joined.keys, sizes).tolist(), joined.docs.tolist(), joined.impacts.tolist()))
+    expected, before = set(), 0
+    for b in parts:
+        expected |= set(zip(np.repeat(b.keys, b.ends - b.starts).tolist(), (b.docs + before).tolist(), b.impacts.tolist()))
+        before += len(b.ids)
+    assert found == expected and len(joined.docs) == len(expected) and len(joined.ids) == 53
+    slots, table = joined.frequent
+    for term in np.flatnonzero(slots >= 0).tolist():
+        row = table.reshape(-1, 53)[slots[term]]
+        held = joined.docs[joined.starts[term]:joined.ends[term]]
+        assert np.flatnonzero(row).tolist() == held.tolist() and row[held].tolist() == list(range(1, len(held) + 1))
