@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from neartag.operators.blocks import long, short, squeeze, unsqueeze
 from neartag.plans.staging import small_batches
 
 LEAF = -1
@@ -149,13 +150,26 @@ COUNTED = "tree int, node int, part int, keys binary, counts binary"
 
 
 def packed(tree: int, node: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
+    """Keys as differences; numbers as narrow as they can be, compressed."""
     keys = np.flatnonzero(counts)
     return pa.RecordBatch.from_arrays(
         [pa.array([tree], pa.int32()), pa.array([node], pa.int32()), pa.array([part], pa.int32()),
-         pa.array([keys.astype("<i8").tobytes()], pa.binary()), pa.array([counts[keys].astype("<i8").tobytes()], pa.binary())],
+         pa.array([squeeze(shortest(np.diff(keys, prepend=0)), len(keys))], pa.binary()),
+         pa.array([squeeze(shortest(counts[keys]), len(keys))], pa.binary())],
         ["tree", "node", "part", "keys", "counts"])
 
 
+def shortest(values: np.ndarray) -> bytes:
+    """As ``short``, also for numbers of more than four bytes."""
+    return short(values) if not len(values) or values.max() < 1 << 32 else values.astype("<u8").tobytes()
+
+
+def unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and counts of a row that ``packed`` made."""
+    keys, counts = (long(*unsqueeze(batch[c][i].as_py())) for c in ("keys", "counts"))
+    return np.cumsum(keys), counts
+
+
 def added_up(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """tree, node, part and the sum of the counts of consecutive rows of one tree and node."""
     current, total = None, None
@@ -167,7 +181,8 @@ def added_up(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[in
                     yield *current, last, total
                 current, total = (tree, node), np.zeros(width, np.int64)
             last = part
-            total[np.frombuffer(batch["keys"][i].as_buffer(), "<i8")] += np.frombuffer(batch["counts"][i].as_buffer(), "<i8")
+            keys, counts = unpacked(batch, i)
+            total[keys] += counts
     if current is not None:
         yield *current, last, total
 
@@ -213,9 +228,11 @@ def patterns_of(forest: Forest) -> int:
 def grow(rows: DataFrame, forest: Forest) -> Forest:
     """Grow all trees; one job per level.
 
-    The driver gets a row per node: at most 2 ** level of each tree.
+    The driver gets a row per node: at most 2 ** level of each tree.  The rows are read by as many tasks as there
+    are cores: each hands on counts of its own, so their number tells what is shuffled, not the number of rows.
     """
     small_batches(rows.sparkSession)  # rows of counts are wide
+    rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
     size = patterns_of(forest)
     for level in range(forest.depth + 1):
         width = (len(forest.words) + 1) * size if level < forest.depth else size

@@ -7,6 +7,8 @@ import pytest
 
 from checks import derive
 from neartag.operators import blocks as bl
+from neartag.operators import learn, trees
+from neartag.plans import learning
 from neartag.sources import index_store as store
 
 
@@ -77,3 +79,28 @@ def test_merging_adds_the_counts_of_segments(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, store.read_segments(spark, path).term_stats.collect())) == counted
     docs = [p.name for p in Path(path).glob("segments/*/docs/*.parquet")]
     assert docs and all(name.endswith(".zstd.parquet") for name in docs)
+
+
+@pytest.mark.parametrize("top", [1, 300, 70_000, 1 << 33])
+def test_counts_of_trees_are_small_and_kept(top):
+    counts = np.zeros(20_000, np.int64)
+    counts[::3] = np.arange(1, len(counts[::3]) + 1) % 7 + 1
+    counts[-1] = top
+    row = trees.packed(2, 5, 1, counts)
+    (tree, node, part, total), = trees.added_up([row, trees.packed(2, 5, 3, counts)], len(counts))
+    assert (tree, node, part) == (2, 5, 3) and total.tolist() == (2 * counts).tolist()
+    # Eight bytes for a key and eight for a count made 16 bytes an entry.
+    assert top > 300 or sum(len(row[c][0].as_py()) for c in ("keys", "counts")) < 2 * np.count_nonzero(counts)
+    nothing, = trees.added_up([trees.packed(0, 1, 0, np.zeros(8, np.int64))], 8)
+    assert nothing[3].tolist() == [0] * 8
+
+
+def test_texts_are_dealt_once_for_trees(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "a b", f"w{i % 3} c", "x y") for i in range(30)], "id long, title string, body string, tags string")
+    read, tasks = [], []
+    counted = trees.count_level
+    monkeypatch.setattr(learn, "bag_of_words", lambda df, *rest, own=learn.bag_of_words: read.append(len(df.inputFiles())) or own(df, *rest))
+    monkeypatch.setattr(trees, "count_level", lambda df, *rest: tasks.append(df.rdd.getNumPartitions()) or counted(df, *rest))
+    learning.fit_labelset_trees(rows.repartition(50), depth=1)
+    assert len(read) == 2 and all(read)  # staged files
+    assert max(tasks) <= spark.sparkContext.defaultParallelism
