@@ -117,6 +117,17 @@ def test_floors_of_earlier_groups_leave_the_same_result(spark, monkeypatch):
             assert best[0] == best[1]
 
 
+def test_repeated_ids_lower_the_floor_of_all_shelves_but_one(spark):
+    rows = [(1, 0, 7, 90), (1, 0, 7, 90), (1, 0, 10, 50), (1, 1, 11, 40), (1, 1, 21, 30), (1, 2, 2, 20),
+            (2, 0, 7, 5), (3, 0, 10, 9), (3, 1, 1, 8), (3, 1, 11, 7), (3, 0, 20, 6), (3, None, None, 10)]
+    best = spark.createDataFrame([(b, s, "train", i, m) for b, s, i, m in rows], "bag_id long, shelf int, corpus string, id long, micro long")
+    found = {r.bag_id: (r.least, sorted(map(tuple, r.floors), key=repr)) for r in nn.search_floors(best, 2, True).collect()}
+    # One row repeats an id, so the third best counts: 20 without shelf 0, 50 without the others.
+    assert found == {1: (20, [(0, 90), (1, 30)]), 2: (0, []), 3: (6, [(0, 6), (1, 7)])}
+    found = {r.bag_id: r.least for r in nn.search_floors(best, 2).collect()}
+    assert found == {1: 0, 2: 0, 3: 0}
+
+
 def test_joined_blocks_are_one_block():
     parts = [bl.unpack_block(block_of(seed, n)) for seed, n in ((1, 20), (3, 33))]
     joined = bl.join_blocks(parts)
